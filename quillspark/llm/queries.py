@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .language_id import op6_language_id
+from .quality_rules import op9_quality_rules
 
 QUERIES = {
     "op6_language_id": op6_language_id,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 SQL: dict[str, str] = {}
