@@ -25,7 +25,7 @@ BUCKETS = 1 << 16
 #: Added to each bucket's count in both multinomials.
 SMOOTHING = 1.0
 #: A document whose mean log-likelihood ratio is below this goes.
-MIN_LLR = -0.3
+MIN_LLR = -0.25
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 SYMBOLS = "[#*$%&|<>]"

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from .language_id import op6_language_id
+from .quality_classifier import op10_quality_classifier
 from .quality_rules import op9_quality_rules
 
 QUERIES = {
     "op6_language_id": op6_language_id,
     "op9_quality_rules": op9_quality_rules,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 SQL: dict[str, str] = {}

@@ -60,15 +60,15 @@ def blocks(texts: list, limit: int) -> Iterator[tuple[int, int]]:
 
 
 class Words:
-    """Words of a block of texts: doc (index of the text), start and end (bytes in buf), count and first by text."""
+    """Words of a block of texts (runs of bytes not in parts): doc (index of the text), start and end (bytes in buf), count and first by text."""
 
-    def __init__(self, texts: list[bytes], lower: bool = True):
+    def __init__(self, texts: list[bytes], lower: bool = True, parts: np.ndarray = _SEP):
         self.buf = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
         if lower:
             self.buf = _LOWER[self.buf]
         lens = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
         self.offset = np.concatenate(([0], np.cumsum(lens + 1)))
-        word = ~_SEP[self.buf]
+        word = ~parts[self.buf]
         edge = np.flatnonzero(np.diff(word.view(np.int8), prepend=np.int8(0)))
         self.start, self.end = edge[0::2], edge[1::2]
         self.inside = word
