@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .language_id import op6_language_id
+from .pii import op3_pii
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import op9_quality_rules
+from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op3_pii": op3_pii,
+    "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
