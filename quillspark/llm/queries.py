@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .language_id import op6_language_id
+from .line_dedup import SQL as LINE_SQL
+from .line_dedup import op8_line_dedup
 from .pii import op3_pii
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import op9_quality_rules
@@ -12,8 +14,9 @@ QUERIES = {
     "op3_pii": op3_pii,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
+    "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_line_dedup": LINE_SQL}
