@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from .decontamination import op1_decontamination
 from .language_id import op6_language_id
 from .line_dedup import SQL as LINE_SQL
 from .line_dedup import op8_line_dedup
+from .pieces import op4_sentencepiece
 from .pii import op3_pii
 from .quality_classifier import op10_quality_classifier
 from .quality_rules import op9_quality_rules
 from .toxicity import op5_toxicity
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_pii": op3_pii,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
     "op8_line_dedup": op8_line_dedup,
