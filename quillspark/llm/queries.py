@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op1_decontamination
+from .jaccard_join import op2_ngram_jaccard
 from .language_id import op6_language_id
 from .line_dedup import SQL as LINE_SQL
 from .line_dedup import op8_line_dedup
@@ -14,6 +15,7 @@ from .toxicity import op5_toxicity
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_ngram_jaccard": op2_ngram_jaccard,
     "op3_pii": op3_pii,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_toxicity": op5_toxicity,
