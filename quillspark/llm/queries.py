@@ -7,6 +7,7 @@ from .jaccard_join import op2_ngram_jaccard
 from .language_id import op6_language_id
 from .line_dedup import SQL as LINE_SQL
 from .line_dedup import op8_line_dedup
+from .passages import op7_substring_dedup
 from .pieces import op4_sentencepiece
 from .pii import op3_pii
 from .quality_classifier import op10_quality_classifier
@@ -20,6 +21,7 @@ QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
     "op5_toxicity": op5_toxicity,
     "op6_language_id": op6_language_id,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
