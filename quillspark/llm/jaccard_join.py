@@ -9,8 +9,9 @@ buckets of the join, which goes in two rounds so that no bucket ever gives all
 its pairs:
 
 1. In each bucket the members of a group meet its leader, and the leaders meet
-   the bucket's pivot.  Pairs that pass the size and count filters are verified
-   on the whole sets, and the links give first components.
+   the bucket's two pivots.  Pairs that pass the size and count filters are verified
+   on the whole sets, and the links give first components.  Buckets that are not of one component
+   draw two more pivots.
 2. Buckets within one component are done.  In the others the groups are
    expanded, and pairs of different components that pass the filters are
    verified.  Buckets too large for a task are dealt in pairs of chunks.
@@ -40,7 +41,7 @@ from .common import settled, small_join, table
 from .components import connected_components
 from .textvec import Words, as_bytes, blocks, list_array, mix, windows
 
-BINS = 128
+BINS = 256
 #: At most so many words, the most frequent, count as common; they decide the order only, never the result.
 COMMON_WORDS = 200_000
 CHUNK = 2048
@@ -127,7 +128,7 @@ def _classes(batches, k: int, percent: int, common: np.ndarray):
                 seen.add(sig)
                 prefix = s[: prefix_length(len(s), percent)]
                 prefixes.append(prefix)
-                bins = np.bincount((mix(s) >> np.uint64(57)).astype(np.int64), minlength=BINS)
+                bins = np.bincount((mix(s) >> np.uint64(56)).astype(np.int64), minlength=BINS)
                 sketches.append(np.minimum(bins, 255).astype(np.uint8).tobytes())
                 groups.append(int(mix(np.array([mix(prefix).sum(dtype=np.uint64) + np.uint64(len(s))])).view(np.int64)[0]))
             lens = np.array([0 if p is None else len(p) for p in prefixes])
@@ -267,26 +268,41 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
         both = pairs.join(sets.toDF("a", "members_a"), "a").join(sets.toDF("b", "members_b"), "b")
         return settled(both.mapInArrow(partial(_verify, percent=percent), "a long, b long"))
 
-    # Round 1. The pivot of a bucket is the class whose prefix shingles are shared most, as a copied original's are.
+    # Round 1. A bucket has two pivots: the class whose prefix shingles are shared most, as a copied original's are, and
+    # one drawn by hash, which differs from bucket to bucket and so ties up copies that have no original among them.
     popular = buckets.groupBy("node").agg(F.avg(F.log("size")).alias("fame"))
-    known = buckets.join(popular, "node")
     of_group = Window.partitionBy("token", "grp")
+    met = (
+        buckets.join(popular, "node").withColumn("leader", F.min("node").over(of_group))
+        .withColumn("known", F.max(F.struct("fame", "node", "grp")).over(of_token)).withColumn("drawn", F.max(F.struct(F.xxhash64("token", "node").alias("h"), "node", "grp")).over(of_token))
+    )
+    to_pivots = F.transform(F.array("known.node", "drawn.node"), lambda p: F.when(F.col("leader") == F.col("node"), p).otherwise(F.col("leader")))
     stars = (
-        known.withColumn("leader", F.min("node").over(of_group))
-        .withColumn("pivot", F.max(F.struct("fame", "node", "grp")).over(of_token))
-        .withColumn("other", F.when((F.col("leader") == F.col("node")) & (F.col("grp") != F.col("pivot.grp")), F.col("pivot.node")).otherwise(F.col("leader")))
-        .filter("node <> other")
+        met.select("node", F.explode(F.array_distinct(to_pivots)).alias("other")).filter("node <> other")
         .select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct()
     )
     stars = settled(stars)
     links = verified(stars)
     first = settled(connected_components(links))
 
+    # Once more, in the buckets that are not of one component, with other pivots: what links with many links with one of them.
+    def still_open(components: DataFrame) -> DataFrame:
+        labelled = buckets.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return labelled.withColumn("low", F.min("component").over(of_token)).withColumn("high", F.max("component").over(of_token)).filter("low <> high")
+
+    again = still_open(first)
+    for turn in (1, 2):
+        again = again.withColumn(f"drawn{turn}", F.max(F.struct(F.xxhash64("token", "node", F.lit(turn)).alias("h"), "node", "component")).over(of_token))
+    others = again.select("node", "component", F.explode(F.array("drawn1", "drawn2")).alias("p")).filter(F.col("component") != F.col("p.component"))
+    second = others.select(F.greatest("node", "p.node").alias("a"), F.least("node", "p.node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    second = settled(second)
+    tried = stars.unionByName(second)
+    links = links.unionByName(verified(second))
+    first = settled(connected_components(links))
+
     # Round 2.
-    labelled = buckets.join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_rows = (
-        labelled.withColumn("low", F.min("component").over(of_token)).withColumn("high", F.max("component").over(of_token)).filter("low <> high")
-        .withColumn("nth", F.row_number().over(of_token.orderBy("n", "node")) - 1)
+        still_open(first).withColumn("nth", F.row_number().over(of_token.orderBy("n", "node")) - 1)
         .select("token", "node", "component", "n", F.floor(F.col("nth") / CHUNK).cast("int").alias("chunk"), F.floor((F.col("size") - 1) / CHUNK).cast("int").alias("last"))
     )
     dealt = (
@@ -296,7 +312,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
         .select("token", "lo", "hi", "chunk", "node", "component", "n", "sketch")
         .repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi")
     )
-    rest = dealt.mapInArrow(partial(_cross_pairs, percent=percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
+    rest = dealt.mapInArrow(partial(_cross_pairs, percent=percent), "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
     more = verified(settled(rest), checked=True)
     final = settled(connected_components(links.unionByName(more)))
 
