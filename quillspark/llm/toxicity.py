@@ -234,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, key: str = "doc_id",
             # The sample is balanced; the weights bring back the shares of all labelled rows.
             weight[y == value] = all_of.get(value, 0) / (y == value).sum()
     column = sample.column(1).combine_chunks()
-    return train(as_bytes(column), lower(column), y, weight / max(weight.mean(), 1e-9))
+    return train(as_bytes(column), lower(column), y, weight / max(weight.sum() / max(len(y), 1), 1e-9))
 
 
 def _score(batches, model: Model):
