@@ -304,5 +304,9 @@ u1 AS (SELECT *, para - row_number() OVER (PARTITION BY n ORDER BY para) AS isl
 u2 AS (SELECT *, (row_number() OVER (PARTITION BY n, isl ORDER BY para) - 1) // 2 AS unit FROM u1),
 u3 AS (SELECT n, min(para) AS first, max(para) AS last, min(s) AS s, max(e) AS e, sum(hits)::BIGINT AS hits FROM u2 GROUP BY n, isl, unit)
 SELECT {HEAD}, first, last, hits FROM u3 QUALIFY row_number() OVER (PARTITION BY n ORDER BY hits DESC, s) <= 8""",
+    # These edits never overlap, so that nothing has to be resolved here.
+    "apply_edits": f"""WITH {FINDINGS}, ed AS (SELECT n, s, e, t[coalesce(lag(e) OVER (PARTITION BY n ORDER BY s), 0) + 1:s] || rep AS piece, t FROM fi JOIN c USING (n) WHERE rep IS NOT NULL),
+ea AS (SELECT n, string_agg(piece, '' ORDER BY s) || any_value(t)[max(e) + 1:] AS content, count(*) AS applied FROM ed GROUP BY n)
+SELECT c.n AS chapter_number, coalesce(content, t) AS content, coalesce(applied, 0) AS applied FROM c LEFT JOIN ea USING (n)""",
     "truncate_middle": f"WITH {RAW} SELECT n AS chapter_number, CASE WHEN length(t) > 2000 THEN t[:998] || {MARK} || right(t, 999) ELSE t END AS content FROM c",
 }
