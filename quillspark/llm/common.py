@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Python workers get Arrow batches of a few MB, so that what they hold doesn't depend on how long texts are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,6 +48,7 @@ def shared_dir(spark: SparkSession) -> str:
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once into a Parquet table in the shared folder: lost executors can't lose it, and its lineage ends."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/quillspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

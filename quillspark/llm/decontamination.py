@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .textvec import Words, as_bytes, blocks, windows
 
 ITEMS_PER_INDEX = 2000
@@ -246,6 +246,7 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     """One row for each document and test item that it holds: ids, best BM25 score (share of the item's own), and both overlaps."""
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, item_id long, score double, question_overlap double, answer_overlap double"
+    small_batches(docs.sparkSession)
     out = None
     for index in indexes(items):
         part = docs.select(key, text).mapInArrow(partial(_search, index=index, threshold=threshold, overlap=overlap), schema)
@@ -259,6 +260,7 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = MIN_SCORE, overlap: float = MIN_OVERLAP) -> DataFrame:
     """Pipeline stage: documents that hold a test item go."""
+    small_batches(spark)
     at = docs.columns.index("text")
     for index in indexes(table(spark, sf_dir, "benchmark")):
         docs = docs.mapInArrow(partial(_without, index=index, threshold=threshold, overlap=overlap, at=at), docs.schema)

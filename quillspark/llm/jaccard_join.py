@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import settled, small_join, table
+from .common import settled, small_batches, small_join, table
 from .components import connected_components
 from .textvec import Words, as_bytes, blocks, list_array, mix, windows
 
@@ -51,7 +51,7 @@ def _local_words(batches):
     """Words that several texts of a block share, with the number of those texts."""
     for batch in batches:
         texts = as_bytes(batch.column(0))
-        for a, b in blocks(texts, 8_000_000):
+        for a, b in blocks(texts, 4_000_000):
             words = Words(texts[a:b])
             h = words.hashes()
             new = np.ones(len(h), dtype=bool)
@@ -236,6 +236,7 @@ def _and_end(batches):
 
 def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, percent: int = 90) -> DataFrame:
     """Per row of docs: the id, n_shingles and component_id (the smallest id that it reaches by links)."""
+    small_batches(docs.sparkSession)
     common = common_words(docs, text)
     kind = docs.schema[key].dataType.simpleString()
     rows = settled(docs.select(key, text).mapInArrow(

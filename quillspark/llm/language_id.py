@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, small_batches, table
 from .textvec import blocks
 
 #: At most about so many training documents of each language are read, none longer than this.
@@ -217,7 +217,7 @@ def _label(batches, model: Model, penalty: float, ids: int):
     k = len(model.languages)
     for batch in batches:
         texts = [t or "" for t in batch.column(ids).to_pylist()]
-        for a, b in blocks(texts, 4_000_000):
+        for a, b in blocks(texts, 2_500_000):
             x = Letters(texts[a:b])
             n = len(x.count)
             doc = np.repeat(np.arange(n), x.count)
@@ -256,6 +256,7 @@ def _label(batches, model: Model, penalty: float, ids: int):
 
 def label_spans(df: DataFrame, model: Model, text: str, keep: list[str], penalty: float = SWITCH_PENALTY) -> DataFrame:
     """The columns keep of each row, its language (the one with most letters), that share, and the labelled spans (code points)."""
+    small_batches(df.sparkSession)
     chosen = df.select(*keep, F.col(text).alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
     return chosen.mapInArrow(partial(_label, model=model, penalty=penalty, ids=len(keep)), f"{kinds}, {SCHEMA}")

@@ -28,7 +28,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import small_batches, table
 from .textvec import as_bytes, blocks, list_array, mix, powers
 
 SPACE = 0x2581
@@ -334,7 +334,7 @@ def _encode(batches, model: Model, keep: int):
     for batch in batches:
         texts = [t or "" for t in batch.column(keep).to_pylist()]
         raw = as_bytes(batch.column(keep))
-        for a, b in blocks(texts, 4_000_000):
+        for a, b in blocks(texts, 2_500_000):
             ids, counts = encode_block(model, texts[a:b])
             back = decode_block(model, ids, counts)
             yield pa.RecordBatch.from_arrays(
@@ -366,6 +366,7 @@ def _kinds(df: DataFrame, columns: list[str]) -> str:
 def encode(df: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns keep (doc_id by default) of each row, and n_tokens, ids and round_trip (decoding the ids gives the text)."""
     keep = ["doc_id"] if keep is None else keep
+    small_batches(df.sparkSession)
     schema = _kinds(df, keep) + "n_tokens long, ids array<int>, round_trip boolean"
     return df.select(*keep, text).mapInArrow(partial(_encode, model=model, keep=len(keep)), schema)
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, small_batches, table
 from .samples import labelled
 from .textvec import Words, as_bytes, blocks
 
@@ -136,6 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, key: str = "doc_id", text: s
 
 def classify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The id, and score: the probability of good quality."""
+    small_batches(docs.sparkSession)
     logit = model.logit.astype(np.float64) if model else np.zeros(1 << BUCKET_BITS)
     bias = float(model.bias[1] - model.bias[0]) if model else 0.0
     kind = docs.schema[key].dataType.simpleString()

@@ -7,11 +7,18 @@ numpy, so that no Python code runs per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+try:
+    # Freed arrays of a MB or more go back to the system at once: by default idle workers would keep them.
+    ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)
+except (OSError, AttributeError):
+    pass
+
 #: 0x20 and 0x09-0x0D part words.
 _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, *range(0x09, 0x0E)]] = True

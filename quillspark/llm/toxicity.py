@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Trees, isotonic
-from .common import fold, table
+from .common import fold, small_batches, table
 from .samples import labelled
 from .textvec import _BYTE, Words, as_bytes, blocks, mix, powers, span_hashes
 
@@ -249,6 +249,7 @@ def _score(batches, model: Model):
 
 def classify(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The id, and score: the probability that the text is toxic."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(partial(_score, model=model), f"`{key}` {kind}, score double")
 
