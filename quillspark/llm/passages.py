@@ -12,9 +12,11 @@ or more, which leaves headings and licence lines alone.
 Bands have one row each: a paragraph of fewer than 8 words can only match an
 equal one and has one band; others have BANDS, which miss a pair of similarity
 0.8 with a probability of 0.2 ** BANDS, and an equal one never.  Within a
-bucket each text meets the first text and the one before it, so that a bucket
-never gives all its pairs.  Equal paragraphs of a block of rows take part as
-one, so that frequent ones don't make a bucket large.
+bucket every pair of different texts is verified that is not in one component
+by then: texts that share most meet the others first, and large buckets are
+dealt in pairs of chunks.  A pair is verified where the bucket is read, so
+that only links leave it, fewer than it has texts.  Equal paragraphs of a
+block of rows take part as one, and so do those of a bucket.
 
 Defined results: null and empty texts and paragraphs of fewer than 5 words
 take no part, and short ones don't part their neighbours.  Repeated rows are
@@ -41,6 +43,8 @@ NEAR_WORDS = 8
 BANDS = 3
 PERCENT = 80
 MIN_WORDS = 20
+#: Words of a chunk of a large bucket.
+CHUNK_WORDS = 50_000
 
 
 class Paragraphs:
@@ -123,14 +127,64 @@ def _wanted(batches):
             yield pa.RecordBatch.from_arrays([pa.array(p.hash[pick].view(np.int64)), pa.array(sets, type=pa.binary())], names=["hash", "members"])
 
 
-def _similar(batches, percent: int):
-    for batch in batches:
-        keep = []
-        for x, y in zip(batch.column("members_a").to_pylist(), batch.column("members_b").to_pylist()):
-            both = np.sort(np.concatenate((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64))))
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * shared >= percent * (len(both) - shared))
-        yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+def _links_of(sizes: np.ndarray, flat: np.ndarray, right: np.ndarray | None, percent: int) -> tuple[list[int], list[int]]:
+    """Links that tie up what the pairs of these sets that reach percent tie up; with right, only pairs across the two sides count."""
+    n = len(sizes)
+    _, term, df = np.unique(flat, return_inverse=True, return_counts=True)
+    at = np.cumsum(sizes) - sizes
+    postings = np.repeat(np.arange(n), sizes)[np.argsort(term, kind="stable")]
+    starts = np.cumsum(df) - df
+    component, left = np.arange(n), n
+    a, b = [], []
+    for i in np.argsort(-np.add.reduceat(df[term], at), kind="stable"):
+        if left == 1:
+            break
+        of = term[at[i] : at[i] + sizes[i]]
+        span = df[of]
+        shared = np.bincount(postings[np.arange(span.sum()) + np.repeat(starts[of] - np.cumsum(span) + span, span)], minlength=n)
+        ok = (component != component[i]) & (100 * shared >= percent * (sizes + sizes[i] - shared))
+        if right is not None:
+            ok &= right != right[i]
+        found = np.flatnonzero(ok)
+        if len(found):
+            met, one = np.unique(component[found], return_index=True)
+            a += [int(i)] * len(met)
+            b += found[one].tolist()
+            component[np.isin(component, met)] = component[i]
+            left -= len(met)
+    return a, b
+
+
+def _links(batches, percent: int):
+    """Of rows sorted by key, lo and hi: links within each such run, which is two chunks at most."""
+    names = ["key", "lo", "hi", "chunk", "hash"]
+    held, sets = None, []
+    for batch in _and_end(batches):
+        if batch is not None:
+            new = [batch.column(c).to_numpy() for c in names]
+            held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
+            sets += batch.column("members").to_pylist()
+        if held is None or not len(held[0]):
+            continue
+        key, lo, hi, chunk, text = held
+        change = np.flatnonzero((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+        stops = [*change, len(key)] if batch is None else change
+        at, out_a, out_b = 0, [], []
+        for stop in stops:
+            members = sets[at:stop]
+            sizes = np.array([len(m) // 8 for m in members], dtype=np.int64)
+            sides = chunk[at:stop] == hi[at] if lo[at] != hi[at] else None
+            a, b = _links_of(sizes, np.frombuffer(b"".join(members), dtype=np.uint64), sides, percent)
+            out_a += text[at:stop][a].tolist()
+            out_b += text[at:stop][b].tolist()
+            at = stop
+        held, sets = [x[at:] for x in held], sets[at:]
+        yield pa.RecordBatch.from_arrays([pa.array(out_a, type=pa.int64()), pa.array(out_b, type=pa.int64())], names=["a", "b"])
+
+
+def _and_end(batches):
+    yield from batches
+    yield None
 
 
 def repeated_paragraphs(docs: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
@@ -140,35 +194,29 @@ def repeated_paragraphs(docs: DataFrame, key: str, text: str, percent: int = PER
     banded = rows.select("row", "__text").mapInArrow(_banded, KEYED)
     # Paragraphs without a key stay apart from each other.
     spread = F.coalesce("key", F.xxhash64("row", "seq"))
-    bucket = Window.partitionBy("__bucket")
-    ordered = bucket.orderBy("words", "hash", "row", "seq")
     met = settled(
-        banded.withColumn("__bucket", spread)
-        .withColumn("size", F.count("key").over(bucket))
-        .withColumn("head", F.first(F.struct("hash", "row", "seq", "words")).over(ordered))
-        .withColumn("back", F.lag(F.struct("hash", "row", "seq", "words")).over(ordered))
-        .filter((F.col("size") > 1) | F.col("local")).drop("__bucket", "key", "local")
+        banded.withColumn("__bucket", spread).withColumn("size", F.count("key").over(Window.partitionBy("__bucket")))
+        .filter((F.col("size") > 1) | F.col("local")).drop("__bucket", "local")
     )
 
-    unequal = None
-    for other in ("head", "back"):
-        x = F.col(other)
-        # Sizes this far apart can't link.
-        near = 100 * (F.least("words", x["words"]) - (SHINGLE - 1)) >= percent * (F.greatest("words", x["words"]) - (SHINGLE - 1))
-        part = met.filter((F.col("size") > 1) & (F.col("hash") != x["hash"]) & near & (F.col("words") >= NEAR_WORDS)).select(
-            F.col("hash").alias("a"), F.struct("row", "seq").alias("of_a"), x["hash"].alias("b"), F.struct(x["row"].alias("row"), x["seq"].alias("seq")).alias("of_b")
-        )
-        unequal = part if unequal is None else unequal.unionByName(part)
-    pairs = settled(unequal.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
-        F.min(F.when(F.col("a") < F.col("b"), F.col("of_a")).otherwise(F.col("of_b"))).alias("at_a"),
-        F.min(F.when(F.col("a") < F.col("b"), F.col("of_b")).otherwise(F.col("of_a"))).alias("at_b"),
-    ))
-    places = pairs.select("at_a.*").toDF("row", "seq").unionByName(pairs.select("at_b.*").toDF("row", "seq"))
-    asked = places.groupBy("row").agg(F.collect_set("seq").alias("seqs"))
+    texts = met.filter((F.col("size") > 1) & (F.col("words") >= NEAR_WORDS)).groupBy("key", "hash").agg(F.first("words").alias("words"), F.min(F.struct("row", "seq")).alias("at"))
+    of_key = Window.partitionBy("key")
+    by_size = of_key.orderBy("words", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    open_rows = settled(
+        texts.withColumn("size", F.count("*").over(of_key)).filter("size > 1")
+        .withColumn("chunk", F.floor(F.coalesce(F.sum(F.col("words").cast("long")).over(by_size), F.lit(0)) / CHUNK_WORDS).cast("int"))
+        .withColumn("last", F.max("chunk").over(of_key))
+    )
+    asked = open_rows.select("at.*").groupBy("row").agg(F.collect_set("seq").alias("seqs"))
     found = small_join(rows.select("row", "__text"), asked, ["row"], "inner").select("__text", "seqs").mapInArrow(_wanted, "hash long, members binary")
     sets = settled(found.dropDuplicates(["hash"]))
-    both = pairs.select("a", "b").join(sets.toDF("a", "members_a"), "a").join(sets.toDF("b", "members_b"), "b")
-    groups = settled(connected_components(both.mapInArrow(partial(_similar, percent=percent), "a long, b long")))
+    dealt = (
+        open_rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("last"))))
+        .withColumn("lo", F.least("chunk", "with")).withColumn("hi", F.greatest("chunk", "with"))
+        .join(sets, "hash").select("key", "lo", "hi", "chunk", "hash", "members")
+        .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    )
+    groups = settled(connected_components(dealt.mapInArrow(partial(_links, percent=percent), "a long, b long")))
 
     each = met.select("row", "seq", "hash", "words", "start", "end").distinct()
     named = each.join(groups.toDF("hash", "component"), "hash", "left").withColumn("component", F.coalesce("component", "hash"))

@@ -140,6 +140,30 @@ def test_passage_recall(spark):
     assert np.mean([a in found and b in found for a, b in pairs]) >= 0.9
 
 
+@pytest.mark.parametrize("chunk", [50_000, 700])
+def test_passages_of_a_star(spark, monkeypatch, chunk):
+    """An original and copies with one edit each: copies link with the original only, which stands anywhere among them."""
+    monkeypatch.setattr(passages, "CHUNK_WORDS", chunk, raising=False)
+    for seed in range(3):
+        rng = np.random.default_rng(seed)
+        original = [str(w) for w in rng.choice(VOCABULARY, 60)]
+        rows = [(100, " ".join(original))] + [(i, " ".join([*original[: i + 5], f"edit{i}", *original[i + 6 :]])) for i in range(50)]
+        found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        # Each copy has 51 of 61 shingles in common with the original: three bands miss 0.4 % of them.
+        assert len({r.doc_id for r in found}) >= 50 and len({tuple(r.components) for r in found}) == 1
+
+
+def test_links_of_sets():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        sets = [np.unique(rng.integers(0, 40, 30).astype(np.uint64)) for _ in range(20)]
+        right = rng.integers(0, 2, 20).astype(bool)
+        for sides in (None, right):
+            want = [(a, b) for a, b in itertools.combinations(range(20), 2) if (sides is None or sides[a] != sides[b]) and 100 * len(np.intersect1d(sets[a], sets[b])) >= 50 * len(np.union1d(sets[a], sets[b]))]
+            a, b = passages._links_of(np.array([len(s) for s in sets]), np.concatenate(sets), sides, 50)
+            assert components(20, zip(a, b)) == components(20, want) and len(a) < 20
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
