@@ -5,16 +5,18 @@ against an inverted index of test items.  Items are in blocks, each term has
 its largest impact within each block, and a block whose bound for a passage
 stays below the threshold is never opened.  All items that reach the threshold
 (a share of the item's own score, so that it is the same for short and long
-items) are retrieved, and a hit is kept if the words of the item's question
-and answer are found in the document.
+items) are retrieved.  The longer of an item's two parts, question and answer,
+is indexed as well, so that an item whose parts lie far apart is retrieved by
+it.  A hit is kept if shares of the shingles of the question and of the answer
+are found in the document, each MIN_OVERLAP or more, wherever they stand.
 
 The index is built from at most ITEMS_PER_INDEX items at a time: a larger
 benchmark is read in ranges of that many items, each against all documents.
 
 Defined results: null and empty texts and items match nothing.  Items with the
 same id are told apart by nothing but their text: each is searched, and the
-best match is reported.  Repeated documents are each reported.  An item with
-fewer than 5 words is one shingle.  Columns other than ids and texts are
+best match is reported.  Repeated documents are each reported.  A part with
+fewer than 5 words is one shingle; one without words asks for nothing.  Columns other than ids and texts are
 neither read nor returned by the search.
 """
 
@@ -67,20 +69,28 @@ def split_item(text: bytes) -> tuple[bytes, bytes]:
 
 
 class Index:
-    """Terms (sorted hashes), their postings, and the impact bounds by block of items.
+    """Terms (sorted hashes), their postings, and the impact bounds by block of entries.
 
-    Items are in order of their own scores, so that impacts within a block are alike."""
+    An entry is an item, or the longer of its parts.  Entries are in order of their own scores, so that impacts within a block are alike."""
 
     def __init__(self, ids: list[int], texts: list[bytes]):
+        self.ids, items = ids, len(texts)
+        parts = [split_item(t) for t in texts]
+        sets = [[shingles(Words([p], lower=False, parts=_NOT_WORD).hashes()) for p in both] for both in parts]
+        self.question, self.answer = [s[0] for s in sets], [s[1] for s in sets]
+        longer = Words([p for both in parts for p in both], lower=False, parts=_NOT_WORD).count.reshape(-1, 2).argmax(axis=1)
+        texts = texts + [both[i] for both, i in zip(parts, longer)]
         words = Words(texts, lower=False, parts=_NOT_WORD)
         h, doc = words.hashes(), words.doc
         self.terms, term = np.unique(h, return_inverse=True)
         n, length = len(texts), words.count
         pair, tf = np.unique(doc.astype(np.int64) * max(len(self.terms), 1) + term, return_counts=True)
         item, term = pair // max(len(self.terms), 1), pair % max(len(self.terms), 1)
+        # Whole items alone tell how rare a word is.
+        among = np.bincount(term[item < items], minlength=len(self.terms))
+        idf = np.log(1 + (items - among + 0.5) / (among + 0.5))
         df = np.bincount(term, minlength=len(self.terms))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        mean = max(length.mean(), 1) if n else 1
+        mean = max(length[:items].mean(), 1) if n else 1
         impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / mean))
         own = np.bincount(item, weights=impact, minlength=n)
         # A passage holds at most its own number of words of a longer item.
@@ -91,7 +101,8 @@ class Index:
         place[rank] = np.arange(n)
         order = np.lexsort((place[item], term))
         self.item, self.impact = place[item][order], impact[order].astype(np.float32)
-        self.ids = [ids[i] for i in rank]
+        #: Of each entry: its item, and whether it is a part.
+        self.of, self.is_part = rank % max(items, 1), rank >= items
         blocks_of = n // BLOCK + 1
         self.bounds = np.zeros((len(self.terms), blocks_of), dtype=np.float32)
         np.maximum.at(self.bounds, (np.repeat(np.arange(len(df)), df), self.item // BLOCK), self.impact)
@@ -99,10 +110,6 @@ class Index:
         self.place = np.repeat(np.arange(len(df)), df) * blocks_of + self.item // BLOCK
         self.few = np.zeros(1 << 16, dtype=bool)
         self.few[self.terms >> np.uint64(48)] = True
-        parts = [split_item(texts[i]) for i in rank]
-        sets = [[shingles(Words([p], lower=False, parts=_NOT_WORD).hashes()) for p in both] for both in parts]
-        whole = [shingles(h[words.first[i] : words.first[i + 1]]) for i in rank]
-        self.question, self.answer, self.whole = [s[0] for s in sets], [s[1] for s in sets], whole
 
     def term_of(self, h: np.ndarray) -> np.ndarray:
         """The term of each word, or -1."""
@@ -125,10 +132,10 @@ def passages(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def retrieve(index: Index, words: Words, threshold: float) -> list[tuple[int, int, float]]:
-    """(document, item, score) of all items that reach the threshold in a passage of the document, with the best score."""
+    """(document, item, score) of all items that reach the threshold in a passage of the document, as a whole or by the longer part, with the best score of the whole, else of the part."""
     term = index.term_of(words.hashes())
     doc, first, last = passages(words)
-    best: dict[tuple[int, int], float] = {}
+    best: dict[tuple[int, int], tuple[bool, float]] = {}
     at = np.flatnonzero(term >= 0)
     low, high = np.searchsorted(at, first), np.searchsorted(at, last)
     size = high - low
@@ -158,9 +165,10 @@ def retrieve(index: Index, words: Words, threshold: float) -> list[tuple[int, in
             score = np.bincount(slot, weights=index.impact[posting], minlength=(d - c) * BLOCK)
             for x in np.flatnonzero(score >= threshold):
                 k = c + x // BLOCK
-                key = (int(doc[a + rows[row[k]]]), int(block[k] * BLOCK + x % BLOCK))
-                best[key] = max(best.get(key, 0.0), float(score[x]))
-    return [(d, i, s) for (d, i), s in sorted(best.items())]
+                entry = block[k] * BLOCK + x % BLOCK
+                key = (int(doc[a + rows[row[k]]]), int(index.of[entry]))
+                best[key] = max(best.get(key, (False, 0.0)), (not index.is_part[entry], float(score[x])))
+    return [(d, i, s) for (d, i), (_, s) in sorted(best.items())]
 
 
 def _even(size: np.ndarray, limit: int):
@@ -176,7 +184,7 @@ def _even(size: np.ndarray, limit: int):
 
 def _share(part: np.ndarray, found: np.ndarray) -> float:
     if not len(part):
-        return 0.0
+        return 1.0
     at = np.minimum(np.searchsorted(found, part), max(len(found) - 1, 0))
     return float((found[at] == part).mean()) if len(found) else 0.0
 
@@ -197,9 +205,9 @@ def hits(index: Index, texts: list[bytes], threshold: float, overlap: float):
                 sets[d, k] = np.unique(windows(own, k)) if k else own[:0]
             return _share(wanted, sets[d, k])
 
-        whole = has(index.whole[i])
-        if whole >= overlap:
-            out.append((d, i, score, has(index.question[i]), has(index.answer[i])))
+        question = has(index.question[i])
+        if question >= overlap and (answer := has(index.answer[i])) >= overlap:
+            out.append((d, i, score, question, answer))
     return out
 
 

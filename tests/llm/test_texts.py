@@ -188,3 +188,21 @@ def test_decontamination(spark):
     want = sorted((d, i) for d, t in docs if t for i, item in enumerate(items) if len(shingles(item) & shingles(t)) >= 0.8 * len(shingles(item)))
     assert got == want and len(got) == 21
     assert decontamination.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_decontamination_by_parts(spark):
+    rng = np.random.default_rng(9)
+    question, answer = (" ".join(f"{x}{i}" for i in range(8)) for x in "qa")
+    long_question, short_answer = " ".join(f"l{i}" for i in range(40)), " ".join(f"s{i}" for i in range(5))
+    items = [(1, f"{question}?\n{answer}"), (2, f"{long_question}?\n{short_answer}"), (3, "one two three four five six\n...")]
+    filler = " ".join(rng.choice([f"w{i}" for i in range(400)], 300))
+    docs = [
+        (1, f"{filler} {question}? Choices: A, B. Answer: {answer} {filler}"),
+        (2, f"{question} {filler} {answer}"),
+        (3, f"{filler} {answer} {filler}"),
+        (4, f"{filler} {long_question}? {filler}"),
+        (5, f"{short_answer} {filler} {long_question}"),
+        (6, f"{filler} one two three four five six"),
+    ]
+    out = decontamination.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.item_id) for r in out.collect()) == [(1, 1), (2, 1), (5, 2), (6, 3)]
