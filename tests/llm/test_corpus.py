@@ -55,6 +55,23 @@ def corpus():
     return list(enumerate(rows))
 
 
+def near_misses():
+    """Copies of a few texts with one to five edits, cuts and passages of the others: many pairs just below the threshold."""
+    rng = np.random.default_rng(11)
+    bases = [list(rng.choice(VOCABULARY, n)) for n in (40, 60, 90, 90)]
+    rows = []
+    for i in range(130):
+        words = list(bases[i % 4])
+        for at in rng.integers(0, len(words), rng.integers(0, 6)):
+            words[at] = f"e{rng.integers(0, 30)}"
+        if i % 5 == 0:
+            words = words[: len(words) - int(rng.integers(1, 12))]
+        if i % 9 == 0:
+            words += bases[(i + 1) % 4][: int(rng.integers(5, 30))]
+        rows.append(" ".join(words))
+    return list(enumerate(rows))
+
+
 def brute_jaccard(rows, k, percent):
     sets = []
     for _, t in rows:
@@ -64,15 +81,50 @@ def brute_jaccard(rows, k, percent):
     return [(i, len(s), c) for (i, _), s, c in zip(rows, sets, components(len(rows), links))]
 
 
-@pytest.mark.parametrize("k, percent, chunk", [(3, 90, 2048), (5, 80, 3)])
-def test_jaccard_join(spark, monkeypatch, k, percent, chunk):
-    monkeypatch.setattr(jaccard_join, "CHUNK", chunk)
-    rows = corpus()
+@pytest.mark.parametrize("k, percent, unit, seed", [(3, 90, 300_000, 0), (5, 80, 300, 0), (3, 90, 150, 1), (5, 80, 1, 1)])
+def test_jaccard_join(spark, monkeypatch, k, percent, unit, seed):
+    """Groups of near copies at all distances round the threshold, dealt in one unit a home, or in several."""
+    monkeypatch.setattr(jaccard_join, "UNIT", unit)
+    rows = corpus() if not seed else near_misses()
     docs = spark.createDataFrame([(i, t, "n") for i, t in rows], "doc_id long, text string, node string").repartition(3)
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(docs, k=k, percent=percent).collect())
     assert got == brute_jaccard(rows, k, percent)
 
 
+def test_jaccard_join_with_odd_ids(spark):
+    """Null ids and ids that several texts have."""
+    a, b = " ".join(VOCABULARY[:60]), " ".join(VOCABULARY[100:160])
+    rows = [(1, a), (1, b), (2, a + " more"), (None, b), (None, "x " * 20), (None, b + " z"), (7, "y " * 9), (None, None)]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    want = [(1, 58, 1), (1, 58, 1), (2, 59, 1), (None, 58, 1), (None, 1, None), (None, 59, 1), (7, 1, 7), (None, 0, None)]
+    assert collections.Counter(got) == collections.Counter(want)
+
+
+@pytest.mark.parametrize("ids", ["plain", "odd"])
+def test_one_of_each(spark, ids):
+    a, b = " ".join(VOCABULARY[:60]), " ".join(VOCABULARY[100:160])
+    rows = [(5, a, 0), (3, a + " more", 1), (9, b, 2), (10, None, 3), (11, "", 4), (12, "lone words", 5)]
+    want = [(3, 1), (9, 2), (10, 3), (11, 4), (12, 5)]
+    if ids == "odd":
+        rows += [(3, a + " more", 1), (12, a, 6), (None, b, 7), (None, "twice", 8), (None, "twice", 8), (None, None, 9), (None, None, 9)]
+        want += [(None, 8), (None, 9), (None, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node int").repartition(2)
+    out = jaccard_join.one_of_each(spark, docs)
+    assert out.columns == docs.columns
+    assert sorted(map(str, ((r.doc_id, r.node) for r in out.collect()))) == sorted(map(str, want))
+    assert jaccard_join.one_of_each(spark, docs.limit(0)).count() == 0
+
+
+def test_clusters_lose_no_pair():
+    """Groups that the filter parts never link."""
+    rng = np.random.default_rng(12)
+    for _ in range(20):
+        sets = [np.unique(rng.integers(0, 60, rng.integers(20, 60)).astype(np.uint64)) for _ in range(25)]
+        label = jaccard_join.clusters(np.array([len(s) for s in sets]), [s[: jaccard_join.prefix_length(len(s), 60)] for s in sets], 60)
+        for a, b in itertools.combinations(range(25), 2):
+            assert label[a] == label[b] or 100 * len(np.intersect1d(sets[a], sets[b])) < 60 * len(np.union1d(sets[a], sets[b]))
+
+
 def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
