@@ -5,10 +5,13 @@ each candidate comes from hashed character trigrams and the hashed word, and a
 Viterbi pass with a switching penalty labels the spans of mixed-language text.
 
 Defined results: a null or empty text, or one without letters, gets ``und``,
-score 0 and no spans.  Ties go to the language whose name sorts first.
-Repeated rows and rows with a null id are each labelled like any other row.
-With no rows to learn from every text gets ``und``.  Columns other than the id
-and the text are neither read nor returned.
+score 0 and no spans.  Words of a script that no learned language uses make
+spans of ``und``; a text of such words alone gets the language whose scores
+are best all the same, with score 0.  Ties go to the language whose name sorts
+first.  Repeated rows and rows with a null id are each labelled like any other
+row.  With no rows to learn from every text gets ``und``.  Columns other than
+those to keep and the text are not read; added columns whose names are taken
+get an underscore before them.
 """
 
 from __future__ import annotations
@@ -19,12 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
-from .common import fold, small_batches, table
+from .common import fold, fresh, small_batches, table
 from .textvec import blocks
 
 #: At most about so many training documents of each language are read, none longer than this.
 DOCS_PER_LANGUAGE = 1000
+#: Of a corpus with more values of lang than this the most frequent are learned.
+MAX_LANGUAGES = 200
 MAX_TRAINING_CHARS = 200_000
 BUCKET_BITS = 17
 BUCKETS = 1 << BUCKET_BITS
@@ -125,11 +131,12 @@ def train(rows: list[tuple[str, str]]) -> Model:
 
 
 def word_scores(model: Model, x: Letters) -> np.ndarray:
-    """Of each word for each language; -inf where the word's script is not of the language."""
+    """Of each word for each language; -inf where the word's script is of other languages only."""
     out = np.empty((len(x.start), len(model.languages)), dtype=np.float32)
+    known = model.uses.any(axis=0)
     for i in range(len(model.languages)):
         out[:, i] = np.add.reduceat(model.gram[i][x.gram], x.at) + model.word[i][x.word]
-        out[~model.uses[i][x.script], i] = -np.inf
+        out[(known & ~model.uses[i])[x.script], i] = -np.inf
     return out
 
 
@@ -160,8 +167,7 @@ def uniform(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty: f
 
 def best_paths(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty: float) -> np.ndarray:
     """The best path through each text; only texts in which a switch may pay go through the Viterbi pass."""
-    low = np.float32(-1e4)
-    scores = np.where(np.isfinite(scores).any(axis=1, keepdims=True), np.maximum(scores, low), 0)
+    scores = np.maximum(scores, np.float32(-1e4))
     if not len(scores):
         return np.zeros(0, dtype=np.int16)
     best, sure = uniform(scores, first, count, penalty)
@@ -177,7 +183,7 @@ def best_paths(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty
 def viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty: float) -> np.ndarray:
     """The best path of languages through each text's words; all texts advance together, a word a step.
 
-    Scores are finite: a word of a script that no language uses has zeros, and so no say."""
+    Scores are finite."""
     n, k = scores.shape
     order = np.argsort(-count, kind="stable")
     begin, total = first[order], count[order]
@@ -208,10 +214,10 @@ def viterbi(scores: np.ndarray, first: np.ndarray, count: np.ndarray, penalty: f
     return path
 
 
-SCHEMA = "lang_pred string, score double, n_spans long, spans array<struct<start:long,end:long,lang:string>>"
+ADDED = {"lang_pred": "string", "score": "double", "n_spans": "long", "spans": "array<struct<start:long,end:long,lang:string>>"}
 
 
-def _label(batches, model: Model, penalty: float, ids: int):
+def _label(batches, model: Model, penalty: float, ids: int, added: list[str]):
     kind = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())])
     names = np.array([*model.languages, "und"], dtype=object)
     k = len(model.languages)
@@ -225,9 +231,10 @@ def _label(batches, model: Model, penalty: float, ids: int):
             if k and len(doc):
                 scores = word_scores(model, x)
                 path = best_paths(scores, x.first, x.count, penalty)
-                path = np.where(np.isfinite(scores).any(axis=1), path, k)
+                anyhow = np.bincount(doc * k + path, weights=weight, minlength=n * k).reshape(n, k).argmax(axis=1)
+                path = np.where(model.uses.any(axis=0)[x.script], path, k)
             else:
-                path = np.full(len(doc), k)
+                path, anyhow = np.full(len(doc), k), np.full(n, k)
             share = np.bincount(doc * (k + 1) + path, weights=weight, minlength=n * (k + 1)).reshape(n, k + 1)
             best = share[:, :k].argmax(axis=1) if k else np.zeros(n, dtype=int)
             top = share[np.arange(n), best] if k else np.zeros(n)
@@ -245,27 +252,29 @@ def _label(batches, model: Model, penalty: float, ids: int):
             offsets = np.concatenate(([0], np.cumsum(n_spans))).astype(np.int32)
             columns = [batch.column(i).slice(a, b - a) for i in range(ids)]
             columns += [
-                pa.array(names[np.where(top > 0, best, k)], type=pa.string()),
+                pa.array(names[np.where(top > 0, best, np.where(x.count > 0, anyhow, k))], type=pa.string()),
                 pa.array(top / np.maximum(total, 1)),
                 pa.array(n_spans.astype(np.int64)),
                 pa.ListArray.from_arrays(pa.array(offsets), values),
             ]
-            fields = [*list(batch.schema)[:ids], pa.field("lang_pred", pa.string()), pa.field("score", pa.float64()), pa.field("n_spans", pa.int64()), pa.field("spans", pa.list_(kind))]
+            fields = [*list(batch.schema)[:ids], *map(pa.field, added, [pa.string(), pa.float64(), pa.int64(), pa.list_(kind)])]
             yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
 
 def label_spans(df: DataFrame, model: Model, text: str, keep: list[str], penalty: float = SWITCH_PENALTY) -> DataFrame:
     """The columns keep of each row, its language (the one with most letters), that share, and the labelled spans (code points)."""
     small_batches(df.sparkSession)
-    chosen = df.select(*keep, F.col(text).alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(partial(_label, model=model, penalty=penalty, ids=len(keep)), f"{kinds}, {SCHEMA}")
+    kept = df.select(*(F.col(f"`{c}`") for c in keep))
+    added = [fresh(kept, c) for c in ADDED]
+    chosen = df.select(*(F.col(f"`{c}`") for c in keep), F.col(text).alias(fresh(kept, "text")))
+    schema = StructType([*kept.schema.fields, *(StructField(c, DataType.fromDDL(kind)) for c, kind in zip(added, ADDED.values()))])
+    return chosen.mapInArrow(partial(_label, model=model, penalty=penalty, ids=len(keep), added=added), schema)
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = DOCS_PER_LANGUAGE) -> Model:
     """Learns from at most about per_language rows of each language, those whose hashed ids are the smallest."""
     usable = df.filter(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) <= MAX_TRAINING_CHARS))
-    sizes = {r[0]: r[1] for r in usable.groupBy(lang).count().collect()}
+    sizes = {r[0]: r[1] for r in usable.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(MAX_LANGUAGES).collect()}
     if not sizes:
         return train([])
     share = F.lit(0.0)
@@ -281,14 +290,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.filter(fold("doc_id", 4) != 2))
     out = label_spans(docs, model, "text", ["doc_id"])
-    return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "n_spans")
+    return out.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "n_spans")
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None, min_share: float = 0.4) -> DataFrame:
     """Pipeline stage: documents without letters, or in which no language holds min_share of the letters, go.
 
-    Rows keep their columns and their number: each is judged by itself, so repeated rows and null ids are harmless."""
+    Rows keep their columns: each is judged by itself, so repeated rows, null ids and extra columns are harmless."""
     model = fit(docs.filter(fold("doc_id", 4) != 2))
-    columns = docs.columns
-    out = label_spans(docs, model, "text", columns)
-    return out.filter((F.col("lang_pred") != "und") & (F.col("score") >= min_share)).select(*columns)
+    lang, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    out = label_spans(docs, model, "text", docs.columns)
+    return out.filter((F.col(lang) != "und") & (F.col(score) >= min_share)).select(*docs.columns)
