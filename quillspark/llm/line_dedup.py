@@ -9,7 +9,8 @@ with a null host or a null text are left as they are (a page with a null text
 still counts as a page of its host).  A line that repeats within a page counts
 once for the page, and every copy of it goes.  Repeated rows are pages of
 their own.  A page of which nothing remains keeps its row, with an empty text.
-All columns of the input are returned; the two that are added must not clash.
+All columns of the input are returned as they are but for the text; of the two
+that are added, one whose name is taken gets an underscore before it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled, small_join, table
+from .common import fresh, settled, small_join, table
 
 #: A line is boilerplate if more than this share of its host's pages have it, and at least MIN_PAGES do.
 MAX_RATIO = 0.1
@@ -46,29 +47,29 @@ def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_R
 
 def dedup_lines(pages: DataFrame, host: str = "source", text: str = "text", max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """pages with boilerplate lines dropped from the text, and n_lines and n_dropped."""
-    drop = settled(boilerplate(pages, host, text, max_ratio, min_pages))
-    joined = small_join(pages.withColumn("__host", F.col(host)), drop, ["__host"], "left")
+    site, listed, kept = (fresh(pages, c) for c in ("__host", "__drop", "__kept"))
+    drop = settled(boilerplate(pages, host, text, max_ratio, min_pages)).toDF(site, listed)
+    joined = small_join(pages.withColumn(site, F.col(host)), drop, [site], "left")
     lines = _lines(F.col(text))
-    kept = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col("__drop"), F.xxhash64(x)))
-    out = F.when(F.col("__drop").isNull() | F.col(text).isNull(), lines).otherwise(kept)
-    body = joined.withColumn("__kept", out)
+    left = F.filter(lines, lambda x: _blank(x) | ~F.array_contains(F.col(listed), F.xxhash64(x)))
+    body = joined.withColumn(kept, F.when(F.col(listed).isNull() | F.col(text).isNull(), lines).otherwise(left))
+    count = lambda x: F.coalesce(x, F.lit(0)).cast("long")
     return body.select(
-        *(F.concat_ws("\n", "__kept").alias(text) if c == text else F.col(f"`{c}`") for c in pages.columns),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size(lines) - F.size("__kept"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.col(text).isNull().alias("__null"),
-    ).withColumn(text, F.when(~F.col("__null"), F.col(text))).drop("__null")
+        *(F.when(F.col(text).isNotNull(), F.concat_ws("\n", kept)).alias(text) if c == text else F.col(f"`{c}`") for c in pages.columns),
+        count(F.size(lines)).alias(fresh(pages, "n_lines")),
+        count(F.size(lines) - F.size(kept)).alias(fresh(pages, "n_dropped")),
+    )
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "source", "text", "n_lines", "n_dropped")
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """Pipeline stage: boilerplate lines go from the texts; every document stays, with its new length."""
+    """Pipeline stage: boilerplate lines go from the texts; every document stays, with its new length; other columns are kept as they are."""
     out = dedup_lines(docs)
     length = F.length("text").cast(docs.schema["n_chars"].dataType)
-    return out.withColumn("n_chars", length).select(*docs.columns)
+    return out.withColumn("n_chars", length).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 SQL_LINES = f"""
