@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-Hashed words and hashed character n-grams each have a learned vector; the
-vectors of a document are averaged and a softmax over the average gives its
+Hashed words, word bigrams and character n-grams each have a learned vector;
+the vectors of a document are averaged and a softmax over the average gives its
 class.  Training is stochastic gradient descent in numpy over a bounded
 sample of labelled documents.  As softmax follows a linear map of the
 average, every vector's part of the logit is computed once before scoring,
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, small_batches, table
 from .samples import labelled
-from .textvec import Words, as_bytes, blocks
+from .textvec import Words, as_bytes, blocks, windows
 
 #: At most so many labelled documents are learned from.
 TRAINING_ROWS = 3000
@@ -34,17 +34,14 @@ RATE = 0.3
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the hashed words and of the character trigrams and pentagrams (over bytes), one after another, and which text each is of.
-
-    Word bigrams count by their shape only: whether the second word is the first again."""
+    """Buckets of the hashed words, word bigrams and character trigrams and pentagrams (over bytes), one after another, and which text each is of."""
     words = Words(texts, lower=False)
     n, shift = len(texts), np.uint64(64 - BUCKET_BITS)
     doc = words.doc.astype(np.int32)
     owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(words.offset))
     hashes = words.hashes()
     near = doc[1:] == doc[:-1]
-    again = (hashes[1:] == hashes[:-1]).astype(np.int32)
-    out, docs = [(hashes >> shift).astype(np.int32), again[near]], [doc, doc[1:][near]]
+    out, docs = [(hashes >> shift).astype(np.int32), (windows(hashes, 2) >> shift).astype(np.int32)[near]], [doc, doc[1:][near]]
     buf = words.buf.astype(np.uint32)
     for size, seed in ((3, 0x9E3779B1), (5, 0x85EBCA77)):
         if len(buf) < size:
@@ -57,7 +54,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             h ^= h >> np.uint32(15)
         h *= np.uint32(0x27D4EB2F)
         within = owner[:m] == owner[size - 1 :]
-        # The separator that ends each text is a feature of none.
+        # The line end that closes each text counts as its last character.
         out.append((h >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)[within])
         docs.append(owner[:m][within])
     return out, docs
@@ -127,7 +124,7 @@ def _score(batches, logit: np.ndarray, bias: float):
 
 
 def fit(docs: DataFrame, labels: DataFrame, usable, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAINING_ROWS) -> Model | None:
-    sample = labelled(docs.select(key, text), labels, label, usable, key, rows).select(text, "__label").toArrow()
+    sample = labelled(docs, labels, label, usable, key, text, rows).select(text, "__label").toArrow()
     if not sample.num_rows:
         return None
     y = sample.column(1).to_numpy().astype(int)
@@ -147,4 +144,4 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
     out = classify(docs, model)
-    return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
