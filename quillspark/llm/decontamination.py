@@ -1,11 +1,14 @@
 """Benchmark decontamination with a BM25 index of the test items and block-max WAND.
 
 Every passage (a window of words) of every training document is a query
-against an inverted index of test items.  Items are in blocks, each term has
-its largest impact within each block, and a block whose bound for a passage
-stays below the threshold is never opened.  All items that reach the threshold
-(a share of the item's own score, so that it is the same for short and long
-items) are retrieved.  The longer of an item's two parts, question and answer,
+against an inverted index of test items.  Items are in blocks, and each term
+has its largest impact, over all and within each block where it occurs.  Of a
+passage's terms those with the longest lists are passed over as long as their
+largest impacts together stay below the threshold: no item can reach it by
+them alone.  Only blocks in the lists of the others are looked at, and of
+these only those whose bound reaches the threshold are opened.  All items that
+reach it (a share of the item's own score, so that it is the same for short
+and long items) are retrieved.  The longer of an item's two parts, question and answer,
 is indexed as well, so that an item whose parts lie far apart is retrieved by
 it.  A hit is kept if shares of the shingles of the question and of the answer
 are found in the document, each MIN_OVERLAP or more, wherever they stand.
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 from .textvec import Words, as_bytes, blocks, windows
 
-ITEMS_PER_INDEX = 2000
+ITEMS_PER_INDEX = 50_000
 #: Words of a passage, and of the step to the next: any item of up to half a passage lies within one passage as a whole.
 PASSAGE, STEP = 128, 64
 BLOCK = 8
@@ -103,11 +106,15 @@ class Index:
         self.item, self.impact = place[item][order], impact[order].astype(np.float32)
         #: Of each entry: its item, and whether it is a part.
         self.of, self.is_part = rank % max(items, 1), rank >= items
-        blocks_of = n // BLOCK + 1
-        self.bounds = np.zeros((len(self.terms), blocks_of), dtype=np.float32)
-        np.maximum.at(self.bounds, (np.repeat(np.arange(len(df)), df), self.item // BLOCK), self.impact)
-        #: Of each posting: its term and block, as one sorted number.
-        self.place = np.repeat(np.arange(len(df)), df) * blocks_of + self.item // BLOCK
+        self.blocks = n // BLOCK + 1
+        #: Of each posting: its term and block, as one sorted number; and each such number once, with the largest impact there.
+        self.place = np.repeat(np.arange(len(df)), df) * self.blocks + self.item // BLOCK
+        self.met, first = np.unique(self.place, return_index=True)
+        self.bounds = np.maximum.reduceat(self.impact, first) if len(first) else self.impact
+        #: Of each term: where its blocks start, how many they are, and its largest impact.
+        self.begin = np.searchsorted(self.met, np.arange(len(df)) * self.blocks)
+        self.length = np.diff(np.append(self.begin, len(self.met)))
+        self.top = np.maximum.reduceat(self.bounds, self.begin) if len(df) else self.bounds
         self.few = np.zeros(1 << 16, dtype=bool)
         self.few[self.terms >> np.uint64(48)] = True
 
@@ -131,6 +138,34 @@ def passages(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc, first, np.minimum(first + PASSAGE, words.first[doc + 1])
 
 
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers of adjoining ranges, given by their first number and their length."""
+    return np.arange(n.sum()) + np.repeat(begin - np.cumsum(n) + n, n)
+
+
+def _candidates(index: Index, who: np.ndarray, t: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The passages and blocks whose bound reaches the threshold: who and t are the distinct (passage, term) pairs, sorted."""
+    order = np.lexsort((-index.length[t], who))
+    who, t = who[order], t[order]
+    starts = np.flatnonzero(np.diff(who, prepend=-1))
+    total = np.cumsum(index.top[t], dtype=np.float64)
+    before = np.repeat((total - index.top[t])[starts], np.diff(np.append(starts, len(who))))
+    # The pivot: up to it, terms with long lists can't reach the threshold together.
+    counts = total - before >= threshold
+    rest = np.bincount(who[~counts], weights=index.top[t[~counts]], minlength=who[-1] + 1)
+    w, x = who[counts], t[counts]
+    out = []
+    for a, b in _even(index.length[x], 2_000_000, w):
+        n = index.length[x[a:b]]
+        at = _ranges(index.begin[x[a:b]], n)
+        pair, place = np.unique(np.repeat(w[a:b], n) * np.int64(index.blocks) + index.met[at] % index.blocks, return_inverse=True)
+        bound = np.bincount(place, weights=index.bounds[at])
+        pair = pair[bound + rest[pair // index.blocks] >= threshold - 1e-6]
+        out.append(pair)
+    pair = np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+    return pair // index.blocks, pair % index.blocks
+
+
 def retrieve(index: Index, words: Words, threshold: float) -> list[tuple[int, int, float]]:
     """(document, item, score) of all items that reach the threshold in a passage of the document, as a whole or by the longer part, with the best score of the whole, else of the part."""
     term = index.term_of(words.hashes())
@@ -139,45 +174,40 @@ def retrieve(index: Index, words: Words, threshold: float) -> list[tuple[int, in
     at = np.flatnonzero(term >= 0)
     low, high = np.searchsorted(at, first), np.searchsorted(at, last)
     size = high - low
+    terms = max(len(index.terms), 1)
     for a, b in _even(size, 200_000):
         span = size[a:b]
-        who = np.repeat(np.arange(b - a), span)
-        flat = np.arange(span.sum()) - np.repeat(np.cumsum(span) - span, span) + np.repeat(low[a:b], span)
-        pair = np.unique(who * np.int64(len(index.terms)) + term[at[flat]])
-        who, t = pair // max(len(index.terms), 1), pair % max(len(index.terms), 1)
+        pair = np.unique(np.repeat(np.arange(b - a), span) * np.int64(terms) + term[at[_ranges(low[a:b], span)]])
+        who, t = pair // terms, pair % terms
         if not len(who):
             continue
-        # The sum of the terms' block maxima bounds the score of every item of the block.
-        starts = np.flatnonzero(np.diff(who, prepend=-1))
-        rows = who[starts]
-        bound = np.add.reduceat(index.bounds[t], starts, axis=0)
-        ends = np.append(starts[1:], len(who))
-        row, block = np.nonzero(bound >= threshold)
-        for c, d in _even((ends - starts)[row], 500_000):
-            n = (ends - starts)[row[c:d]]
-            pair = np.repeat(np.arange(d - c), n)
-            of = t[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[row[c:d]], n)]
-            opened = of * index.bounds.shape[1] + block[c:d][pair]
+        row, block = _candidates(index, who, t, threshold)
+        starts, stops = np.searchsorted(who, row, "left"), np.searchsorted(who, row, "right")
+        for c, d in _even(stops - starts, 500_000):
+            n = (stops - starts)[c:d]
+            slot = np.repeat(np.arange(d - c), n)
+            opened = t[_ranges(starts[c:d], n)] * index.blocks + block[c:d][slot]
             begin, stop = np.searchsorted(index.place, opened, "left"), np.searchsorted(index.place, opened, "right")
-            n = stop - begin
-            posting = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
-            slot = np.repeat(pair, n) * BLOCK + index.item[posting] % BLOCK
-            score = np.bincount(slot, weights=index.impact[posting], minlength=(d - c) * BLOCK)
+            posting = _ranges(begin, stop - begin)
+            entry = np.repeat(slot, stop - begin) * BLOCK + index.item[posting] % BLOCK
+            score = np.bincount(entry, weights=index.impact[posting], minlength=(d - c) * BLOCK)
             for x in np.flatnonzero(score >= threshold):
                 k = c + x // BLOCK
                 entry = block[k] * BLOCK + x % BLOCK
-                key = (int(doc[a + rows[row[k]]]), int(index.of[entry]))
+                key = (int(doc[a + row[k]]), int(index.of[entry]))
                 best[key] = max(best.get(key, (False, 0.0)), (not index.is_part[entry], float(score[x])))
     return [(d, i, s) for (d, i), (_, s) in sorted(best.items())]
 
 
-def _even(size: np.ndarray, limit: int):
-    """Ranges of passages with about limit words together."""
+def _even(size: np.ndarray, limit: int, owner: np.ndarray | None = None):
+    """Ranges of rows with about limit units together; rows of one owner aren't parted."""
     total = np.cumsum(size)
     a = 0
     while a < len(size):
         b = int(np.searchsorted(total, (total[a - 1] if a else 0) + limit, "right"))
         b = max(b, a + 1)
+        if owner is not None:
+            b = int(np.searchsorted(owner, owner[b - 1], "right"))
         yield a, b
         a = b
 
