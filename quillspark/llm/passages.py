@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import settled, small_batches, small_join, table
+from .common import discard, settled, small_batches, small_join, table
 from .components import connected_components
 from .textvec import Words, as_bytes, blocks, mix, windows
 
@@ -190,7 +190,8 @@ def _and_end(batches):
 def repeated_paragraphs(docs: DataFrame, key: str, text: str, percent: int = PERCENT) -> DataFrame:
     """Every paragraph of a component that two documents or more share: id, row, seq, words, start, end, component (a hash), copies and kept (the first one)."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("__key"), F.col(text).alias("__text"))
+    # Rows are numbered once, in a table, so that the texts read later are those that were banded.
+    rows = settled(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("__key"), F.col(text).alias("__text")))
     banded = rows.select("row", "__text").mapInArrow(_banded, KEYED)
     # Paragraphs without a key stay apart from each other.
     spread = F.coalesce("key", F.xxhash64("row", "seq"))
@@ -217,10 +218,14 @@ def repeated_paragraphs(docs: DataFrame, key: str, text: str, percent: int = PER
         .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     )
     groups = settled(connected_components(dealt.mapInArrow(partial(_links, percent=percent), "a long, b long")))
+    discard(sets)
+    discard(open_rows)
 
     each = met.select("row", "seq", "hash", "words", "start", "end").distinct()
     named = each.join(groups.toDF("hash", "component"), "hash", "left").withColumn("component", F.coalesce("component", "hash"))
     full = settled(named.join(rows.select("row", F.col("__key").alias(key)), "row").drop("hash"))
+    for done in (rows, met, groups):
+        discard(done)
     stats = full.groupBy("component").agg(F.count("*").alias("copies"), F.min(F.struct(key, "row", "seq")).alias("first"), F.min("row").alias("low"), F.max("row").alias("high")).filter("low < high")
     kept = (F.col("first.row") == F.col("row")) & (F.col("first.seq") == F.col("seq"))
     return full.join(stats, "component").select(key, "row", "seq", "words", "start", "end", "component", "copies", kept.alias("kept"))
