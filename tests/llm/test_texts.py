@@ -74,7 +74,9 @@ def test_language_spans(spark):
     by = {r.doc_id: r for r in got}
     assert len(got) == len(rows)
     assert [(s.lang, mixed[s.start : s.end].split()[0]) for s in by[1].spans] == [("en", "the"), ("xx", "kaz")]
-    assert [by[i].lang_pred for i in (2, 3, 4, 5, 6, 7)] == ["und", "und", "und", "ru", "en", "und"]
+    assert [by[i].lang_pred for i in (2, 3, 4, 5, 6)] == ["und", "und", "und", "ru", "en"]
+    # Letters of a script that no language uses: a language all the same, by a score of 0.
+    assert by[7].lang_pred in WORDS and by[7].score == 0 and [s.lang for s in by[7].spans] == ["und"]
     assert by[2].score == 0 and 0 < by[1].score < 1 and by[6].n_spans == 1
 
 
@@ -149,6 +151,47 @@ def test_base_patterns():
     assert pii.base_spans("5 4111 1111-1111 1111") == []
 
 
+def plain_spans(t):
+    """The base patterns as the contract states them."""
+    out = [(0, *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [(1, *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m.group())
+        total = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d)))
+        out += [(2, *m.span())] if 16 <= len(d) <= 19 and total % 10 == 0 else []
+    return out + [(3, *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+
+
+def test_base_patterns_equal_the_plain_ones():
+    rng = np.random.default_rng(8)
+    for alphabet in ("a1.@-", "12.5 ", "0+(9) -.", "aZ@.%_ 7", "4111-1 "):
+        for _ in range(1500):
+            t = "".join(rng.choice(list(alphabet), rng.integers(0, 40)))
+            assert pii.base_spans(t) == plain_spans(t), t
+
+
+def test_long_runs_are_read_once():
+    import time
+
+    start = time.time()
+    for run in ("a" * 5_000_000, "1" * 5_000_000, "1." * 2_500_000, "a@" * 2_500_000, "." * 5_000_000 + "@"):
+        assert pii.occurrences(run, [x for x in pii.base_spans(run) if x[0] > 1]) == []
+    assert time.time() - start < 60
+
+
+def test_hidden_secrets_are_recalled(spark):
+    """A fifth of the secrets have a shape that no pattern knows: their context finds them."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(200):
+        secret = "".join(rng.choice(list("0123456789abcdef"), 40)) if i % 5 else "Zq" + "".join(rng.choice(list("GHJKLMNPQR789"), 16))
+        rows.append((i, f"{text(rng, 'en', 6)} token = \"{secret}\" {text(rng, 'en', 6)} C3PO{i} xYzzy{i}"))
+    out = {r.doc_id: r for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {i: [dict(rows)[i][x.start : x.end] for x in r.discovered if x.kind == pii.SECRET] for i, r in out.items()}
+    assert all(len(v) == 1 and v[0] == dict(rows)[i].split('"')[1] for i, v in found.items())
+    assert pii.extract(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_context_discovers_new_identifiers(spark):
     rows = [(i, f"please write to contact mail a{i}@ex.org today") for i in range(6)]
     rows += [(10, "please write to contact mail bob@intranet today"), (11, "an odd bob@nowhere token"), (12, None), (13, ""), (10, "repeated 😀 row 1.2.3.4")]
@@ -190,6 +233,47 @@ def test_decontamination(spark):
     assert decontamination.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
+def test_retrieval_equals_exhaustive_bm25():
+    """All items whose BM25 score, recomputed item by item, reaches the threshold in some passage: pruning loses none and adds none."""
+    rng = np.random.default_rng(10)
+    for size in (5, 60, 400):
+        common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(size * 4)]
+        items = []
+        for _ in range(size):
+            n = int(rng.integers(4, 40))
+            items.append(" ".join(rng.choice(common if rng.random() < 0.5 else rare) for _ in range(n)).encode())
+        docs = []
+        for _ in range(30):
+            words = [str(w) for w in rng.choice(common + rare[: size // 2], 250)]
+            part = items[rng.integers(0, size)].decode().split()
+            keep = rng.random(len(part)) < rng.choice([0.5, 0.7, 1.0])
+            docs.append(" ".join([*words[:100], *(w for w, k in zip(part, keep) if k), *words[100:]]).encode())
+        index = decontamination.Index(list(range(size)), items)
+        parts = [decontamination.split_item(t) for t in items]
+        longer = [max(p, key=lambda x: len(x.split())) for p in parts]
+        entries = [t.split() for t in items] + [t.split() for t in longer]
+        df = {}
+        for words in entries[:size]:
+            for w in set(words):
+                df[w] = df.get(w, 0) + 1
+        mean = max(np.mean([len(w) for w in entries[:size]]), 1)
+        got = {(d, i) for d, i, _ in decontamination.retrieve(index, decontamination.Words(docs, lower=False, parts=decontamination._NOT_WORD), 0.6)}
+        want, near = set(), set()
+        for e, words in enumerate(entries):
+            norm = decontamination.K1 * (1 - decontamination.B + decontamination.B * len(words) / mean)
+            impact = {w: np.log(1 + (size - df[w] + 0.5) / (df[w] + 0.5)) * words.count(w) * (decontamination.K1 + 1) / (words.count(w) + norm) for w in set(words)}
+            own = sum(impact.values()) * min(1, decontamination.PASSAGE / 2 / max(len(words), 1))
+            for d, text_ in enumerate(docs):
+                all_words = text_.split()
+                for at in range(0, max(len(all_words) - decontamination.STEP, 1), decontamination.STEP):
+                    score = sum(impact.get(w, 0) for w in set(all_words[at : at + decontamination.PASSAGE])) / max(own, 1e-9)
+                    if abs(score - 0.6) < 1e-4:
+                        near.add((d, e % size))
+                    elif score >= 0.6:
+                        want.add((d, e % size))
+        assert want <= got and got - want <= near and want
+
+
 def test_decontamination_by_parts(spark):
     rng = np.random.default_rng(9)
     question, answer = (" ".join(f"{x}{i}" for i in range(8)) for x in "qa")
