@@ -2,34 +2,107 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+SPAN = "struct<start:bigint,end:bigint>"
+PIECE = "struct<at:bigint,g:string,m:string,t:string>"
+#: Matches that one running sum goes over; sums of whole runs place the next.
+RUN = 100
+
+
+def none_of(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def _length(piece: Column) -> Column:
+    return (F.length(piece["g"]) + F.coalesce(F.length(piece["m"]), F.lit(0))).cast("long")
+
+
+def _placed(run: Column, at: Column) -> Column:
+    zero = F.struct(at.cast("long").alias("at"), none_of(PIECE).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        piece = F.struct(acc["at"].alias("at"), x["g"].alias("g"), x["m"].alias("m"), x["t"].alias("t"))
+        return F.struct((acc["at"] + _length(x)).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
+
+    return F.aggregate(run, zero, step, lambda acc: acc["out"])
+
+
+def pieces(text: Column, regex: str, group: int = 0) -> Column:
+    """A text cut at every leftmost non-overlapping match: an array of at (0-based code points), g (what precedes a match), m (the match) and t (a group of it).
+
+    The last piece has no match.  Java's own match positions count UTF-16
+    units; summing the lengths of the pieces gives code points."""
+    found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
+    of = found if not group else F.regexp_extract_all(text, F.lit(regex), F.lit(group))
+    zipped = F.arrays_zip(F.split(text, regex, -1).alias("g"), found.alias("m"), of.alias("t"))
+
+    def placed(z: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(z), F.lit(RUN)), lambda i: F.slice(z, i, RUN))
+
+        def over(r: Column) -> Column:
+            sums = F.transform(r, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, p: n + _length(p)))
+            starts = F.aggregate(sums, F.struct(F.lit(0).cast("long").alias("at"), none_of("bigint").alias("out")),
+                                 lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+            return F.flatten(F.zip_with(r, starts, _placed))
+
+        return F.when(F.size(z) <= RUN, _placed(z, F.lit(0))).otherwise(let(runs, over))
+
+    return let(zipped, placed)
+
+
+def spans(text: Column, regex: str, group: int = 0, base: Column | int = 0) -> Column:
+    """Every leftmost non-overlapping match, in order: an array of start, end (end exclusive) and text; start and end are shifted by base.
+
+    With a group, text is that group of each match while start and end are the match's."""
+    shift = base if isinstance(base, Column) else F.lit(base).cast("long")
+    start = lambda p: p["at"] + F.length(p["g"]) + shift
+    made = lambda p: F.struct(start(p).alias("start"), (start(p) + F.length(p["m"])).alias("end"), p["t"].alias("text"))
+    return F.transform(F.filter(pieces(text, regex, group), lambda p: p["m"].isNotNull()), made)
+
+
+def bounds(array: Column) -> Column:
+    """start and end alone."""
+    return F.transform(array, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+
+
+def meets_any(span: Column, others: Column) -> Column:
+    """Whether a span overlaps one of others."""
+    return F.exists(others, lambda o: (span["start"] < o["end"]) & (o["start"] < span["end"]))
+
+
+def starts_in_any(span: Column, others: Column) -> Column:
+    return F.exists(others, lambda o: (o["start"] <= span["start"]) & (span["start"] < o["end"]))
+
+
+def covered_by_any(span: Column, others: Column) -> Column:
+    return F.exists(others, lambda o: (o["start"] <= span["start"]) & (span["end"] <= o["end"]))
+
+
+def gaps_between(cuts: Column, begin: Column, stop: Column) -> Column:
+    """What lies between sorted cuts, from begin to stop: an array of start and end, empty pieces included."""
+    starts = F.concat(F.array(begin.cast("long")), F.transform(cuts, lambda c: c["end"]))
+    ends = F.concat(F.transform(cuts, lambda c: c["start"]), F.array(stop.cast("long")))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("start"), b.alias("end")))
+
+
+def between(text: Column, span: Column) -> Column:
+    return F.substr(text, span["start"].cast("int") + 1, (span["end"] - span["start"]).cast("int"))
 
 
 def matches(df: DataFrame, regex: str, keys: Sequence[str] = ("chapter_number",), text: str = "content", base: str | None = None, group: int = 0) -> DataFrame:
-    """Every leftmost non-overlapping match: keys, k (its ordinal), start and end (0-based code points, end exclusive) and text.
-
-    Java's own match positions count UTF-16 units; summing the lengths of the
-    pieces round the matches gives code points.  With a group, text is that
-    group of each match while start and end are the match's.  All windows are
-    by the first key, so that later joins and windows by chapter don't shuffle again."""
-    gaps = F.split(text, regex, -1)
-    found = F.regexp_extract_all(F.col(text), F.lit(regex), F.lit(0))
-    parts = {"g": F.slice(gaps, 1, F.greatest(F.size(found), F.lit(0))), "m": found}
-    if group:
-        parts["t"] = F.regexp_extract_all(F.col(text), F.lit(regex), F.lit(group))
-    zipped = F.arrays_zip(*(c.alias(n) for n, c in parts.items()))
-    carried = [*keys, *([base] if base else [])]
-    rows = df.select(*carried, F.posexplode(zipped).alias("k", "p"))
-    before = Window.partitionBy(*keys).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    offset = F.sum(F.length("p.g") + F.length("p.m")).over(before)
-    shift = F.col(base) if base else F.lit(0)
-    end = (offset + shift).cast("long")
-    start = (offset + shift - F.length("p.m")).cast("long")
-    return rows.select(*keys, "k", start.alias("start"), end.alias("end"), F.col("p.t" if group else "p.m").alias("text"))
+    """A row for each match: keys, k (its ordinal), start, end and text, as spans() gives them. Nothing is shuffled."""
+    found = spans(F.col(text), regex, group, F.col(base) if base else 0)
+    return df.select(*keys, F.posexplode(found).alias("k", "m")).select(*keys, "k", "m.*")
 
 
 def outside(rows: DataFrame, spans: DataFrame) -> DataFrame:
@@ -82,9 +155,3 @@ def clip(text: Column, limit: int = 600) -> Column:
     """The stripped text, cut to limit characters with an ellipsis."""
     body = strip(text)
     return F.when(F.length(body) > limit, F.concat(F.regexp_replace(F.substring(body, 1, limit - 1), r"\s+$", ""), F.lit("…"))).otherwise(body)
-
-
-def overlap_ratio(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
-    """Intersection over union of two intervals."""
-    shared = F.greatest(F.lit(0), F.least(a_end, b_end) - F.greatest(a_start, b_start))
-    return shared / (F.greatest(a_end, b_end) - F.least(a_start, b_start))

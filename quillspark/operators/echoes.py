@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import matches, outside, within
-from .regions import paragraphs
+from ..functions.text import meets_any, pieces, spans, strip
 
 WORD = "[A-Za-z']+"
 #: Words that never count as an echo, fixed values.
@@ -21,10 +20,17 @@ STOP_WORDS = (
 ).split()
 
 
-def content_words(chapters: DataFrame, skip: DataFrame) -> DataFrame:
-    """chapter_number, i (ordinal), start, end, word: words of three letters or more that are not stop words."""
-    rows = outside(matches(chapters, WORD), skip).withColumn("word", F.lower("text")).filter((F.length("word") >= 3) & ~F.col("word").isin(STOP_WORDS))
-    return rows.select("chapter_number", F.row_number().over(Window.partitionBy("chapter_number").orderBy("start")).cast("long").alias("i"), "start", "end", "word")
+def _tokens(text: Column, skip: Column, base: Column | int = 0) -> Column:
+    """start, end and word (lower case) of the words that meet no span of skip."""
+    found = F.filter(spans(text, WORD, base=base), lambda x: ~meets_any(x, skip))
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lower(x["text"]).alias("word")))
+
+
+def content_words(chapters: DataFrame) -> DataFrame:
+    """Of chapters that are laid out: chapter_number, i (ordinal), start, end, word: words of three letters or more that are not stop words."""
+    stops = F.array(*map(F.lit, STOP_WORDS))
+    full = F.filter(_tokens(F.col("content"), F.col("skip")), lambda x: (F.length(x["word"]) >= 3) & ~F.array_contains(stops, x["word"]))
+    return chapters.select("chapter_number", F.posexplode(full).alias("k", "w")).select("chapter_number", (F.col("k") + 1).cast("long").alias("i"), "w.*")
 
 
 def local_repeats(words: DataFrame, window: int = 40, at_least: int = 3) -> DataFrame:
@@ -40,14 +46,17 @@ def local_repeats(words: DataFrame, window: int = 40, at_least: int = 3) -> Data
     return reached.withColumn("__first", first).filter("__first = 1").select("chapter_number", "i", "start", "end", "word", "n")
 
 
-def phrase_repeats(chapters: DataFrame, skip: DataFrame, sizes: tuple[int, ...] = (4, 3), max_gap: int = 2) -> DataFrame:
-    """The best close repeat of each paragraph: the longest phrase, then the smallest gap, then the phrase met first.
+def phrase_repeats(chapters: DataFrame, sizes: tuple[int, ...] = (4, 3), max_gap: int = 2) -> DataFrame:
+    """The best close repeat of each paragraph of chapters that are laid out: the longest phrase, then the smallest gap, then the phrase met first.
 
-    chapter_number, para (its start), phrase, gap, start, end (of both uses together)."""
-    paras = paragraphs(chapters).withColumn("para", F.col("start"))
-    tokens = within(outside(matches(chapters, WORD), skip), paras, ["para"], "inner").withColumn("word", F.lower("text"))
+    chapter_number, para (its start), phrase, gap, start, end (of both uses together), excerpt (the paragraph)."""
+    c = F.col("content")
+    cut = F.transform(pieces(c, r"\n\s*\n"), lambda p: F.struct(p["at"].alias("para"), p["g"].alias("body")))
+    paras = chapters.select("chapter_number", "skip", F.inline(F.filter(cut, lambda p: p["body"].rlike(r"\S"))))
+    rows = paras.select("chapter_number", "para", strip(F.col("body")).alias("excerpt"), F.posexplode(_tokens(F.col("body"), F.col("skip"), F.col("para"))).alias("p", "w"))
+    texts = rows.filter("p = 0").select("chapter_number", "para", "excerpt")
+    rows = rows.select("chapter_number", "para", "w.*", "p")
     of_para = Window.partitionBy("chapter_number", "para").orderBy("start")
-    rows = tokens.select("chapter_number", "para", "start", "end", "word", F.row_number().over(of_para).alias("p"))
     found = None
     for n in sizes:
         gram = F.array("word", *(F.lead("word", j).over(of_para) for j in range(1, n)))
@@ -61,7 +70,7 @@ def phrase_repeats(chapters: DataFrame, skip: DataFrame, sizes: tuple[int, ...]
         pair = pair.filter(F.exists("gram", _has_substance)).drop("gram")
         found = pair if found is None else found.unionByName(pair)
     best = F.row_number().over(Window.partitionBy("chapter_number", "para").orderBy(F.desc("n"), "gap", "met", "p"))
-    return found.withColumn("__best", best).filter("__best = 1").select("chapter_number", "para", "phrase", "gap", "start", "end")
+    return found.withColumn("__best", best).filter("__best = 1").join(texts, ["chapter_number", "para"]).select("chapter_number", "para", "phrase", "gap", "start", "end", "excerpt")
 
 
 def _has_substance(word: Column) -> Column:

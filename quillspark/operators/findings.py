@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import clip, matches, outside, within
-from .regions import BLOCK, paragraphs
+from ..functions.text import between, clip, gaps_between, let, matches, none_of, outside, within
+from .regions import BLOCK, non_prose, paragraphs
 
 SEVERITIES = ["critical", "error", "warning", "suggestion", "info"]
 ENGINES = {"deterministic": "det", "typesafe": "ts", "llm": "llm"}
@@ -34,19 +34,18 @@ def _of_rule(rule: Column, at: int) -> Column:
     return out
 
 
-def union(hits: Iterable[DataFrame]) -> DataFrame:
-    """Hits of several rules as findings, in the rules' order.
+def of_hits(hits: DataFrame, first: int = 0, engine: str = "deterministic") -> DataFrame:
+    """Hits of rules as findings; rule_ord counts from first.
 
-    emit order within a chapter: rule, then start, end and rule id."""
-    out = None
-    for order, rows in enumerate(hits):
-        rule = F.col("rule_id")
-        one = rows.select(
-            "chapter_number", F.lit(order).alias("rule_ord"), "rule_id", _of_rule(rule, 1).alias("category"), _of_rule(rule, 2).alias("severity"),
-            F.lit("deterministic").alias("engine"), "start", "end", F.col("text").alias("excerpt"), "replacement", F.col("replacement").isNotNull().alias("applyable"),
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    Emit order within a chapter: rule, then start, end and rule id."""
+    rule = F.col("rule_id")
+    optional = {"excerpt": "text", "replacement": "replacement", "message": "message"}
+    texts = {name: F.col(c) if c in hits.columns else F.lit(None).cast("string") for name, c in optional.items()}
+    return hits.select(
+        "chapter_number", (F.col("rule_ord") + first).alias("rule_ord"), "rule_id", _of_rule(rule, 1).alias("category"), _of_rule(rule, 2).alias("severity"),
+        F.lit(engine).alias("engine"), "start", "end", texts["excerpt"].alias("excerpt"), texts["replacement"].alias("replacement"),
+        texts["replacement"].isNotNull().alias("applyable"), texts["message"].alias("message"),
+    )
 
 
 def with_ids(findings: DataFrame) -> DataFrame:
@@ -61,38 +60,78 @@ def with_ids(findings: DataFrame) -> DataFrame:
     return findings.withColumn("id", F.concat(prefix, F.lit("-c"), padded, F.lit("-"), ordinal))
 
 
+def distinct_forms(forms: DataFrame) -> DataFrame:
+    """forms: form, nth.  Each spelling once, in its first form; letter case folds by lower case."""
+    bare = forms.select(F.trim("form").alias("form"), "nth").filter("form <> ''")
+    return bare.groupBy(F.lower("form").alias("folded")).agg(F.min(F.struct("nth", "form")).alias("f")).select("f.form", "f.nth", "folded")
+
+
+def _edged(text: Column, form: Column) -> Column:
+    """Whether a form stands in a text as whole words, in any case."""
+    return F.regexp_like(text, F.concat(F.lit(r"(?iU)(?<!\w)\Q"), F.replace(form, F.lit("\\E"), F.lit("")), F.lit(r"\E(?!\w)")))
+
+
 def without_protected(findings: DataFrame, forms: DataFrame) -> DataFrame:
-    """Findings whose excerpt is no protected form of the glossary, and whose replacement doesn't delete one.
+    """Findings whose excerpt is no protected form of the glossary, and whose replacement keeps each form, as whole words, that the excerpt has; an echo of a word within a form goes too.
 
     forms: form.  A glossary is small; whether it is broadcast Spark decides by its size."""
-    whole = forms.select(F.lower("form").alias("__f")).distinct()
-    rest = findings.join(whole, F.lower("excerpt") == F.col("__f"), "left_anti")
-    kept_out = F.contains(F.lower("excerpt"), F.col("__f")) & ~F.contains(F.lower("replacement"), F.col("__f"))
-    return rest.join(whole, F.col("replacement").isNotNull() & kept_out, "left_anti")
+    whole = forms.select(F.trim("form").alias("__form")).filter("__form <> ''").distinct()
+    flat = lambda x: F.lower(F.trim(F.regexp_replace(x, r"(?U)\s+", " ")))
+    folded = whole.select(flat(F.col("__form")).alias("__f")).distinct()
+    rest = findings.join(folded, flat(F.coalesce("excerpt", F.lit(""))) == F.col("__f"), "left_anti")
+    words = whole.select(F.explode(F.regexp_extract_all("__form", F.lit("[A-Za-z']+"), F.lit(0))).alias("__w")).select(F.lower("__w").alias("__w")).distinct()
+    if "word" in findings.columns:
+        rest = rest.join(words, (F.col("rule_id") == "echo.local_repeat") & (F.lower("word") == F.col("__w")), "left_anti")
+    lost = (F.coalesce("replacement", F.lit("")) != "") & _edged(F.col("excerpt"), F.col("__form")) & ~_edged(F.col("replacement"), F.col("__form"))
+    return rest.join(whole, lost, "left_anti")
+
+
+def skipping(findings: DataFrame, prefixes: list[str]) -> DataFrame:
+    """Findings but for those of rules that start with one of the prefixes."""
+    out = findings
+    for prefix in prefixes:
+        out = out.filter(~F.col("rule_id").startswith(prefix))
+    return out
+
+
+def same_message(message: Column) -> Column:
+    """The message in lower case with single spaces, by which notes without a place are told apart."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(message, F.lit("")), r"(?U)\s+", " ")))
 
 
 def dedupe(findings: DataFrame) -> DataFrame:
     """Of findings of one chapter and category that overlap by half or contain each other, the first; a later one of a higher engine takes its place.
 
-    Each step depends on what was kept before, so that a group is folded in order.  A group is the findings of one category of one chapter."""
+    Two without a place are the same if their messages are; one with a place and
+    one without are never.  Each step depends on what was kept before, so that a
+    group is folded in order.  A group is the findings of one category of one chapter."""
+
+    def same(a, b) -> bool:
+        placed = [x.start == x.start and x.start is not None and x.end == x.end and x.end is not None for x in (a, b)]
+        if not any(placed):
+            return a.said == b.said
+        if not all(placed):
+            return False
+        shared = max(0, min(a.end, b.end) - max(a.start, b.start))
+        whole = max(a.end, b.end) - min(a.start, b.start)
+        inside = (a.start >= b.start and a.end <= b.end) or (b.start >= a.start and b.end <= a.end)
+        return whole > 0 and (shared / whole >= 0.5 or inside)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["rule_ord", "start", "end", "rule_id"], kind="stable")
         kept: list = []
-        for row in rows.itertuples(index=False):
-            for i, prior in enumerate(kept):
-                shared = max(0, min(row.end, prior.end) - max(row.start, prior.start))
-                whole = max(row.end, prior.end) - min(row.start, prior.start)
-                inside = (row.start >= prior.start and row.end <= prior.end) or (prior.start >= row.start and prior.end <= row.end)
-                if whole > 0 and (shared / whole >= 0.5 or inside):
+        for place, row in enumerate(rows.itertuples(index=False)):
+            for i, (_, prior) in enumerate(kept):
+                if same(row, prior):
                     if ENGINE_RANK.get(row.engine, 0) > ENGINE_RANK.get(prior.engine, 0):
-                        kept[i] = row
+                        kept[i] = (place, row)
                     break
             else:
-                kept.append(row)
-        return pd.DataFrame(kept, columns=rows.columns)
+                kept.append((place, row))
+        return rows.iloc[[place for place, _ in kept]].drop(columns="said")
 
-    return findings.groupBy("chapter_number", "category").applyInPandas(fold, findings.schema)
+    said = findings.withColumn("said", same_message(F.col("message")) if "message" in findings.columns else F.lit(""))
+    return said.groupBy("chapter_number", "category").applyInPandas(fold, findings.schema)
 
 
 def buckets(findings: DataFrame) -> DataFrame:
@@ -109,9 +148,9 @@ def summary(findings: DataFrame) -> DataFrame:
 
 
 def chapter_rollup(findings: DataFrame) -> DataFrame:
-    """Per chapter the ids of its action list, in order, as one string, and how many."""
-    action = buckets(findings).filter("bucket = 'action'")
-    return action.groupBy("chapter_number").agg(F.count("*").alias("n"), F.concat_ws(",", F.sort_array(F.collect_list("id"))).alias("finding_ids"))
+    """Per chapter the ids of its action list, in the order of the findings, as one string, and how many."""
+    action = buckets(findings).filter("bucket = 'action'").withColumn("f", F.struct(F.length("id").alias("size"), "id"))
+    return action.groupBy("chapter_number").agg(F.count("*").alias("n"), F.concat_ws(",", F.transform(F.sort_array(F.collect_list("f")), lambda x: x["id"])).alias("finding_ids"))
 
 
 def top_findings(findings: DataFrame, limit: int = 50) -> DataFrame:
@@ -122,44 +161,44 @@ def top_findings(findings: DataFrame, limit: int = 50) -> DataFrame:
     return findings.orderBy(rank, "category", "chapter_number", "start", "id").limit(limit)
 
 
+EDIT = "struct<rank:int,rule_id:string,start:bigint,end:bigint,replacement:string,excerpt:string>"
+
+
 def apply_edits(chapters: DataFrame, findings: DataFrame) -> DataFrame:
     """chapter_number, content with all safe edits pasted, applied (their number).
 
     Of overlapping edits the more severe stays, then that of the first rule id,
-    then the first; an edit whose text isn't in its place is left out."""
-    edits = findings.filter((F.col("engine") == "deterministic") & F.col("applyable") & F.col("replacement").isNotNull())
-    true = edits.join(chapters.select("chapter_number", "content"), "chapter_number").filter(
-        F.substr("content", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")) == F.col("excerpt")
-    )
-
-    def splice(rows: pd.DataFrame) -> pd.DataFrame:
-        order = {s: i for i, s in enumerate(SEVERITIES)}
-        kept: list = []
-        for row in sorted(rows.itertuples(index=False), key=lambda x: (order.get(x.severity, 9), x.rule_id, x.start)):
-            if all(row.end <= k.start or k.end <= row.start for k in kept):
-                kept.append(row)
-        text, out, at = rows.content.iloc[0], [], 0
-        for row in sorted(kept, key=lambda x: x.start):
-            out += [text[at : row.start], row.replacement]
-            at = row.end
-        return pd.DataFrame({"chapter_number": [rows.chapter_number.iloc[0]], "content": ["".join([*out, text[at:]])], "applied": [len(kept)]})
-
-    kind = chapters.schema["chapter_number"].dataType.simpleString()
-    done = true.select("chapter_number", "start", "end", "severity", "rule_id", "replacement", "content").groupBy("chapter_number").applyInPandas(
-        splice, f"chapter_number {kind}, content string, applied long"
-    )
-    rest = chapters.join(true.select("chapter_number").distinct(), "chapter_number", "left_anti").select("chapter_number", "content", F.lit(0).cast("long").alias("applied"))
-    return done.unionByName(rest)
+    then the first; an edit whose text isn't in its place is left out.  A
+    chapter's edits are one array, which meets its text once."""
+    rank = F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity")), F.lit(0)).cast("int")
+    edit = F.struct(F.when(rank == 0, 9).otherwise(rank).alias("rank"), "rule_id", "start", "end", "replacement", "excerpt")
+    safe = findings.filter((F.col("engine") == "deterministic") & F.col("applyable") & F.col("replacement").isNotNull())
+    edits = safe.groupBy("chapter_number").agg(F.sort_array(F.collect_list(edit)).alias("edits"))
+    c = F.col("content")
+
+    def keep(kept: Column, x: Column) -> Column:
+        free = ~F.exists(kept, lambda k: (x["start"] < k["end"]) & (k["start"] < x["end"]))
+        return F.when(free, F.concat(kept, F.array(x))).otherwise(kept)
+
+    true = F.filter(F.coalesce("edits", none_of(EDIT)), lambda x: between(c, x) == x["excerpt"])
+    kept = let(true, lambda t: F.aggregate(t.cast(f"array<{EDIT}>"), none_of(EDIT), keep))
+    in_place = F.array_sort(F.transform("kept", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["replacement"].alias("new"))))
+    pasted = let(in_place, lambda e: F.concat_ws("", F.flatten(F.zip_with(
+        gaps_between(e, F.lit(0), F.length(c)), e, lambda gap, x: F.array(between(c, gap), F.coalesce(x["new"], F.lit("")))
+    ))))
+    rows = chapters.join(edits, "chapter_number", "left").withColumn("kept", kept)
+    return rows.select("chapter_number", pasted.alias("content"), F.size("kept").cast("long").alias("applied"))
 
 
 AGREEMENT = r"(?i)\b(?:they\s+was|he\s+were|she\s+were|it\s+were|i\s+is|we\s+is|you\s+is|he\s+don't|she\s+don't|it\s+don't)\b"
 TERMINAL = r"""[.?!]["')\]]*$"""
 
 
-def judge_candidates(chapters: DataFrame, skip: DataFrame, findings: DataFrame, limit: int = 8) -> DataFrame:
+def judge_candidates(chapters: DataFrame, findings: DataFrame, limit: int = 8) -> DataFrame:
     """What a chapter's judge is shown: fragments and disagreements first, then echoes and wordy spans; one of equal spans.
 
     chapter_number, nth, start, end, source, text."""
+    skip = non_prose(chapters)
     paras = paragraphs(chapters)
     body = F.regexp_replace("text", r"^\s+|\s+$", "")
     odd = paras.filter(((F.length(body) > 40) & ~body.rlike(TERMINAL)) | F.col("text").rlike(AGREEMENT))

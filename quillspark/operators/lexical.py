@@ -1,16 +1,23 @@
-"""Lexical rules: each gives hits (chapter_number, start, end, rule_id, text, replacement), a null replacement where nothing may be pasted."""
+"""Lexical rules.
+
+A rule is a function of a chapter's content and, where they are known, its
+spans that aren't prose and its quotes; it gives an array of hits (start, end,
+rule_id, text, replacement; a null replacement where nothing may be pasted).
+Any number of rules are laid on a chapter in one projection.
+"""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.text import keep_initial, match_case, matches, outside, starting_outside
+from ..functions.text import keep_initial, let, match_case, meets_any, none_of, spans, starts_in_any
 
-HIT = ["chapter_number", "start", "end", "rule_id", "text", "replacement"]
+HIT = "struct<start:bigint,end:bigint,rule_id:string,text:string,replacement:string>"
+Rule = Callable[[Column, Column | None, Column | None], Column]
 
 #: Terms of Earth's history, and words that show that a text is set on Earth.
 EARTH_TERMS = [
@@ -44,93 +51,94 @@ WORDY = [
 ]
 
 
-def _free(rows: DataFrame, skip: DataFrame | None) -> DataFrame:
-    return rows if skip is None else outside(rows, skip)
+def _free(found: Column, skip: Column | None, quotes: Column | None = None) -> Column:
+    """The spans that meet none of skip, and that start in none of the quotes."""
+    out = found if skip is None else F.filter(found, lambda x: ~meets_any(x, skip))
+    return out if quotes is None else F.filter(out, lambda x: ~starts_in_any(x, quotes))
+
 
+def _hits(found: Column, rule: str | Callable[[Column], Column], replacement: Callable[[Column], Column] | None = None, text: Callable[[Column], Column] = lambda x: x["text"]) -> Column:
+    def hit(x: Column) -> Column:
+        name = F.lit(rule) if isinstance(rule, str) else rule(x)
+        value = F.lit(None).cast("string") if replacement is None else replacement(x)
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), name.alias("rule_id"), text(x).alias("text"), value.alias("replacement"))
 
-def _hits(rows: DataFrame, rule: str | Column, replacement: Column | None = None) -> DataFrame:
-    rule = F.lit(rule) if isinstance(rule, str) else rule
-    value = F.lit(None).cast("string") if replacement is None else replacement
-    return rows.select("chapter_number", "start", "end", rule.alias("rule_id"), "text", value.alias("replacement"))
+    return F.transform(found, hit).cast(f"array<{HIT}>")
 
 
-def double_space(chapters: DataFrame, skip: DataFrame | None) -> DataFrame:
+def double_space(c: Column, skip: Column | None, quotes: Column | None = None) -> Column:
     """Two spaces or more within a line: not its indent, nor at its end."""
-    # What stands round the run tells; one character on each side is matched along.
-    rows = _free(matches(chapters, " {2,}"), skip).join(chapters.select("chapter_number", "content"), "chapter_number")
-    before = F.when(F.col("start") == 0, "\n").otherwise(F.substr("content", F.col("start").cast("int"), F.lit(1)))
-    after = F.when(F.col("end") == F.length("content"), "\n").otherwise(F.substr("content", F.col("end").cast("int") + 1, F.lit(1)))
-    return _hits(rows.filter((before != "\n") & ~after.isin("\n", "\r")), "mech.double_space", F.lit(" "))
+    return _hits(_free(spans(c, r"(?<=[^\n ]) {2,}(?=[^\n\r ])"), skip), "mech.double_space", lambda x: F.lit(" "))
 
 
-def trailing_space(chapters: DataFrame, skip: DataFrame | None) -> DataFrame:
-    return _hits(_free(matches(chapters, r"[ \t]+(?=\r?\n)|[ \t]+\z"), skip), "mech.trailing_ws", F.lit(""))
+def trailing_space(c: Column, skip: Column | None, quotes: Column | None = None) -> Column:
+    return _hits(_free(spans(c, r"[ \t]+(?=\r?\n)|[ \t]+\z"), skip), "mech.trailing_ws", lambda x: F.lit(""))
 
 
-def space_before_punctuation(chapters: DataFrame, skip: DataFrame | None, quoted: DataFrame | None) -> DataFrame:
-    rows = matches(chapters, r"[A-Za-z0-9_À-ɏ] ([,:;])", group=1).withColumn("start", F.col("start") + 1)
-    rows = _free(rows, skip)
-    rows = rows if quoted is None else starting_outside(rows, quoted)
-    return _hits(rows.withColumn("text", F.concat(F.lit(" "), "text")), "mech.space_before_punct", F.substr("text", F.lit(2)))
+def space_before_punctuation(c: Column, skip: Column | None, quotes: Column | None = None) -> Column:
+    found = spans(c, r"(?<=[A-Za-z0-9_À-ɏ]) [,:;]")
+    return _hits(_free(found, skip, quotes), "mech.space_before_punct", lambda x: F.substr(x["text"], F.lit(2)))
 
 
-def repeated_punctuation(chapters: DataFrame, skip: DataFrame | None) -> DataFrame:
-    return _hits(_free(matches(chapters, r"!{2,}").unionByName(matches(chapters, r"\?{2,}")), skip), "mech.repeated_punct")
+def repeated_punctuation(c: Column, skip: Column | None, quotes: Column | None = None) -> Column:
+    return _hits(_free(F.concat(spans(c, r"!{2,}"), spans(c, r"\?{2,}")), skip), "mech.repeated_punct")
 
 
-def em_dash(chapters: DataFrame, skip: DataFrame | None) -> DataFrame:
-    return _hits(_free(matches(chapters, "—|(?<!-)-{2}(?!-)"), skip), "style.em_dash")
+def em_dash(c: Column, skip: Column | None, quotes: Column | None = None) -> Column:
+    return _hits(_free(spans(c, "—|(?<!-)-{2}(?!-)"), skip), "style.em_dash")
 
 
-def earth_timeline(chapters: DataFrame, skip: DataFrame | None) -> DataFrame:
+def earth_timeline(c: Column, skip: Column | None, quotes: Column | None = None) -> Column:
     """No hits at all in a chapter that is set on Earth."""
-    elsewhere = chapters.filter(~F.col("content").rlike(EARTH_CUES))
     # One term matches within another: the second pass is for it.
     longer = "|".join(re.escape(t) for t in EARTH_TERMS if t != "cambrian")
-    found = None
-    for terms in (longer, "cambrian"):
-        rows = matches(elsewhere, rf"(?i)(?<![A-Za-z])(?:{terms})(?![A-Za-z])")
-        found = rows if found is None else found.unionByName(rows)
-    return _hits(_free(found, skip), "anachronism.earth_timeline")
+    found = F.concat(*(spans(c, rf"(?i)(?<![A-Za-z])(?:{terms})(?![A-Za-z])") for terms in (longer, "cambrian")))
+    return F.when(c.rlike(EARTH_CUES), none_of(HIT)).otherwise(_hits(_free(found, skip), "anachronism.earth_timeline"))
 
 
-def wordiness(chapters: DataFrame, skip: DataFrame | None, quoted: DataFrame | None) -> DataFrame:
+def wordiness(c: Column, skip: Column | None, quotes: Column | None = None) -> Column:
     """Of phrases that overlap only those count that come first in the list; as these begin alike, alternatives in that order do it in one pass."""
-    rows = _free(matches(chapters, rf"(?i)\b(?:{'|'.join(p for p, _, _ in WORDY)})\b"), skip)
-    rows = rows if quoted is None else starting_outside(rows, quoted)
+    found = _free(spans(c, rf"(?i)\b(?:{'|'.join(p for p, _, _ in WORDY)})\b"), skip, quotes)
     known = F.create_map(*(F.lit(x) for p, new, rule in WORDY for x in (p, f"{rule}|{new}")))
-    entry = F.split(F.element_at(known, F.lower("text")), r"\|", -1)
-    rows = rows.withColumn("rule", F.get(entry, F.lit(0))).withColumn("new", F.get(entry, F.lit(1)))
-    return _hits(rows, F.col("rule"), F.when(F.col("new") == "", "").otherwise(keep_initial(F.col("text"), F.col("new"))))
+    entry = lambda x, i: F.get(F.split(F.element_at(known, F.lower(x["text"])), r"\|", -1), F.lit(i))
+    return _hits(found, lambda x: entry(x, 0), lambda x: F.when(entry(x, 1) == "", "").otherwise(keep_initial(x["text"], entry(x, 1))))
 
 
 def phrase_regex(phrase: str) -> str:
     return r"(?iU)(?<!\w)" + r"\s+".join(re.escape(w) for w in phrase.split()) + r"(?!\w)"
 
 
-def banned(chapters: DataFrame, skip: DataFrame | None, phrases: list[str]) -> DataFrame:
-    found = [_hits(_free(matches(chapters, phrase_regex(p)), skip), "guide.banned") for p in phrases if p.strip()]
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+def _all(arrays: list[Column]) -> Column:
+    return F.flatten(F.array(*arrays)) if arrays else none_of(HIT)
+
+
+def banned(phrases: list[str]) -> Rule:
+    return lambda c, skip, quotes=None: _all([_hits(_free(spans(c, phrase_regex(p)), skip), "guide.banned") for p in phrases if p.strip()])
 
 
-def pet_words(chapters: DataFrame, skip: DataFrame | None, limits: dict[str, int]) -> DataFrame:
+def pet_words(limits: dict[str, int]) -> Rule:
     """All uses of a phrase in a chapter that uses it more often than its limit."""
-    out = None
-    for phrase, limit in limits.items():
-        rows = _free(matches(chapters, phrase_regex(phrase)), skip)
-        many = rows.withColumn("n", F.count("*").over(Window.partitionBy("chapter_number"))).filter(F.col("n") > limit)
-        hits = _hits(many, "guide.pet_word")
-        out = hits if out is None else out.unionByName(hits)
-    return out
-
-
-def house_spelling(chapters: DataFrame, skip: DataFrame | None, spellings: dict[str, str]) -> DataFrame:
-    out = None
-    for wrong, right in spellings.items():
-        rows = _free(matches(chapters, phrase_regex(wrong)), skip).withColumn("fixed", match_case(F.col("text"), F.lit(right)))
-        hits = _hits(rows.filter("text <> fixed"), "guide.spelling", F.col("fixed"))
-        out = hits if out is None else out.unionByName(hits)
-    return out
+
+    def many(c: Column, skip: Column | None, phrase: str, limit: int) -> Column:
+        return let(_hits(_free(spans(c, phrase_regex(phrase)), skip), "guide.pet_word"), lambda h: F.when(F.size(h) > limit, h).otherwise(none_of(HIT)))
+
+    return lambda c, skip, quotes=None: _all([many(c, skip, p, n) for p, n in limits.items()])
+
+
+def house_spelling(spellings: dict[str, str]) -> Rule:
+    def wrong(c: Column, skip: Column | None, word: str, right: str) -> Column:
+        hits = _hits(_free(spans(c, phrase_regex(word)), skip), "guide.spelling", lambda x: match_case(x["text"], F.lit(right)))
+        return F.filter(hits, lambda h: h["text"] != h["replacement"])
+
+    return lambda c, skip, quotes=None: _all([wrong(c, skip, w, r) for w, r in spellings.items()])
+
+
+def hits(chapters: DataFrame, *rules: Rule) -> DataFrame:
+    """chapter_number, rule_ord (of the rules as given), and the hits of each; what regions.laid_out has found, if it has, is left out."""
+    skip, quotes = (F.col(c) if c in chapters.columns else None for c in ("skip", "quotes"))
+
+    def numbered(i: int) -> Callable[[Column], Column]:
+        return lambda h: F.struct(F.lit(i).alias("rule_ord"), *(h[x].alias(x) for x in ("start", "end", "rule_id", "text", "replacement")))
+
+    placed = [F.transform(rule(F.col("content"), skip, quotes), numbered(i)) for i, rule in enumerate(rules)]
+    return chapters.select("chapter_number", F.inline(F.flatten(F.array(*placed))))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import matches, within
+from ..functions.text import pieces, spans, within
 from .regions import WORD
 
 
@@ -67,18 +69,18 @@ def scene_metrics(sentences: DataFrame) -> DataFrame:
     """Per scene with narration: sentences, mean length, spread (population deviation by mean), the commonest opener with its share, variety.
 
     Numbers are not rounded, but for variety, which is half to even."""
-    told = shapes(sentences).filter(~F.col("dialogue"))
-    base = told.groupBy("chapter_number", "scene").agg(
-        F.count("*").alias("narration"), F.avg("words").alias("mean_words"), F.stddev_pop("words").alias("deviation"),
-        F.min("start").alias("start"), F.max("end").alias("end"),
+    told = shapes(sentences).filter(~F.col("dialogue")).drop("text")
+    # The sentences are dealt out by scene once; the counts of openers and all that follows stay there.
+    of_opener = Window.partitionBy("chapter_number", "scene", "opener")
+    counted = told.repartition("chapter_number", "scene").withColumns({"uses": F.count("*").over(of_opener), "met": F.min("idx").over(of_opener)})
+    top = F.max(F.when(F.col("opener") != "", F.struct("uses", (-F.col("met")).alias("earliest"), "opener")))
+    base = counted.groupBy("chapter_number", "scene").agg(
+        F.count("*").alias("narration"), F.avg("words").alias("mean_words"), F.stddev_pop("words").alias("deviation"), F.min("start").alias("start"), F.max("end").alias("end"), top.alias("top"),
     )
-    counts = told.filter("opener <> ''").groupBy("chapter_number", "scene", "opener").agg(F.count("*").alias("uses"), F.min("idx").alias("met"))
-    rank = F.row_number().over(Window.partitionBy("chapter_number", "scene").orderBy(F.desc("uses"), "met"))
-    top = counts.withColumn("__r", rank).filter("__r = 1").select("chapter_number", "scene", F.col("opener").alias("top_opener"), "uses")
-    rows = base.join(top, ["chapter_number", "scene"], "left").withColumns({
+    rows = base.withColumns({
         "spread": F.when(F.col("mean_words") > 0, F.col("deviation") / F.col("mean_words")).otherwise(0.0),
-        "top_share": F.coalesce("uses", F.lit(0)) / F.col("narration"),
-        "top_opener": F.coalesce("top_opener", F.lit("")),
+        "top_share": F.coalesce("top.uses", F.lit(0)) / F.col("narration"),
+        "top_opener": F.coalesce("top.opener", F.lit("")),
     })
     parts = (
         F.least(F.col("spread") / TARGET_SPREAD, F.lit(1.0)) + F.least(F.col("mean_words") / TARGET_MEAN, F.lit(1.0))
@@ -87,50 +89,66 @@ def scene_metrics(sentences: DataFrame) -> DataFrame:
     return rows.select("chapter_number", "scene", "narration", "mean_words", "spread", "top_opener", "top_share", F.bround(100 * parts / 3, 0).cast("long").alias("variety"), "start", "end")
 
 
+def scene_profiles(sentences: DataFrame, scenes: DataFrame) -> DataFrame:
+    """Every scene, empty ones too: chapter_number, scene, start, end, words, sentences, narration."""
+    counts = shapes(sentences).groupBy("chapter_number", "scene").agg(
+        F.sum("words").alias("words"), F.count("*").alias("sentences"), F.count_if(~F.col("dialogue")).alias("narration")
+    )
+    return scenes.join(counts, ["chapter_number", "scene"], "left").fillna(0, ["words", "sentences", "narration"])
+
+
 def flat_scenes(sentences: DataFrame, limit: int = FLAT_VARIETY, at_least: int = MIN_SENTENCES) -> DataFrame:
     return scene_metrics(sentences).filter((F.col("narration") >= at_least) & (F.col("variety") < limit))
 
 
+WEAK = "struct<rule_id:string,start:bigint,end:bigint,word:string>"
+
+
+def _weak_of(sentence: Column, base: Column, dialogue: Column) -> Column:
+    """The weak words of a sentence: an array of rule_id, start, end, word."""
+    hit = lambda rule, start, end, word: F.struct(F.lit(rule).alias("rule_id"), start.cast("long").alias("start"), end.cast("long").alias("end"), F.lower(word).alias("word"))
+    soft = F.transform(spans(sentence, QUALIFIER, base=base), lambda x: hit("weak.qualifier", x["start"], x["end"], x["text"]))
+    who = lambda x: F.regexp_extract(x["text"], FILTER, 1)
+    verb = lambda x: F.regexp_extract(x["text"], FILTER, 2)
+    seen = F.filter(spans(sentence, FILTER, base=base), lambda x: ~who(x).isin(NOT_NAMES))
+    seen = F.transform(seen, lambda x: hit("weak.filter_word", x["end"] - F.length(verb(x)), x["end"], verb(x)))
+    # Text within quotes becomes blank, so that offsets stay; a tag never spans a quote as it has no line break in it.
+    outside = F.concat_ws("", F.transform(pieces(sentence, QUOTED), lambda p: F.concat(p["g"], F.coalesce(F.rpad(F.lit("\x00"), F.length(p["m"]), "\x00"), F.lit("")))))
+    first = lambda x: F.regexp_extract(x["text"], TAG_ADVERB, 1)
+    second = lambda x: F.regexp_extract(x["text"], TAG_ADVERB, 2)
+
+    def tag(x: Column) -> Column:
+        late = first(x) != ""
+        return F.when(late, hit("weak.tag_adverb", x["end"] - F.length(first(x)), x["end"], first(x))).otherwise(
+            hit("weak.tag_adverb", x["start"], x["start"] + F.length(second(x)), second(x))
+        )
+
+    tags = F.filter(F.transform(spans(outside, TAG_ADVERB, base=base), tag), lambda x: ~x["word"].isin(NOT_ADVERBS))
+    return F.when(dialogue, tags.cast(f"array<{WEAK}>")).otherwise(F.concat(soft, seen).cast(f"array<{WEAK}>"))
+
+
 def weak_words(sentences: DataFrame) -> DataFrame:
     """All weak words, before any limit: chapter_number, scene, rule_id, start, end, word."""
-    keys = ("chapter_number", "idx")
-    told = sentences.filter(~F.col("dialogue")).select(*keys, "scene", F.col("start").alias("base"), F.col("text").alias("content"))
-    spoken = sentences.filter("dialogue").select(*keys, "scene", F.col("start").alias("base"), F.col("text").alias("content"))
-    scene = sentences.select(*keys, "scene")
-
-    def rows(found: DataFrame, rule: str) -> DataFrame:
-        return found.join(scene, list(keys)).select("chapter_number", "scene", F.lit(rule).alias("rule_id"), "start", "end", F.lower("text").alias("word"))
-
-    soft = matches(told, QUALIFIER, keys=keys, base="base")
-    who = F.regexp_extract("text", FILTER, 1)
-    verb = F.regexp_extract("text", FILTER, 2)
-    seen = matches(told, FILTER, keys=keys, base="base").filter(~who.isin(NOT_NAMES)).withColumn("text", verb).withColumn("start", F.col("end") - F.length("text"))
-    # Text within quotes becomes blank, so that offsets stay; a tag never spans a quote as it has no line break in it.
-    parts = F.split("content", QUOTED, -1)
-    quoted = F.regexp_extract_all(F.col("content"), F.lit(QUOTED), F.lit(0))
-    blanks = F.transform(quoted, lambda q: F.rpad(F.lit("\x00"), F.length(q), "\x00"))
-    apart = F.concat_ws("", F.flatten(F.transform(F.arrays_zip(parts.alias("p"), blanks.alias("b")), lambda x: F.array(x["p"], F.coalesce(x["b"], F.lit(""))))))
-    outside = spoken.withColumn("content", apart)
-    tags = matches(outside, TAG_ADVERB, keys=keys, base="base")
-    first = F.regexp_extract("text", TAG_ADVERB, 1)
-    second = F.regexp_extract("text", TAG_ADVERB, 2)
-    tags = tags.select(
-        *keys, F.when(first != "", F.col("end") - F.length(first)).otherwise(F.col("start")).alias("start"),
-        F.when(first != "", F.col("end")).otherwise(F.col("start") + F.length(second)).alias("end"), F.when(first != "", first).otherwise(second).alias("text"),
-    ).filter(~F.lower("text").isin(NOT_ADVERBS))
-    return rows(soft, "weak.qualifier").unionByName(rows(seen, "weak.filter_word")).unionByName(rows(tags, "weak.tag_adverb"))
+    return sentences.select("chapter_number", "scene", F.inline(_weak_of(F.col("text"), F.col("start"), F.col("dialogue"))))
+
+
+def _of_rule(rule: str) -> Callable[[Column], Column]:
+    return lambda x: x["rule_id"] == rule
 
 
 def dense_weak_words(sentences: DataFrame, limits: dict[str, float] | None = None, min_words: int = MIN_SCENE_WORDS) -> DataFrame:
     """The weak words of scenes that are long enough and have more of a rule's words per 1,000 than its limit."""
     limits = limits or WEAK_LIMITS
-    words = shapes(sentences).groupBy("chapter_number", "scene").agg(F.sum("words").alias("scene_words"))
-    limit = F.lit(None).cast("double")
-    for rule, value in limits.items():
-        limit = F.when(F.col("rule_id") == rule, F.lit(value)).otherwise(limit)
-    n = F.count("*").over(Window.partitionBy("chapter_number", "scene", "rule_id"))
-    rows = weak_words(sentences).withColumn("n", n).join(words, ["chapter_number", "scene"]).withColumn("rate", 1000 * F.col("n") / F.col("scene_words"))
-    return rows.filter((F.col("scene_words") >= min_words) & (F.col("rate") > limit)).select("chapter_number", "scene", "rule_id", "start", "end", "word", "rate")
+    of_scene = Window.partitionBy("chapter_number", "scene")
+    found = shapes(sentences).select("chapter_number", "scene", "words", _weak_of(F.col("text"), F.col("start"), F.col("dialogue")).alias("weak"))
+    totals = {"scene_words": F.sum("words").over(of_scene)}
+    for i, rule in enumerate(limits):
+        totals[f"n{i}"] = F.sum(F.size(F.filter("weak", _of_rule(rule)))).over(of_scene)
+    rows = found.withColumns(totals).filter((F.col("scene_words") >= min_words) & (F.size("weak") > 0))
+    rate = lambda i: 1000 * F.col(f"n{i}") / F.col("scene_words")
+    many = F.transform(F.filter(F.array(*(F.struct(F.lit(rule).alias("rule_id"), rate(i).alias("rate"), F.lit(float(limit)).alias("limit")) for i, (rule, limit) in enumerate(limits.items()))), lambda r: r["rate"] > r["limit"]), lambda r: F.struct(r["rule_id"], r["rate"]))
+    rates = rows.withColumn("rates", F.map_from_entries(many)).select("chapter_number", "scene", "rates", F.inline("weak"))
+    return rates.withColumn("rate", F.element_at("rates", F.col("rule_id"))).filter("rate is not null").select("chapter_number", "scene", "rule_id", "start", "end", "word", "rate")
 
 
 def hollow_shapes(sentences: DataFrame) -> DataFrame:

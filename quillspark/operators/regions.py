@@ -1,13 +1,17 @@
-"""Regions of a chapter: what is not prose, scenes, quotes, paragraphs and sentences."""
+"""Regions of a chapter: what is not prose, scenes, quotes, paragraphs and sentences.
+
+All are arrays in the chapter's own row, so that a chapter is read once, in
+one place; the functions that give rows explode them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.text import matches, within
+from ..functions.text import SPAN, between, bounds, gaps_between, let, none_of, pieces, spans, strip
 
+#: Fixed patterns.
 FRONTMATTER = r"(?s)\A\x{FEFF}?---\r?\n.*?\r?\n---\r?\n?"
 FENCE = r"(?dms)^```[^\n]*\n.*?^```[ \t]*\r?\n?"
 HEADING = r"(?dm)^#{1,6}[ \t]+.*$"
@@ -21,94 +25,93 @@ SENTENCE_GAP = r"(?<=[.!?])[\"”’)]*\s+"
 WORD = "[A-Za-z0-9']+"
 
 
-def _of_chapter():
-    return Window.partitionBy("chapter_number")
+def _merged(cuts: Column) -> Column:
+    """The union of spans that overlap or touch."""
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return F.when((F.size(acc) == 0) | (x["start"] > F.try_element_at(acc, F.lit(-1))["end"]), F.concat(acc, F.array(x))).otherwise(
+            F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(longer))
+        )
+
+    return F.aggregate(F.array_sort(cuts), none_of(SPAN), step)
 
 
-def frontmatter_end(chapters: DataFrame) -> DataFrame:
-    return chapters.select("chapter_number", "content", F.length(F.regexp_extract("content", FRONTMATTER, 0)).cast("long").alias("body"))
+def laid_out(chapters: DataFrame) -> DataFrame:
+    """chapters with body (the end of the frontmatter), skip (spans of frontmatter, fences, headings and breaks, merged), quotes and scenes.
 
+    A scene is what lies between breaks after the frontmatter; blank ones don't
+    count, but there is always one.  An opening quote without a partner is no span."""
+    c = F.col("content")
+    body = F.length(F.regexp_extract(c, FRONTMATTER, 0)).cast("long")
+    breaks = bounds(spans(c, SCENE_BREAK))
+    rows = chapters.withColumns({"body": body, "__breaks": breaks, "quotes": bounds(spans(c, QUOTE))})
+    front = F.when(F.col("body") > 0, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("body").alias("end")))).otherwise(none_of(SPAN))
+    parts = gaps_between(F.filter("__breaks", lambda x: x["start"] >= F.col("body")), F.col("body"), F.length(c))
+    told = lambda p: F.filter(p, lambda x: between(c, x).rlike(r"\S"))
+    scenes = let(parts, lambda p: let(told(p), lambda full: F.when(F.size(full) > 0, full).otherwise(F.slice(p, -1, 1))))
+    return rows.withColumns({
+        "skip": _merged(F.concat(front, bounds(spans(c, FENCE)), bounds(spans(c, HEADING)), F.col("__breaks"))), "scenes": scenes,
+    }).drop("__breaks")
 
-def merged(spans: DataFrame) -> DataFrame:
-    """The union of overlapping or touching spans, as gaps and islands."""
-    order = _of_chapter().orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = spans.withColumn("__new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
-    grouped = flagged.withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy("chapter_number", "__island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__island")
+
+def _laid(chapters: DataFrame) -> DataFrame:
+    return chapters if "scenes" in chapters.columns else laid_out(chapters)
 
 
 def non_prose(chapters: DataFrame) -> DataFrame:
     """chapter_number, start, end of frontmatter, code fences, headings and scene breaks, merged."""
-    front = frontmatter_end(chapters).filter("body > 0").select("chapter_number", F.lit(0).cast("long").alias("start"), F.col("body").alias("end"))
-    for regex in (FENCE, HEADING, SCENE_BREAK):
-        front = front.unionByName(matches(chapters, regex).select("chapter_number", "start", "end"))
-    return merged(front)
+    return _laid(chapters).select("chapter_number", F.inline("skip"))
 
 
 def quotes(chapters: DataFrame) -> DataFrame:
-    """Pairs of straight quotes; an opening one without a partner is no span."""
-    return matches(chapters, QUOTE).select("chapter_number", "start", "end")
+    return _laid(chapters).select("chapter_number", F.inline("quotes"))
 
 
-def _pieces(cuts: DataFrame, ends: DataFrame) -> DataFrame:
-    """What lies between cuts: ends has each chapter's begin and stop."""
-    last = ends.select("chapter_number", F.col("stop").alias("start"), F.col("stop").alias("end"))
-    rows = cuts.select("chapter_number", "start", "end").unionByName(last).join(ends, "chapter_number")
-    before = F.lag("end").over(_of_chapter().orderBy("start", "end"))
-    return rows.select("chapter_number", F.coalesce(before, "begin").alias("from"), F.col("start").alias("to"))
+def scenes(chapters: DataFrame) -> DataFrame:
+    """chapter_number, scene (from 1), start, end."""
+    rows = _laid(chapters).select("chapter_number", F.posexplode("scenes").alias("k", "s"))
+    return rows.select("chapter_number", (F.col("k") + 1).cast("long").alias("scene"), "s.*")
 
 
-def scenes(chapters: DataFrame) -> DataFrame:
-    """chapter_number, scene (from 1), start, end: split at scene breaks after the frontmatter; blank ones don't count, but there is always one."""
-    body = frontmatter_end(chapters).select("chapter_number", F.col("body").alias("begin"), F.length("content").cast("long").alias("stop"))
-    breaks = matches(chapters, SCENE_BREAK).join(body, "chapter_number").filter(F.col("start") >= F.col("begin"))
-    pieces = _pieces(breaks, body).join(chapters.select("chapter_number", "content"), "chapter_number")
-    text = F.substr("content", F.col("from").cast("int") + 1, (F.col("to") - F.col("from")).cast("int"))
-    blank = ~text.rlike(r"\S")
-    # A chapter with nothing but blank scenes is one scene, from the end of its last break.
-    ranked = pieces.select("chapter_number", F.col("from").alias("start"), F.col("to").alias("end"), blank.alias("blank")).withColumn(
-        "all_blank", F.min(F.col("blank").cast("int")).over(_of_chapter()) == 1
-    ).withColumn("last", F.max("start").over(_of_chapter()) == F.col("start"))
-    kept = ranked.filter(~F.col("blank") | (F.col("all_blank") & F.col("last"))).dropDuplicates(["chapter_number", "start", "end"])
-    return kept.select("chapter_number", F.row_number().over(_of_chapter().orderBy("start", "end")).cast("long").alias("scene"), "start", "end")
+def _scene_at(start: Column, all_scenes: Column) -> Column:
+    """The number of the scene that holds a position; the first if none does."""
+    numbered = F.transform(all_scenes, lambda s, i: F.when((s["start"] <= start) & (start < s["end"]), (i + 1).cast("long")))
+    return F.coalesce(F.get(F.filter(numbered, lambda n: n.isNotNull()), F.lit(0)), F.lit(1).cast("long"))
 
 
 def paragraphs(chapters: DataFrame) -> DataFrame:
     """chapter_number, start, end, text: split at blank lines anywhere in the chapter; blank ones don't count."""
-    body = chapters.select("chapter_number", F.lit(0).cast("long").alias("begin"), F.length("content").cast("long").alias("stop"))
-    pieces = _pieces(matches(chapters, r"\n\s*\n"), body).join(chapters.select("chapter_number", "content"), "chapter_number")
-    text = F.substr("content", F.col("from").cast("int") + 1, (F.col("to") - F.col("from")).cast("int"))
-    return pieces.select("chapter_number", F.col("from").alias("start"), F.col("to").alias("end"), text.alias("text")).filter(F.col("text").rlike(r"\S"))
+    c = F.col("content")
+    cut = F.transform(pieces(c, r"\n\s*\n"), lambda p: F.struct(p["at"].alias("start"), (p["at"] + F.length(p["g"])).alias("end"), p["g"].alias("text")))
+    return chapters.select("chapter_number", F.inline(F.filter(cut, lambda p: p["text"].rlike(r"\S"))))
+
+
+def prose_segments(content: Column, skip: Column) -> Column:
+    """The complement of what is not prose: an array of start, end."""
+    return F.filter(gaps_between(skip, F.lit(0), F.length(content)), lambda x: x["end"] > x["start"])
+
+
+def _sentences_of(paragraph: Column) -> Column:
+    """The sentences of a paragraph (start, end, text), as spans of the chapter: closing quotes stay with the sentence before them."""
+    cut = pieces(paragraph["text"], SENTENCE_GAP)
+    raw = lambda p: F.concat(p["g"], F.coalesce(F.regexp_replace(p["m"], r"\s+$", ""), F.lit("")))
 
+    def bare(p: Column) -> Column:
+        return let(raw(p), lambda r: F.struct((paragraph["start"] + p["at"] + F.length(F.regexp_extract(r, r"^\s*", 0))).alias("start"), strip(r).alias("text")))
 
-def prose_segments(chapters: DataFrame, spans: DataFrame | None = None) -> DataFrame:
-    """The complement of what is not prose: chapter_number, seg (its start), content (its text)."""
-    body = chapters.select("chapter_number", F.lit(0).cast("long").alias("begin"), F.length("content").cast("long").alias("stop"))
-    pieces = _pieces(spans if spans is not None else non_prose(chapters), body).filter(F.col("to") > F.col("from"))
-    text = F.substr("content", F.col("from").cast("int") + 1, (F.col("to") - F.col("from")).cast("int"))
-    return pieces.join(chapters.select("chapter_number", "content"), "chapter_number").select("chapter_number", F.col("from").alias("seg"), text.alias("content"))
+    full = F.filter(F.transform(cut, bare), lambda s: s["text"] != "")
+    return F.transform(full, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["text"])).alias("end"), s["text"].alias("text")))
 
 
 def sentences(chapters: DataFrame) -> DataFrame:
     """chapter_number, idx (from 0), start, end, scene, dialogue, text of each prose sentence.
 
-    Closing quotes stay with the sentence before them; a sentence with a double quote counts as dialogue."""
-    segments = prose_segments(chapters)
-    paras = matches(segments, PARAGRAPH, keys=("chapter_number", "seg"), base="seg").filter(F.col("text").rlike(r"\S"))
-    paras = paras.select("chapter_number", F.col("start").alias("para"), F.col("text").alias("content"))
-    keys = ("chapter_number", "para")
-    gaps = matches(paras, SENTENCE_GAP, keys=keys).select(*keys, "start", "end", F.length(F.regexp_replace("text", r"\s+$", "")).alias("closers"))
-    last = paras.select(*keys, F.length("content").cast("long").alias("start"), F.length("content").cast("long").alias("end"), F.lit(0).alias("closers"))
-    rows = gaps.unionByName(last).withColumn("from", F.coalesce(F.lag("end").over(Window.partitionBy(*keys).orderBy("start", "end")), F.lit(0).cast("long")))
-    rows = rows.withColumn("to", F.col("start") + F.col("closers")).filter(F.col("to") > F.col("from")).join(paras, list(keys))
-    raw = F.substr("content", F.col("from").cast("int") + 1, (F.col("to") - F.col("from")).cast("int"))
-    lead = F.length(F.regexp_extract("raw", r"^\s*", 0))
-    text = F.regexp_replace("raw", r"^\s+|\s+$", "")
-    found = (
-        rows.select("chapter_number", "para", "from", raw.alias("raw")).select("chapter_number", (F.col("para") + F.col("from") + lead).cast("long").alias("start"), text.alias("text"))
-        .filter("text <> ''").withColumn("end", F.col("start") + F.length("text"))
-    )
-    placed = within(found, scenes(chapters), ["scene"])
-    idx = F.row_number().over(_of_chapter().orderBy("start")) - 1
-    return placed.select("chapter_number", idx.cast("long").alias("idx"), "start", "end", F.coalesce("scene", F.lit(1).cast("long")).alias("scene"), F.col("text").rlike('["“”]').alias("dialogue"), "text")
+    A sentence with a double quote counts as dialogue."""
+    c = F.col("content")
+    of_segment = lambda x: F.filter(spans(between(c, x), PARAGRAPH, base=x["start"]), lambda p: p["text"].rlike(r"\S"))
+    paras = F.flatten(F.transform(prose_segments(c, F.col("skip")), of_segment))
+    found = F.flatten(F.transform(paras, _sentences_of))
+    rows = _laid(chapters).select("chapter_number", "scenes", F.posexplode(found).alias("idx", "s")).select("chapter_number", F.col("idx").cast("long"), "s.*", "scenes")
+    return rows.select("chapter_number", "idx", "start", "end", _scene_at(F.col("start"), F.col("scenes")).alias("scene"), F.col("text").rlike('["“”]').alias("dialogue"), "text")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import matches, outside, starting_outside, truncate_middle
+from ..functions.text import matches, truncate_middle
 from ..operators import echoes, findings, lexical, prose, regions
 from .corpus import chapters, raw_chapters
 
@@ -24,43 +24,37 @@ def _hits(rows: DataFrame) -> DataFrame:
     return rows.select("chapter_number", "start", "end", "rule_id", "text", "replacement")
 
 
-def _lexical(rule: Callable[..., DataFrame], *parts: str) -> Query:
-    """A query of a rule that takes chapters and what the parts name."""
+def _lexical(*rules: lexical.Rule) -> Query:
+    """A query of rules on chapters that are laid out."""
+    return lambda spark, sf_dir: _hits(lexical.hits(laid(spark, sf_dir), *rules))
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = chapters(spark, sf_dir)
-        given = {"skip": lambda: regions.non_prose(c), "quotes": lambda: regions.quotes(c)}
-        return _hits(rule(c, *(given[p]() for p in parts)))
 
-    return run
+def laid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return regions.laid_out(chapters(spark, sf_dir))
+
+
+LEXICAL = [lexical.double_space, lexical.trailing_space, lexical.space_before_punctuation, lexical.repeated_punctuation, lexical.em_dash, lexical.wordiness]
 
 
 def all_findings(c: DataFrame) -> DataFrame:
-    """The lexical rules' findings, with ids."""
-    # The filters are laid once on all rules' hits together, so that regions and quotes are found once.
-    spoken = findings.union([lexical.space_before_punctuation(c, None, None), lexical.wordiness(c, None, None)])
-    spoken = starting_outside(spoken, regions.quotes(c)).withColumn("rule_ord", F.when(F.col("rule_ord") == 0, 2).otherwise(5))
-    others = findings.union([lexical.double_space(c, None), lexical.trailing_space(c, None), lexical.repeated_punctuation(c, None), lexical.em_dash(c, None)])
-    others = others.withColumn("rule_ord", F.when(F.col("rule_ord") > 1, F.col("rule_ord") + 1).otherwise(F.col("rule_ord")))
-    return findings.with_ids(outside(others.unionByName(spoken), regions.non_prose(c)))
+    """The findings of the plain lexical rules, with ids."""
+    return findings.with_ids(findings.of_hits(lexical.hits(c, *LEXICAL)))
 
 
 def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regions.sentences(chapters(spark, sf_dir))
+    return regions.sentences(laid(spark, sf_dir))
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_findings(chapters(spark, sf_dir))
+    return all_findings(laid(spark, sf_dir))
 
 
 def echo_local_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = raw_chapters(spark, sf_dir)
-    return echoes.local_repeats(echoes.content_words(c, regions.non_prose(c)))
+    return echoes.local_repeats(echoes.content_words(regions.laid_out(raw_chapters(spark, sf_dir))))
 
 
 def echo_phrase_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = raw_chapters(spark, sf_dir)
-    return echoes.phrase_repeats(c, regions.non_prose(c))
+    return echoes.phrase_repeats(regions.laid_out(raw_chapters(spark, sf_dir))).drop("excerpt")
 
 
 def chapter_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,14 +62,6 @@ def chapter_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chapters(spark, sf_dir).select("chapter_number", "title", F.length("content").cast("long").alias("n_chars"), lines.alias("n_lines"))
 
 
-def _guide(rule: Callable[..., DataFrame], setting) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c = chapters(spark, sf_dir)
-        return _hits(rule(c, regions.non_prose(c), setting))
-
-    return run
-
-
 def lexicon_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = spark.createDataFrame([(f,) for f in FORMS], "form string")
     rows = findings.without_protected(_findings(spark, sf_dir), forms)
@@ -83,20 +69,17 @@ def lexicon_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chapters(spark, sf_dir)
-    hits = lexical.em_dash(c, regions.non_prose(c))
-    return prose.positions(hits, regions.sentences(c), regions.scenes(c)).select("chapter_number", "start", "end", "scene", "sentence_start", "sentence_end")
+    c = laid(spark, sf_dir)
+    return prose.positions(lexical.hits(c, lexical.em_dash), regions.sentences(c), regions.scenes(c)).select("chapter_number", "start", "end", "scene", "sentence_start", "sentence_end")
 
 
 def judge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chapters(spark, sf_dir)
-    skip = regions.non_prose(c)
-    wordy = findings.union([lexical.wordiness(c, skip, regions.quotes(c))])
-    return findings.judge_candidates(c, skip, wordy)
+    c = laid(spark, sf_dir)
+    return findings.judge_candidates(c, findings.of_hits(lexical.hits(c, lexical.wordiness)))
 
 
 def rewrite_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chapters(spark, sf_dir)
+    c = laid(spark, sf_dir)
     return findings.rewrite_units(c, prose.opener_runs(regions.sentences(c)))
 
 
@@ -119,21 +102,21 @@ QUERIES: dict[str, Query] = {
     "quote_spans": lambda s, d: regions.quotes(chapters(s, d)),
     "paragraphs": lambda s, d: regions.paragraphs(chapters(s, d)).select("chapter_number", "start", "end"),
     "sentences_fallback": lambda s, d: _sentences(s, d),
-    "mech_double_space": _lexical(lexical.double_space, "skip"),
-    "mech_trailing_ws": _lexical(lexical.trailing_space, "skip"),
-    "mech_space_before_punct": _lexical(lexical.space_before_punctuation, "skip", "quotes"),
-    "mech_repeated_punct": _lexical(lexical.repeated_punctuation, "skip"),
-    "style_em_dash": _lexical(lexical.em_dash, "skip"),
-    "anachronism": _lexical(lexical.earth_timeline, "skip"),
-    "wordiness": _lexical(lexical.wordiness, "skip", "quotes"),
+    "mech_double_space": _lexical(lexical.double_space),
+    "mech_trailing_ws": _lexical(lexical.trailing_space),
+    "mech_space_before_punct": _lexical(lexical.space_before_punctuation),
+    "mech_repeated_punct": _lexical(lexical.repeated_punctuation),
+    "style_em_dash": _lexical(lexical.em_dash),
+    "anachronism": _lexical(lexical.earth_timeline),
+    "wordiness": _lexical(lexical.wordiness),
     "echo_phrase_dup": echo_phrase_dup,
     "rhythm_opener_run": lambda s, d: prose.opener_runs(_sentences(s, d)),
     "scene_metrics": scene_metrics,
     "rhythm_flat_scene": lambda s, d: prose.flat_scenes(_sentences(s, d)).select("chapter_number", "scene", "variety", "start", "end"),
     "weakeners": lambda s, d: prose.dense_weak_words(_sentences(s, d), min_words=100).drop("rate"),
-    "guide_banned": _guide(lexical.banned, BANNED),
-    "guide_pet_word": _guide(lexical.pet_words, PET_WORDS),
-    "guide_spelling": _guide(lexical.house_spelling, SPELLINGS),
+    "guide_banned": _lexical(lexical.banned(BANNED)),
+    "guide_pet_word": _lexical(lexical.pet_words(PET_WORDS)),
+    "guide_spelling": _lexical(lexical.house_spelling(SPELLINGS)),
     "hollow_shapes": lambda s, d: prose.hollow_shapes(_sentences(s, d)),
     "lexicon_filter": lexicon_filter,
     "canon_pronoun_prose": lambda s, d: findings.pronoun_clashes(chapters(s, d), CAST),

@@ -17,11 +17,11 @@ SF = "/root/testdata/sf0.001"
 
 
 def chapter(spark, text):
-    return from_text(spark, text)
+    return regions.laid_out(from_text(spark, text))
 
 
-def skip(c):
-    return regions.non_prose(c)
+def hits(c, rule):
+    return lexical.hits(c, rule)
 
 
 def spans(df):
@@ -31,14 +31,14 @@ def spans(df):
 @pytest.mark.parametrize("text, want", [("He  walked.\n", [(2, 4)]), ("  indented\n", []), ("---\ntitle:  x\n---\nOk  prose.\n```\ncode  here\n```\n", [(20, 22)])])
 def test_double_space(spark, text, want):
     c = chapter(spark, text)
-    assert spans(lexical.double_space(c, skip(c))) == want
+    assert spans(hits(c, lexical.double_space)) == want
 
 
 def test_trailing_space_and_punctuation(spark):
     c = chapter(spark, "Hello  \nWorld\nHello , you.\nHe said, \"Wait , please.\"\nNo!!!! What????")
-    assert spans(lexical.trailing_space(c, skip(c))) == [(5, 7)]
-    assert [r.replacement for r in lexical.space_before_punctuation(c, skip(c), regions.quotes(c)).collect()] == [","]
-    assert lexical.repeated_punctuation(c, skip(c)).count() == 2
+    assert spans(hits(c, lexical.trailing_space)) == [(5, 7)]
+    assert [r.replacement for r in hits(c, lexical.space_before_punctuation).collect()] == [","]
+    assert hits(c, lexical.repeated_punctuation).count() == 2
 
 
 def test_offsets_are_code_points(spark):
@@ -47,23 +47,23 @@ def test_offsets_are_code_points(spark):
 
 def test_em_dash_and_earth(spark):
     c = chapter(spark, "Wait—no. Wait -- no. A --- line.\n---\n")
-    assert lexical.em_dash(c, skip(c)).count() == 2
+    assert hits(c, lexical.em_dash).count() == 2
     c = chapter(spark, "A pre-Cambrian telephone pole stood.")
-    assert sorted(r.text for r in lexical.earth_timeline(c, skip(c)).collect()) == ["Cambrian", "pre-Cambrian", "telephone pole"]
+    assert sorted(r.text for r in hits(c, lexical.earth_timeline).collect()) == ["Cambrian", "pre-Cambrian", "telephone pole"]
     c = chapter(spark, "In London a jurassic pole stood.")
-    assert lexical.earth_timeline(c, skip(c)).count() == 0
+    assert hits(c, lexical.earth_timeline).count() == 0
 
 
 def test_wordiness_keeps_case_and_the_longer_phrase(spark):
     c = chapter(spark, "Prior to dawn, a number of birds sang due to the fact that \"prior to\" it was light.")
-    got = [(r.text, r.replacement) for r in lexical.wordiness(c, skip(c), regions.quotes(c)).orderBy("start").collect()]
+    got = [(r.text, r.replacement) for r in hits(c, lexical.wordiness).orderBy("start").collect()]
     assert got == [("Prior to", "Before"), ("a number of", "several"), ("due to the fact that", "because")]
 
 
 def test_echoes(spark):
     c = chapter(spark, "A shadow fell. The shadow moved. Another shadow came. Which measured the morning. No. Which measured the air.")
-    assert [r.word for r in echoes.local_repeats(echoes.content_words(c, skip(c))).collect()] == ["shadow"]
-    assert [r.phrase for r in echoes.phrase_repeats(chapter(spark, "It was long which measured the morning which measured the air."), skip(c)).collect()] == ["which measured the"]
+    assert [r.word for r in echoes.local_repeats(echoes.content_words(c)).collect()] == ["shadow"]
+    assert [r.phrase for r in echoes.phrase_repeats(chapter(spark, "It was long which measured the morning which measured the air.")).collect()] == ["which measured the"]
 
 
 def test_scenes_sentences_and_runs(spark):
@@ -86,10 +86,10 @@ def test_weak_words(spark):
 
 def test_guide(spark):
     c = chapter(spark, "# Grey\nGrey grey GREY. Of\nthe of the.")
-    assert sorted(r.replacement for r in lexical.house_spelling(c, skip(c), {"grey": "gray"}).collect()) == ["GRAY", "Gray", "gray"]
-    assert lexical.banned(c, skip(c), ["of the"]).count() == 2
-    assert lexical.pet_words(c, skip(c), {"grey": 3}).count() == 0
-    assert lexical.pet_words(c, skip(c), {"grey": 2}).count() == 3
+    assert sorted(r.replacement for r in hits(c, lexical.house_spelling({"grey": "gray"})).collect()) == ["GRAY", "Gray", "gray"]
+    assert hits(c, lexical.banned(["of the"])).count() == 2
+    assert hits(c, lexical.pet_words({"grey": 3})).count() == 0
+    assert hits(c, lexical.pet_words({"grey": 2})).count() == 3
 
 
 def test_pronouns(spark):
@@ -100,7 +100,7 @@ def test_pronouns(spark):
 
 def test_apply_and_dedupe(spark):
     c = chapter(spark, "He  walked , yes.")
-    hits = findings.with_ids(findings.union([lexical.double_space(c, None), lexical.space_before_punctuation(c, None, None)]))
+    hits = findings.with_ids(findings.of_hits(lexical.hits(c, lexical.double_space, lexical.space_before_punctuation)))
     assert [r.id for r in hits.orderBy("id").collect()] == ["det-c001-0001", "det-c001-0002"]
     assert findings.apply_edits(c, hits).first()["content"] == "He walked, yes."
     doubled = hits.unionByName(hits.withColumn("rule_ord", F.lit(9)))

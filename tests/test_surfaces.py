@@ -15,7 +15,7 @@ def two_chapters(spark):
 
 
 def some_findings(c):
-    return findings.with_ids(findings.union([lexical.double_space(c, None), lexical.repeated_punctuation(c, None)]))
+    return findings.with_ids(findings.of_hits(lexical.hits(c, lexical.double_space, lexical.repeated_punctuation)))
 
 
 def test_streaming(spark, tmp_path):
@@ -24,7 +24,7 @@ def test_streaming(spark, tmp_path):
     (tmp_path / "in" / "notes.md").write_text("He  ran.")
 
     def run():
-        check_arriving(arriving(spark, str(tmp_path / "in")), lambda c: lexical.double_space(c, None), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+        check_arriving(arriving(spark, str(tmp_path / "in")), lambda c: lexical.hits(c, lexical.double_space), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
         return sorted((r.chapter_number, r.start) for r in spark.read.parquet(str(tmp_path / "out")).collect())
 
     assert run() == [(3, 10)]
