@@ -14,27 +14,29 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 SPAN = "struct<start:bigint,end:bigint>"
-PIECE = "struct<at:bigint,g:string,m:string,t:string>"
-#: Matches that one running sum goes over; sums of whole runs place the next.
-RUN = 100
+#: Numbers that one fold adds up; what it holds is copied at each step, so that longer arrays are cut in runs, and runs of runs.
+RUN, LEVELS = 32, 2
 
 
 def none_of(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
-def _length(piece: Column) -> Column:
-    return (F.length(piece["g"]) + F.coalesce(F.length(piece["m"]), F.lit(0))).cast("long")
+def _fold(sizes: Column) -> Column:
+    zero = F.struct(F.lit(0).cast("long").alias("at"), none_of("bigint").alias("out"))
+    step = lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    return F.aggregate(sizes, zero, step, lambda acc: acc["out"])
 
 
-def _placed(run: Column, at: Column) -> Column:
-    zero = F.struct(at.cast("long").alias("at"), none_of(PIECE).alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        piece = F.struct(acc["at"].alias("at"), x["g"].alias("g"), x["m"].alias("m"), x["t"].alias("t"))
-        return F.struct((acc["at"] + _length(x)).alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
-
-    return F.aggregate(run, zero, step, lambda acc: acc["out"])
+def running(sizes: Column, levels: int = LEVELS) -> Column:
+    """The sum of what stands before each number of an array."""
+    if not levels:
+        return _fold(sizes)
+    runs = F.transform(F.sequence(F.lit(1), F.size(sizes), F.lit(RUN)), lambda i: F.slice(sizes, i, RUN))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, n: a + n)
+    shifted = lambda x, at: F.transform(_fold(x), lambda o: o + at)
+    cut = let(runs, lambda r: F.flatten(F.zip_with(r, running(F.transform(r, total), levels - 1), shifted)))
+    return F.when(F.size(sizes) <= RUN, _fold(sizes)).otherwise(cut)
 
 
 def pieces(text: Column, regex: str, group: int = 0) -> Column:
@@ -43,21 +45,13 @@ def pieces(text: Column, regex: str, group: int = 0) -> Column:
     The last piece has no match.  Java's own match positions count UTF-16
     units; summing the lengths of the pieces gives code points."""
     found = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    of = found if not group else F.regexp_extract_all(text, F.lit(regex), F.lit(group))
-    zipped = F.arrays_zip(F.split(text, regex, -1).alias("g"), found.alias("m"), of.alias("t"))
-
-    def placed(z: Column) -> Column:
-        runs = F.transform(F.sequence(F.lit(1), F.size(z), F.lit(RUN)), lambda i: F.slice(z, i, RUN))
+    zipped = F.arrays_zip(F.split(text, regex, -1).alias("g"), found.alias("m"), *([F.regexp_extract_all(text, F.lit(regex), F.lit(group)).alias("t")] if group else []))
+    size = lambda p: (F.length(p["g"]) + F.coalesce(F.length(p["m"]), F.lit(0))).cast("long")
 
-        def over(r: Column) -> Column:
-            sums = F.transform(r, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda n, p: n + _length(p)))
-            starts = F.aggregate(sums, F.struct(F.lit(0).cast("long").alias("at"), none_of("bigint").alias("out")),
-                                 lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
-            return F.flatten(F.zip_with(r, starts, _placed))
+    def made(p: Column, at: Column) -> Column:
+        return F.struct(at.alias("at"), p["g"].alias("g"), p["m"].alias("m"), p["t" if group else "m"].alias("t"))
 
-        return F.when(F.size(z) <= RUN, _placed(z, F.lit(0))).otherwise(let(runs, over))
-
-    return let(zipped, placed)
+    return let(zipped, lambda z: let(F.transform(z, size), lambda n: F.zip_with(z, running(n), made)))
 
 
 def spans(text: Column, regex: str, group: int = 0, base: Column | int = 0) -> Column:
@@ -155,3 +149,46 @@ def clip(text: Column, limit: int = 600) -> Column:
     """The stripped text, cut to limit characters with an ellipsis."""
     body = strip(text)
     return F.when(F.length(body) > limit, F.concat(F.regexp_replace(F.substring(body, 1, limit - 1), r"\s+$", ""), F.lit("…"))).otherwise(body)
+
+
+def line_at(text: Column, offset: Column) -> Column:
+    """The 1-based number of the line that holds a code point."""
+    return F.regexp_count(F.substring(text, F.lit(1), F.least(offset, F.length(text)).cast("int")), F.lit("\n")) + 1
+
+
+def enclosing(text: Column, span: Column) -> Column:
+    """The sentence or line round a span (start, end): up to the stop or line end before it, less spaces, and to the one after it."""
+    before = F.regexp_extract(F.substring(text, F.lit(1), span["start"].cast("int")), r"[^.!?\n]*\z", 0)
+    after = F.regexp_extract(F.substr(text, span["end"].cast("int") + 1), r"\A[^.!?\n]*[.!?]?", 0)
+    whole = F.struct((span["start"] - F.length(before)).alias("start"), (span["end"] + F.length(after)).alias("end"))
+    lead = lambda w: F.length(F.regexp_extract(between(text, w), r"\A[ \t]*", 0))
+    return let(whole, lambda w: F.struct((w["start"] + lead(w)).alias("start"), w["end"].alias("end")))
+
+
+def context(text: Column, span: Column, chars: int = 500) -> Column:
+    """What stands up to so many characters round a span, with it."""
+    start = F.greatest(span["start"] - chars, F.lit(0))
+    return F.substr(text, start.cast("int") + 1, (span["end"] + chars - start).cast("int"))
+
+
+def flat_excerpt(text: Column, limit: int = 160) -> Column:
+    """One line of at most limit characters, cut with an ellipsis."""
+    flat = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.when(F.length(flat) > limit, F.concat(F.substring(flat, 1, limit - 1), F.lit("…"))).otherwise(flat)
+
+
+def slug(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), r"(?U)[^\w-]", "-")
+
+
+def counts_line(counts: Column) -> Column:
+    """A map of counts as "k=v, k=v", in the order of its keys."""
+    return F.concat_ws(", ", F.transform(F.array_sort(F.map_entries(counts)), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))))
+
+
+def phrase_span(text: Column, phrase: Column) -> Column:
+    """The first place of a phrase whose words may be parted by any white space: start and end, null if it isn't there."""
+    words = F.transform(F.filter(F.split(phrase, r"(?U)\s+", -1), lambda w: w != ""), lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    found = F.regexp_extract(text, F.concat(F.lit("(?iU)"), F.array_join(words, "\\s+")), 0)
+    at = F.call_function("locate", found, text)
+    return F.when((F.size(words) > 0) & (found != ""), F.struct((at - 1).cast("long").alias("start"), (at - 1 + F.length(found)).cast("long").alias("end")))

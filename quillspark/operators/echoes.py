@@ -28,8 +28,7 @@ def _tokens(text: Column, skip: Column, base: Column | int = 0) -> Column:
 
 def content_words(chapters: DataFrame) -> DataFrame:
     """Of chapters that are laid out: chapter_number, i (ordinal), start, end, word: words of three letters or more that are not stop words."""
-    stops = F.array(*map(F.lit, STOP_WORDS))
-    full = F.filter(_tokens(F.col("content"), F.col("skip")), lambda x: (F.length(x["word"]) >= 3) & ~F.array_contains(stops, x["word"]))
+    full = F.filter(_tokens(F.col("content"), F.col("skip")), lambda x: (F.length(x["word"]) >= 3) & ~x["word"].isin(STOP_WORDS))
     return chapters.select("chapter_number", F.posexplode(full).alias("k", "w")).select("chapter_number", (F.col("k") + 1).cast("long").alias("i"), "w.*")
 
 

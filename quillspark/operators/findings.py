@@ -34,17 +34,17 @@ def _of_rule(rule: Column, at: int) -> Column:
     return out
 
 
-def of_hits(hits: DataFrame, first: int = 0, engine: str = "deterministic") -> DataFrame:
-    """Hits of rules as findings; rule_ord counts from first.
+def of_hits(hits: DataFrame, engine: str = "deterministic", keep: Iterable[str] = ()) -> DataFrame:
+    """Hits of rules as findings, with the columns keep.
 
     Emit order within a chapter: rule, then start, end and rule id."""
     rule = F.col("rule_id")
     optional = {"excerpt": "text", "replacement": "replacement", "message": "message"}
     texts = {name: F.col(c) if c in hits.columns else F.lit(None).cast("string") for name, c in optional.items()}
     return hits.select(
-        "chapter_number", (F.col("rule_ord") + first).alias("rule_ord"), "rule_id", _of_rule(rule, 1).alias("category"), _of_rule(rule, 2).alias("severity"),
+        "chapter_number", "rule_ord", "rule_id", _of_rule(rule, 1).alias("category"), _of_rule(rule, 2).alias("severity"),
         F.lit(engine).alias("engine"), "start", "end", texts["excerpt"].alias("excerpt"), texts["replacement"].alias("replacement"),
-        texts["replacement"].isNotNull().alias("applyable"), texts["message"].alias("message"),
+        texts["replacement"].isNotNull().alias("applyable"), texts["message"].alias("message"), *keep,
     )
 
 

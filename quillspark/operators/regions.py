@@ -105,13 +105,16 @@ def _sentences_of(paragraph: Column) -> Column:
     return F.transform(full, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["text"])).alias("end"), s["text"].alias("text")))
 
 
+def sentence_spans(content: Column, skip: Column) -> Column:
+    """The prose sentences of a chapter in order: an array of start, end, text."""
+    of_segment = lambda x: F.filter(spans(between(content, x), PARAGRAPH, base=x["start"]), lambda p: p["text"].rlike(r"\S"))
+    return F.flatten(F.transform(F.flatten(F.transform(prose_segments(content, skip), of_segment)), _sentences_of))
+
+
 def sentences(chapters: DataFrame) -> DataFrame:
     """chapter_number, idx (from 0), start, end, scene, dialogue, text of each prose sentence.
 
     A sentence with a double quote counts as dialogue."""
-    c = F.col("content")
-    of_segment = lambda x: F.filter(spans(between(c, x), PARAGRAPH, base=x["start"]), lambda p: p["text"].rlike(r"\S"))
-    paras = F.flatten(F.transform(prose_segments(c, F.col("skip")), of_segment))
-    found = F.flatten(F.transform(paras, _sentences_of))
+    found = sentence_spans(F.col("content"), F.col("skip"))
     rows = _laid(chapters).select("chapter_number", "scenes", F.posexplode(found).alias("idx", "s")).select("chapter_number", F.col("idx").cast("long"), "s.*", "scenes")
     return rows.select("chapter_number", "idx", "start", "end", _scene_at(F.col("start"), F.col("scenes")).alias("scene"), F.col("text").rlike('["“”]').alias("dialogue"), "text")

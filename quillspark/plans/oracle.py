@@ -169,7 +169,7 @@ me3 AS (SELECT n, scene, narration, mean_words, CASE WHEN mean_words > 0 THEN de
 metrics AS (SELECT *, round_even(100 * (least(spread / {prose.TARGET_SPREAD}::DOUBLE, 1) + least(mean_words / {prose.TARGET_MEAN}::DOUBLE, 1) + (1 - least(greatest(top_share - 0.1::DOUBLE, 0) / 0.3::DOUBLE, 1))) / 3, 0)::BIGINT AS variety FROM me3)"""
 
 
-def _weak() -> str:
+def _weak(min_words: int) -> str:
     quoted = q('"[^"]*"|“[^”]*”')
     names = ", ".join(map(q, prose.NOT_NAMES))
     adverbs = ", ".join(map(q, prose.NOT_ADVERBS))
@@ -188,7 +188,7 @@ al AS (SELECT n, scene, 'weak.qualifier' AS r, s, e, lower(m) AS word FROM wa
     WHERE lower(CASE WHEN one <> '' THEN one ELSE two END) NOT IN ({adverbs})),
 tot AS (SELECT n, scene, sum(words) AS words FROM sh GROUP BY n, scene),
 rate AS (SELECT al.*, words, 1000.0 * count(*) OVER (PARTITION BY al.n, al.scene, r) / words AS rate FROM al JOIN tot USING (n, scene))
-SELECT n AS chapter_number, scene, r AS rule_id, s AS start, e AS "end", word FROM rate WHERE words >= 100 AND rate > CASE r {limits} END"""
+SELECT n AS chapter_number, scene, r AS rule_id, s AS start, e AS "end", word FROM rate WHERE words >= {min_words} AND rate > CASE r {limits} END"""
 
 
 STOPS = ", ".join(map(q, echoes.STOP_WORDS))
@@ -271,7 +271,7 @@ SQL: dict[str, str] = {
     "rhythm_opener_run": f"WITH {C}, {SKIP}, {RUNS} SELECT {HEAD}, opener, sentences FROM runs",
     "scene_metrics": f"WITH {C}, {SKIP}, {METRICS} SELECT n AS chapter_number, scene, narration, mean_words, spread, top_opener, top_share, variety FROM metrics",
     "rhythm_flat_scene": f"WITH {C}, {SKIP}, {METRICS} SELECT n AS chapter_number, scene, variety, s AS start, e AS \"end\" FROM metrics WHERE narration >= {prose.MIN_SENTENCES} AND variety < {prose.FLAT_VARIETY}",
-    "weakeners": _weak(),
+    "weakeners": _weak(prose.MIN_SCENE_WORDS),
     "guide_banned": _banned(),
     "guide_pet_word": _pets(),
     "guide_spelling": _spelling(),
@@ -310,3 +310,42 @@ ea AS (SELECT n, string_agg(piece, '' ORDER BY s) || any_value(t)[max(e) + 1:] A
 SELECT c.n AS chapter_number, coalesce(content, t) AS content, coalesce(applied, 0) AS applied FROM c LEFT JOIN ea USING (n)""",
     "truncate_middle": f"WITH {RAW} SELECT n AS chapter_number, CASE WHEN length(t) > 2000 THEN t[:998] || {MARK} || right(t, 999) ELSE t END AS content FROM c",
 }
+
+
+def _all_rules() -> str:
+    """Every rule's hits, as chapter_number, rule_ord, rule_id, start, end, replacement, word, text."""
+    phrases = SQL["echo_phrase_dup"].replace(RAW, C)
+    parts = [
+        *(f"SELECT chapter_number, {i} AS rule_ord, rule_id, start, \"end\", replacement, NULL::VARCHAR AS word, text FROM ({SQL[name]})" for i, name in enumerate(
+            ["mech_double_space", "mech_trailing_ws", "mech_space_before_punct", "mech_repeated_punct", "style_em_dash", "anachronism", "wordiness"])),
+        f"SELECT chapter_number, 7, 'echo.local_repeat', start, \"end\", NULL, word, NULL FROM ({SQL['echo_local_repeat'].replace(RAW, C)})",
+        f"SELECT p.chapter_number, 8, 'echo.phrase_dup', p.start, p.\"end\", NULL, NULL, regexp_replace(x.p, '^\\s+|\\s+$', '', 'g') FROM ({phrases}) p JOIN (WITH {C}, {PARAS} SELECT * FROM para) x ON x.n = p.chapter_number AND x.s = p.para",
+        f"SELECT chapter_number, 9, 'rhythm.same_opener_run', start, \"end\", NULL, NULL, NULL FROM ({SQL['rhythm_opener_run']})",
+        f"SELECT chapter_number, 10, 'rhythm.flat_scene', start, \"end\", NULL, NULL, NULL FROM ({SQL['rhythm_flat_scene']})",
+        f"SELECT chapter_number, 11, rule_id, start, \"end\", NULL, NULL, NULL FROM ({SQL['weakeners']})",
+        *(f"SELECT chapter_number, {12 + i}, rule_id, start, \"end\", replacement, NULL, text FROM ({SQL[name]})" for i, name in enumerate(["guide_banned", "guide_pet_word", "guide_spelling"])),
+    ]
+    return " UNION ALL ".join(parts)
+
+
+def _locations() -> str:
+    flat = "trim(regexp_replace(own, '\\s+', ' ', 'g'))"
+    line = lambda at: f"len(string_split(t[:{at}], {NL}))::BIGINT"
+    return f"""WITH {C}, {SKIP}, {SENTENCES}, every AS ({_all_rules()}),
+lo0 AS (SELECT v.chapter_number AS n, rule_id, text, start AS s, "end" AS e, t, rule_id = 'echo.local_repeat' AS wide FROM every v JOIN c ON c.n = v.chapter_number),
+lo1 AS (SELECT * EXCLUDE (s, e), CASE WHEN wide THEN s - length(regexp_extract(t[:s], '[^.!?\n]*$')) ELSE s END AS s, CASE WHEN wide THEN e + length(regexp_extract(t[e + 1:], '^[^.!?\n]*[.!?]?')) ELSE e END AS e FROM lo0),
+lo2 AS (SELECT * EXCLUDE (s), CASE WHEN wide THEN s + length(regexp_extract(t[s + 1:e], '^[ \t]*')) ELSE s END AS s FROM lo1),
+lo3 AS (SELECT *, t[s + 1:e] AS own, greatest(e - 1, s) AS z FROM lo2)
+SELECT d.n AS chapter_number, d.rule_id, d.s::BIGINT AS start, d.e::BIGINT AS "end",
+  CASE WHEN rule_id LIKE 'rhythm.%' THEN CASE WHEN length({flat}) > 160 THEN {flat}[:159] || '…' ELSE {flat} END
+       WHEN wide THEN regexp_replace(own, '^\\s+|\\s+$', '', 'g') ELSE coalesce(text, own) END AS excerpt,
+  {line("d.s")} AS line_start, {line("d.z")} AS line_end, coalesce(scene.scene, -1) AS scene, coalesce(a.s, -1) AS sentence_start, coalesce(b.e, a.e, -1) AS sentence_end
+FROM lo3 d LEFT JOIN scene ON scene.n = d.n AND scene.s <= d.s AND d.s < scene.e
+LEFT JOIN sent a ON a.n = d.n AND a.s <= d.s AND d.s < a.e LEFT JOIN sent b ON b.n = d.n AND b.s <= d.z AND d.z < b.e"""
+
+
+SQL |= {
+    "all_rules": f"SELECT * EXCLUDE (text) FROM ({_all_rules()})",
+    "locations": _locations(),
+    "line_numbers": f"WITH {C}, {SKIP}, {DOUBLE} SELECT d.n AS chapter_number, s AS start, len(string_split(t[:s], {NL}))::BIGINT AS line FROM double_space d JOIN c USING (n)",
+}

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import matches, truncate_middle
-from ..operators import echoes, findings, lexical, prose, regions
+from ..functions.text import line_at, matches, truncate_middle
+from ..operators import checks, echoes, findings, lexical, prose, regions
 from .corpus import chapters, raw_chapters
 
 BANNED = ["was is", "the the", "of and"]
@@ -93,6 +93,28 @@ def scene_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.scene_metrics(_sentences(spark, sf_dir)).drop("start", "end")
 
 
+#: The settings of the queries that run every rule.
+CONFIG = checks.Config(banned=tuple(BANNED), pet_words=PET_WORDS, spellings=SPELLINGS)
+
+
+def all_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule's findings, before any filter."""
+    return checks.all_hits(laid(spark, sf_dir), CONFIG).select("chapter_number", "rule_ord", "rule_id", "start", "end", "replacement", "word")
+
+
+def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = laid(spark, sf_dir)
+    found = checks.placed(checks.all_hits(c, CONFIG), c)
+    # No place is told by -1 here, so that the columns are whole numbers in either engine.
+    return found.select("chapter_number", "rule_id", "start", "end", F.col("text").alias("excerpt"), *(F.coalesce(x, F.lit(-1)).cast("long").alias(x) for x in checks.PLACE))
+
+
+def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = laid(spark, sf_dir)
+    found = lexical.hits(c, lexical.double_space).join(c.select("chapter_number", "content"), "chapter_number")
+    return found.select("chapter_number", "start", line_at(F.col("content"), F.col("start")).cast("long").alias("line"))
+
+
 QUERIES: dict[str, Query] = {
     "echo_local_repeat": echo_local_repeat,
     "chapter_scan": chapter_scan,
@@ -113,7 +135,7 @@ QUERIES: dict[str, Query] = {
     "rhythm_opener_run": lambda s, d: prose.opener_runs(_sentences(s, d)),
     "scene_metrics": scene_metrics,
     "rhythm_flat_scene": lambda s, d: prose.flat_scenes(_sentences(s, d)).select("chapter_number", "scene", "variety", "start", "end"),
-    "weakeners": lambda s, d: prose.dense_weak_words(_sentences(s, d), min_words=100).drop("rate"),
+    "weakeners": lambda s, d: prose.dense_weak_words(_sentences(s, d)).drop("rate"),
     "guide_banned": _lexical(lexical.banned(BANNED)),
     "guide_pet_word": _lexical(lexical.pet_words(PET_WORDS)),
     "guide_spelling": _lexical(lexical.house_spelling(SPELLINGS)),
@@ -131,4 +153,8 @@ QUERIES: dict[str, Query] = {
     "apply_edits": lambda s, d: findings.apply_edits(chapters(s, d), _findings(s, d)),
     "dedupe": lambda s, d: findings.dedupe(_findings(s, d)).select("id", "chapter_number", "rule_id", "start", "end"),
     "anchor_cursor": anchor_cursor,
+    "all_rules": all_rules,
+    "locations": locations,
+    "line_numbers": line_numbers,
+    "check": lambda s, d: checks.check(chapters(s, d), CONFIG, ["guide."]).select("id", "chapter_number", "rule_id", "start", "end", *checks.PLACE),
 }
