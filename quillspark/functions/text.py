@@ -188,7 +188,7 @@ def counts_line(counts: Column) -> Column:
 
 def phrase_span(text: Column, phrase: Column) -> Column:
     """The first place of a phrase whose words may be parted by any white space: start and end, null if it isn't there."""
-    words = F.transform(F.filter(F.split(phrase, r"(?U)\s+", -1), lambda w: w != ""), lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
-    found = F.regexp_extract(text, F.concat(F.lit("(?iU)"), F.array_join(words, "\\s+")), 0)
+    words = F.transform(F.filter(F.split(phrase, r"(?U)\s+", -1), lambda w: w != ""), lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("")), F.lit("\\E")))
+    found = F.regexp_substr(text, F.concat(F.lit("(?iU)"), F.array_join(words, "\\s+")))
     at = F.call_function("locate", found, text)
     return F.when((F.size(words) > 0) & (found != ""), F.struct((at - 1).cast("long").alias("start"), (at - 1 + F.length(found)).cast("long").alias("end")))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 
-from ..operators import echoes, findings, lexical, prose
+from ..functions import repair
+from ..operators import cast, echoes, findings, lexical, prose
 from .corpus import CONTENT
-from .queries import BANNED, CAST, FORMS, PET_WORDS, SPELLINGS
+from .queries import BANNED, CAST, FORMS, PET_WORDS, REPAIRS, SPELLINGS
 
 NL = "chr(10)"
 C = f"c AS (SELECT doc_id AS n, {CONTENT} AS t FROM documents WHERE text IS NOT NULL)"
@@ -227,15 +228,19 @@ fi AS (SELECT *, 'det-c' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELS
 RANK = "CASE severity " + " ".join(f"WHEN {q(s)} THEN {i}" for i, s in enumerate(findings.SEVERITIES)) + " END"
 
 
+#: The names by which the members of CAST are known, as the rules for tokens have it.
+TOKENS = {"Garrick Vale": ("Garrick Vale", "Garrick"), "Mara": ("Mara",), "Of Stone": ("Of Stone", "Stone"), "Lee Vale": ("Lee Vale", "Lee")}
+
+
 def _canon() -> str:
     parts = []
-    for name, family in CAST:
-        noun = findings.NOUNS[family]
-        tied = "|".join([
-            rf"\b{name}(?:'s)?\s*,\s*{findings._DET}\s+{findings._ADJ}\b{noun}\b",
-            rf"\b{name}\s+{findings._LINK}\s+{findings._DET}\s+{findings._ADJ}\b{noun}\b",
-            rf"{findings._DET}\s+{findings._ADJ}\b{noun}\s*,?\s+{name}\b",
-        ])
+    for name, pronouns in CAST:
+        nouns = cast.NOUNS_AGAINST.get({"he/him": cast.HE, "she/her": cast.SHE}.get(pronouns))
+        if nouns is None:
+            continue
+        n, noun = f"(?:{'|'.join(TOKENS[name])})", f"(?:{'|'.join(nouns)})"
+        said = rf"{cast.DETERMINER}\s+{cast.ADJECTIVES}\b{noun}"
+        tied = rf"\b{n}(?:'s)?\s*,\s*{said}\b|\b{n}\s+{cast.LINKS}\s+{said}\b|{said}\s*,?\s+{n}\b"
         parts.append(f"SELECT n AS chapter_number, {q(name)} AS name, x AS sentence FROM cs WHERE regexp_matches(x, {q('(?i)' + tied)})")
     return f"""WITH {C}, {m("cg", "[.!?]\\s+", "(SELECT n, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS t FROM c)")},
 ct AS (SELECT n, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS t FROM c),
@@ -344,8 +349,29 @@ FROM lo3 d LEFT JOIN scene ON scene.n = d.n AND scene.s <= d.s AND d.s < scene.e
 LEFT JOIN sent a ON a.n = d.n AND a.s <= d.s AND d.s < a.e LEFT JOIN sent b ON b.n = d.n AND b.s <= d.z AND d.z < b.e"""
 
 
+def _repairs() -> str:
+    new = " ".join(f"WHEN n % {len(REPAIRS)} = {i} THEN replace(old, {q(a)}, {q(b)})" for i, (a, b) in enumerate(REPAIRS))
+    known = ", ".join(f"({q(w)}, {i})" for i, words in enumerate(repair.FAMILIES) for w in words)
+    alike = lambda a, b: f"coalesce(nullif(list_position(list_transform(range(1, least(length({a}), length({b})) + 1), lambda i: {a}[i] = {b}[i]), false), 0) - 1, least(length({a}), length({b})))"
+    return f"""WITH {RAW}, l0 AS (SELECT n, string_split(t, {NL}) AS ls FROM c), l1 AS (SELECT n, unnest(range(len(ls))) AS k, unnest(ls) AS old FROM l0),
+l2 AS (SELECT *, CASE {new} END AS new FROM l1), l3 AS (SELECT *, reverse(old) AS ro, reverse(new) AS rn FROM l2),
+l4 AS (SELECT *, {alike("old", "new")} AS p, {alike("ro", "rn")} AS z FROM l3),
+l5 AS (SELECT *, least(z, least(length(old), length(new)) - p) AS sx FROM l4),
+l6 AS (SELECT *, old[p + 1:length(old) - sx] AS removed, new[p + 1:length(new) - sx] AS added, old <> '' AND new <> '' AND old <> new AS changed FROM l5),
+fam(w, f) AS (VALUES {known}),
+wf AS (SELECT n, k, string_agg(DISTINCT f::VARCHAR, ',' ORDER BY f::VARCHAR) AS families FROM (SELECT n, k, unnest(regexp_extract_all(new, '[A-Za-z'']+')) AS x FROM l2) JOIN fam ON lower(x) = w GROUP BY n, k)
+SELECT l6.n AS chapter_number, l6.k::INT AS k, removed, added,
+  changed AND NOT (length(removed) > {repair.SWAP} AND length(added) > {repair.SWAP}) AND NOT (p + sx = 0 AND length(old) > {repair.LONE}) AS single,
+  changed AND regexp_matches(removed, '\\S') AND NOT regexp_matches(added, '[A-Za-z'']') AS deletion, coalesce(families, '') AS families
+FROM l6 LEFT JOIN wf USING (n, k)"""
+
+
 SQL |= {
     "all_rules": f"SELECT * EXCLUDE (text) FROM ({_all_rules()})",
     "locations": _locations(),
     "line_numbers": f"WITH {C}, {SKIP}, {DOUBLE} SELECT d.n AS chapter_number, s AS start, len(string_split(t[:s], {NL}))::BIGINT AS line FROM double_space d JOIN c USING (n)",
+    "name_tokens": """WITH c AS (SELECT replace(c_name, '#', ' ') AS name, regexp_extract_all(replace(c_name, '#', ' '), '[^ ]+') AS p FROM customer),
+f AS (SELECT name, p, count(*) OVER (PARTITION BY lower(p[1])) AS same_first, count(CASE WHEN len(p) > 1 THEN 1 END) OVER (PARTITION BY lower(CASE WHEN len(p) > 1 THEN p[-1] END)) AS same_last FROM c)
+SELECT name, array_to_string([x FOR x IN [name, CASE WHEN same_first = 1 AND length(p[1]) >= 2 THEN p[1] END, CASE WHEN len(p) > 1 AND same_last = 1 AND length(p[-1]) >= 4 THEN p[-1] END] IF x IS NOT NULL], '|') AS tokens, 4::BIGINT AS family FROM f""",
+    "repair_gates": _repairs(),
 }

@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import repair
 from ..functions.text import line_at, matches, truncate_middle
-from ..operators import checks, echoes, findings, lexical, prose, regions
+from ..operators import cast, checks, echoes, findings, lexical, prose, regions
 from .corpus import chapters, raw_chapters
 
 BANNED = ["was is", "the the", "of and"]
 PET_WORDS = {"with": 20, "from": 3}
 SPELLINGS = {"grey": "gray"}
 FORMS = ["shadow", "in order to", "of  of", "very"]
-CAST = [("Garrick", "he"), ("Mara", "she")]
+CAST = [("Garrick Vale", "he/him"), ("Mara", "she/her"), ("Mara Quill", "they/them"), ("Of Stone", "he/him"), ("Lee Vale", "she/her")]
+#: What op repair_gates changes in a sentence, and into what.
+REPAIRS = [(" the ", " "), ("it ", "its "), (" and ", " but "), (" of", " of it"), ("e", "e")]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -115,6 +118,31 @@ def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("chapter_number", "start", line_at(F.col("content"), F.col("start")).cast("long").alias("line"))
 
 
+def _cast(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CAST, "name string, pronouns string")
+
+
+def name_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customers of each of whose names the last word is a number: a large cast."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.replace("c_name", F.lit("#"), F.lit(" ")).alias("name"), F.lit("she/her").alias("pronouns"))
+    return cast.members(rows).select("name", F.array_join("tokens", "|").alias("tokens"), F.col("family").cast("long").alias("family"))
+
+
+def repair_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every text against the same line with a change, chosen by the chapter's number."""
+    c = raw_chapters(spark, sf_dir)
+    line = c.select("chapter_number", F.posexplode(F.split("content", "\n", -1)).alias("k", "old"))
+    which = F.pmod(F.col("chapter_number"), F.lit(len(REPAIRS)))
+    new = F.coalesce(*(F.when(which == i, F.replace("old", F.lit(a), F.lit(b))) for i, (a, b) in enumerate(REPAIRS)))
+    rows = line.withColumn("new", new)
+    old, new = F.col("old"), F.col("new")
+    d = repair.difference(old, new)
+    return rows.withColumn("d", d).select(
+        "chapter_number", "k", F.col("d.removed").alias("removed"), F.col("d.added").alias("added"), repair.is_single_repair(old, new).alias("single"),
+        repair.is_pure_deletion(old, new).alias("deletion"), F.array_join(F.transform(repair.families(new), lambda x: x.cast("string")), ",").alias("families"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "echo_local_repeat": echo_local_repeat,
     "chapter_scan": chapter_scan,
@@ -141,7 +169,9 @@ QUERIES: dict[str, Query] = {
     "guide_spelling": _lexical(lexical.house_spelling(SPELLINGS)),
     "hollow_shapes": lambda s, d: prose.hollow_shapes(_sentences(s, d)),
     "lexicon_filter": lexicon_filter,
-    "canon_pronoun_prose": lambda s, d: findings.pronoun_clashes(chapters(s, d), CAST),
+    "canon_pronoun_prose": lambda s, d: cast.pronoun_clashes(chapters(s, d), _cast(s)),
+    "name_tokens": name_tokens,
+    "repair_gates": repair_gates,
     "finding_ids": lambda s, d: _findings(s, d).select("id", "chapter_number", "rule_id", "start", "end"),
     "positions": positions,
     "summary_grouping_sets": lambda s, d: findings.summary(_findings(s, d)),
