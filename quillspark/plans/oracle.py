@@ -6,6 +6,7 @@ import re
 
 from ..functions import repair
 from ..operators import cast, echoes, findings, lexical, prose
+from . import report
 from .corpus import CONTENT
 from .queries import BANNED, CAST, FORMS, PET_WORDS, REPAIRS, SPELLINGS
 
@@ -294,7 +295,7 @@ LEFT JOIN sent b ON b.n = d.n AND b.s <= greatest(d.e - 1, d.s) AND greatest(d.e
     "summary_grouping_sets": f"""WITH {FINDINGS}, fg AS (SELECT *, 'deterministic' AS engine FROM fi)
 SELECT 'severity' AS facet, severity AS value, count(*) AS n FROM fg GROUP BY severity UNION ALL SELECT 'category', category, count(*) FROM fg GROUP BY category
 UNION ALL SELECT 'engine', engine, count(*) FROM fg GROUP BY engine UNION ALL SELECT 'total', '', count(*) FROM fg""",
-    "chapter_rollup": f"WITH {FINDINGS} SELECT n AS chapter_number, count(*) AS n, string_agg(id, ',' ORDER BY id) AS finding_ids FROM fi WHERE category NOT IN ('echo', 'rhythm', 'weakener', 'hollow') GROUP BY fi.n",
+    "chapter_rollup": f"WITH {FINDINGS} SELECT n AS chapter_number, count(*) AS n, string_agg(id, ',' ORDER BY seq) AS finding_ids FROM fi WHERE category NOT IN ('echo', 'rhythm', 'weakener', 'hollow') GROUP BY fi.n",
     "terminal_topk": f"WITH {FINDINGS} SELECT id, severity, category, n AS chapter_number, s AS start FROM fi ORDER BY {RANK}, category, n, s, id LIMIT 50",
     "judge_candidates": f"""WITH {C}, {SKIP}, {QUOTES}, {WORDY}, {PARAS},
 j0 AS (SELECT n, s, e, 'heuristic' AS source, 0 AS phase FROM para y WHERE ((length({STRIPPED}) > 40 AND NOT regexp_matches({STRIPPED}, {q(findings.TERMINAL)})) OR regexp_matches(p, {AGREE})) AND {not_in("y")}
@@ -370,6 +371,13 @@ SQL |= {
     "all_rules": f"SELECT * EXCLUDE (text) FROM ({_all_rules()})",
     "locations": _locations(),
     "line_numbers": f"WITH {C}, {SKIP}, {DOUBLE} SELECT d.n AS chapter_number, s AS start, len(string_split(t[:s], {NL}))::BIGINT AS line FROM double_space d JOIN c USING (n)",
+    "report_summary": f"""WITH {FINDINGS}, fg AS (SELECT *, 'deterministic' AS engine FROM fi WHERE category NOT IN ('echo', 'rhythm', 'weakener', 'hollow')),
+z(facet, value) AS (VALUES {", ".join(f"('severity', {q(x)})" for x in report.ZERO_SEVERITIES)}, {", ".join(f"('engine', {q(x)})" for x in findings.ENGINES)}, ('total', '')),
+k AS (SELECT 'severity' AS facet, severity AS value, count(*) AS n FROM fg GROUP BY severity UNION ALL SELECT 'category', category, count(*) FROM fg GROUP BY category
+  UNION ALL SELECT 'engine', engine, count(*) FROM fg GROUP BY engine UNION ALL SELECT 'total', '', count(*) FROM fg)
+SELECT facet, value, coalesce(n, 0) AS n FROM z FULL JOIN k USING (facet, value) UNION ALL SELECT 'applied_count', '', 0 UNION ALL SELECT 'chapters_scanned', '', count(*) FROM c""",
+    "report_chapters": f"""WITH {FINDINGS}, ids AS (SELECT n, string_agg(id, ',' ORDER BY seq) AS finding_ids FROM fi WHERE category NOT IN ('echo', 'rhythm', 'weakener', 'hollow') GROUP BY n)
+SELECT s.chapter_number, 'chapter-' || s.chapter_number AS chapter_path, s.title, coalesce(finding_ids, '') AS finding_ids FROM ({SQL["chapter_scan"]}) s LEFT JOIN ids ON ids.n = s.chapter_number""",
     "name_tokens": """WITH c AS (SELECT replace(c_name, '#', ' ') AS name, regexp_extract_all(replace(c_name, '#', ' '), '[^ ]+') AS p FROM customer),
 f AS (SELECT name, p, count(*) OVER (PARTITION BY lower(p[1])) AS same_first, count(CASE WHEN len(p) > 1 THEN 1 END) OVER (PARTITION BY lower(CASE WHEN len(p) > 1 THEN p[-1] END)) AS same_last FROM c)
 SELECT name, array_to_string([x FOR x IN [name, CASE WHEN same_first = 1 AND length(p[1]) >= 2 THEN p[1] END, CASE WHEN len(p) > 1 AND same_last = 1 AND length(p[-1]) >= 4 THEN p[-1] END] IF x IS NOT NULL], '|') AS tokens, 4::BIGINT AS family FROM f""",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import repair
 from ..functions.text import line_at, matches, truncate_middle
 from ..operators import cast, checks, echoes, findings, lexical, prose, regions
+from . import report
 from .corpus import chapters, raw_chapters
 
 BANNED = ["was is", "the the", "of and"]
@@ -175,6 +176,8 @@ QUERIES: dict[str, Query] = {
     "finding_ids": lambda s, d: _findings(s, d).select("id", "chapter_number", "rule_id", "start", "end"),
     "positions": positions,
     "summary_grouping_sets": lambda s, d: findings.summary(_findings(s, d)),
+    "report_summary": lambda s, d: report.full_summary(findings.buckets(_findings(s, d)).filter("bucket = 'action'"), chapters(s, d)),
+    "report_chapters": lambda s, d: report.chapter_rows(chapters(s, d), _findings(s, d)).withColumn("finding_ids", F.array_join("finding_ids", ",")),
     "chapter_rollup": lambda s, d: findings.chapter_rollup(_findings(s, d)),
     "terminal_topk": lambda s, d: findings.top_findings(_findings(s, d)).select("id", "severity", "category", "chapter_number", "start"),
     "judge_candidates": judge_candidates,

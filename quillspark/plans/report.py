@@ -1,13 +1,81 @@
-"""The report of a run: one nested row, its JSON, and what is wrong with a payload."""
+"""The report of a run: its head, its action list, notes and chapters as tables; how they are written, and what is wrong with them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.findings import ENGINES, SEVERITIES, buckets
+from ..operators.findings import ENGINES, SEVERITIES, buckets, summary
 
 FIELDS = ["id", "category", "severity", "engine", "rule_id", "chapter_number", "start", "end", "excerpt", "replacement", "applyable"]
+#: The counts that a summary has even where they are 0, fixed values.
+ZERO_SEVERITIES = ["error", "warning", "suggestion", "info"]
+#: The keys of a report, fixed values: findings, may_look and chapters are tables of their own.
+HEAD_KEYS = [
+    "version", "mode", "generated_at", "manuscript_path", "manuscript_name", "story_slug", "chapter_number", "summary", "warnings", "typesafe_enabled", "llm_enabled", "apply",
+]
+TABLES = ["findings", "may_look", "chapters"]
+
+
+def full_summary(findings: DataFrame, chapters: DataFrame) -> DataFrame:
+    """facet, value, n: the counts by severity, category and engine (those that are always told with 0), total, applied_count and chapters_scanned."""
+    spark = findings.sparkSession
+    always = [("severity", s) for s in ZERO_SEVERITIES] + [("engine", e) for e in ENGINES] + [("total", "")]
+    counted = spark.createDataFrame(always, "facet string, value string").join(summary(findings), ["facet", "value"], "full").withColumn("n", F.coalesce("n", F.lit(0)))
+    applied = F.count_if(F.col("applied")) if "applied" in findings.columns else F.lit(0)
+    extra = findings.agg(applied.cast("long").alias("n")).select(F.lit("applied_count").alias("facet"), F.lit("").alias("value"), "n")
+    scanned = chapters.agg(F.count("*").alias("n")).select(F.lit("chapters_scanned").alias("facet"), F.lit("").alias("value"), "n")
+    return counted.select("facet", "value", "n").unionByName(extra).unionByName(scanned)
+
+
+def chapter_rows(chapters: DataFrame, findings: DataFrame) -> DataFrame:
+    """chapter_number, chapter_path, title, finding_ids (of the action list, in order): every chapter has a row."""
+    action = buckets(findings).filter("bucket = 'action'").groupBy("chapter_number").agg(F.sort_array(F.collect_list(F.struct(F.length("id").alias("size"), "id"))).alias("ids"))
+    ids = F.coalesce(F.transform("ids", lambda x: x["id"]), F.array().cast("array<string>"))
+    return chapters.select("chapter_number", "chapter_path", "title").join(action, "chapter_number", "left").select("chapter_number", "chapter_path", "title", ids.alias("finding_ids"))
+
+
+def head(findings: DataFrame, chapters: DataFrame, mode: str = "analyze", path: str = "", name: str = "", slug: str = "", version: str = "1", warnings: list[str] | None = None, **flags: bool) -> DataFrame:
+    """One row of HEAD_KEYS. The summary has a few dozen counts, however long the run is."""
+    counts = full_summary(findings, chapters).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.concat_ws(".", "facet", F.nullif("value", F.lit(""))), "n")))).alias("c"))
+    of = lambda facet: F.transform_keys(F.map_filter("c", lambda k, v: k.startswith(f"{facet}.")), lambda k, v: F.substr(k, F.lit(len(facet) + 2)))
+    said = F.struct(
+        F.col("c")["total"].alias("total_findings"), of("severity").alias("by_severity"), of("category").alias("by_category"), of("engine").alias("by_engine"),
+        F.col("c")["applied_count"].alias("applied_count"), F.col("c")["chapters_scanned"].alias("chapters_scanned"),
+    )
+    values: dict[str, Column] = {
+        "version": F.lit(version), "mode": F.lit(mode), "generated_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'"), "manuscript_path": F.lit(path),
+        "manuscript_name": F.lit(name), "story_slug": F.lit(slug), "chapter_number": F.lit(None).cast("long"), "summary": said,
+        "warnings": F.array(*map(F.lit, warnings or [])).cast("array<string>"), **{k: F.lit(flags.get(k, False)) for k in ("typesafe_enabled", "llm_enabled", "apply")},
+    }
+    return counts.select(*(values[k].alias(k) for k in HEAD_KEYS))
+
+
+def write(folder: str, findings: DataFrame, chapters: DataFrame, **given) -> str:
+    """Writes head, findings, may_look and chapters as JSON lines below folder: all of them, or on an error none.
+
+    The parts are written beside the folder and take its place together by one rename."""
+    spark = findings.sparkSession
+    listed = buckets(findings).select("bucket", *(c for c in FIELDS if c in findings.columns))
+    parts = {
+        "head": head(buckets(findings).filter("bucket = 'action'"), chapters, **given), "chapters": chapter_rows(chapters, findings),
+        "findings": listed.filter("bucket = 'action'").drop("bucket"), "may_look": listed.filter("bucket = 'note'").drop("bucket"),
+    }
+    jvm = spark._jvm
+    staged, final = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{folder.rstrip('/')}-{uuid.uuid4().hex}", folder))
+    files = staged.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    try:
+        for name, rows in parts.items():
+            rows.write.json(f"{staged.toString()}/{name}")
+        files.delete(final, True)
+        if not files.rename(staged, final):
+            raise OSError(f"{folder} can't be written")
+    except BaseException:
+        files.delete(staged, True)
+        raise
+    return folder
 
 
 def report(chapters: DataFrame, findings: DataFrame) -> DataFrame:
@@ -39,10 +107,16 @@ def as_json(rows: DataFrame) -> DataFrame:
 
 
 def problems(findings: DataFrame, listed: DataFrame) -> DataFrame:
-    """What breaks the schema: ids that repeat, required values that are missing, and listed ids without a finding.  problem, id.
+    """What breaks the schema of an action list: ids that repeat, required values that are missing, echoes among the findings, edits without the text that they replace, and listed ids without a finding.  problem, id.
 
     listed: id."""
     twice = findings.groupBy("id").count().filter("count > 1").select(F.lit("repeated id").alias("problem"), "id")
     empty = findings.filter(F.col("id").isNull() | F.col("rule_id").isNull() | F.col("severity").isNull() | F.col("category").isNull()).select(F.lit("missing value").alias("problem"), "id")
+    echo = findings.filter(F.col("rule_id").isin("echo.local_repeat", "echo.phrase_dup")).select(F.lit("echo among findings").alias("problem"), "id")
+    bare = findings.filter(F.col("applyable") & (F.coalesce("excerpt", F.lit("")) == "")).select(F.lit("edit without its text").alias("problem"), "id")
     lost = listed.select("id").join(findings.select("id"), "id", "left_anti").select(F.lit("no such finding").alias("problem"), "id")
-    return twice.unionByName(empty).unionByName(lost)
+    return twice.unionByName(empty).unionByName(echo).unionByName(bare).unionByName(lost)
+
+
+def missing_keys(head_rows: DataFrame) -> list[str]:
+    return sorted(set(HEAD_KEYS) - set(head_rows.columns))

@@ -71,3 +71,22 @@ def test_report(spark):
     bad = f.unionByName(f.limit(1)).withColumn("rule_id", F.when(F.col("end") > 10, F.col("rule_id")))
     got = sorted(r.problem for r in report.problems(bad, spark.createDataFrame([("x",)], "id string")).collect())
     assert got[-1] == "repeated id" and "no such finding" in got and "missing value" in got
+
+
+def test_report_is_written_whole(spark, tmp_path):
+    c = two_chapters(spark)
+    f = some_findings(c)
+    path = report.write(str(tmp_path / "report"), f, c, name="book", llm_enabled=True)
+    head = json.loads("".join(p.read_text() for p in (tmp_path / "report" / "head").glob("part-*")))
+    assert head["summary"]["total_findings"] == 2 and head["summary"]["by_severity"] == {"error": 1, "info": 0, "suggestion": 0, "warning": 1}
+    assert head["summary"]["by_engine"] == {"deterministic": 2, "llm": 0, "typesafe": 0} and head["summary"]["chapters_scanned"] == 2 and head["llm_enabled"] is True
+    assert report.missing_keys(report.head(f, c)) == []
+    rows = {r.chapter_number: r.finding_ids for r in spark.read.json(f"{path}/chapters").collect()}
+    assert rows == {1: ["det-c001-0001", "det-c001-0002"], 2: []}
+    broken = f.withColumn("excerpt", F.raise_error(F.lit("no text")).cast("string"))
+    try:
+        report.write(path, broken, c)
+        raise AssertionError
+    except Exception as error:  # noqa: BLE001
+        assert "no text" in str(error)
+    assert spark.read.json(f"{path}/findings").count() == 2 and [p.name for p in tmp_path.iterdir()] == ["report"]
