@@ -193,20 +193,23 @@ AGREEMENT = r"(?i)\b(?:they\s+was|he\s+were|she\s+were|it\s+were|i\s+is|we\s+is|
 TERMINAL = r"""[.?!]["')\]]*$"""
 
 
-def judge_candidates(chapters: DataFrame, findings: DataFrame, limit: int = 8) -> DataFrame:
-    """What a chapter's judge is shown: fragments and disagreements first, then echoes and wordy spans; one of equal spans.
+def judge_candidates(chapters: DataFrame, findings: DataFrame, limit: int = 8, reserved: int = 2) -> DataFrame:
+    """What a chapter's judge is shown: the first missing predicates, fragments and disagreements, the other missing predicates, then echoes and wordy spans; one of equal spans.
 
     chapter_number, nth, start, end, source, text."""
     skip = non_prose(chapters)
     paras = paragraphs(chapters)
     body = F.regexp_replace("text", r"^\s+|\s+$", "")
     odd = paras.filter(((F.length(body) > 40) & ~body.rlike(TERMINAL)) | F.col("text").rlike(AGREEMENT))
-    one = outside(odd, skip).select("chapter_number", "start", "end", F.lit("heuristic").alias("source"), F.lit(0).alias("phase"))
-    more = findings.filter(F.col("category").isin("echo", "wordiness"))
-    two = outside(more, skip).select("chapter_number", "start", "end", F.col("category").alias("source"), (F.col("rule_ord") + 1).alias("phase"))
-    first = F.row_number().over(Window.partitionBy("chapter_number", "start", "end").orderBy("phase"))
-    nth = F.row_number().over(Window.partitionBy("chapter_number").orderBy("phase", "start", "end"))
-    rows = one.unionByName(two).withColumn("__first", first).filter("__first = 1").withColumn("nth", nth).filter(F.col("nth") <= limit)
+    rows = odd.select("chapter_number", "start", "end", F.lit("heuristic").alias("source"), F.lit(1).alias("phase"), F.lit(0).alias("rule_ord"))
+    bare = findings.filter("rule_id = 'mech.missing_predicate'").select("chapter_number", "start", "end", F.lit("missing_predicate").alias("source"))
+    nth = F.row_number().over(Window.partitionBy("chapter_number").orderBy("start", "end"))
+    rows = rows.unionByName(bare.withColumns({"phase": F.when(nth <= reserved, 0).otherwise(2), "rule_ord": F.lit(0)}))
+    more = findings.filter(F.col("category").isin("echo", "wordiness")).select("chapter_number", "start", "end", F.col("category").alias("source"), F.lit(3).alias("phase"), "rule_ord")
+    rows = outside(rows.unionByName(more), skip)
+    first = F.row_number().over(Window.partitionBy("chapter_number", "start", "end").orderBy("phase", "rule_ord"))
+    nth = F.row_number().over(Window.partitionBy("chapter_number").orderBy("phase", "rule_ord", "start", "end"))
+    rows = rows.withColumn("__first", first).filter("__first = 1").withColumn("nth", nth).filter(F.col("nth") <= limit)
     text = F.substr("content", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))
     return rows.join(chapters.select("chapter_number", "content"), "chapter_number").select("chapter_number", F.col("nth").cast("long").alias("nth"), "start", "end", "source", clip(text).alias("text"))
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import phrase_span, truncate_middle
+
 #: Bounds of the bands of a judge's probability, and the least confidence of a choice that counts.
 POSITIVE, NEGATIVE, CONFIDENCE_FLOOR = 0.65, 0.35, 0.55
 ASKS_A_CHAPTER = 12
@@ -62,9 +64,9 @@ def review_garbled(findings: DataFrame, verdicts: DataFrame, floor: float = CONF
 def hollow_findings(candidates: DataFrame, verdicts: DataFrame) -> DataFrame:
     """candidates: chapter_number, n, start, end, text; verdicts: chapter_number, n, label, phrase, why.  The span is the phrase's, else the sentence's."""
     rows = candidates.join(verdicts, ["chapter_number", "n"]).filter(F.upper("label") == "HOLLOW")
-    at = F.when(F.col("phrase") != "", F.call_function("locate", F.col("phrase"), F.col("text")))
-    start = F.when(at > 0, F.col("start") + at - 1).otherwise(F.col("start"))
-    end = F.when(at > 0, F.col("start") + at - 1 + F.length("phrase")).otherwise(F.col("end"))
+    rows = rows.withColumn("at", phrase_span(F.col("text"), F.coalesce("phrase", F.lit(""))))
+    start = F.coalesce(F.col("start") + F.col("at.start"), F.col("start"))
+    end = F.coalesce(F.col("start") + F.col("at.end"), F.col("end"))
     return rows.select("chapter_number", "n", start.alias("start"), end.alias("end"), F.lit("hollow.image").alias("rule_id"), "why")
 
 
@@ -82,3 +84,104 @@ def edit_problem(before: Column, after: Column, names: list[str]) -> Column:
         .when((words(after) < 0.25 * words(before)) | (words(after) > 1.4 * words(before)), "length")
         .when(quoted(before) != quoted(after), "quotes").when(blocks(before) != blocks(after), "paragraphs").when(~same_names, "names")
     )
+
+
+#: What a judge is shown of a chapter: characters of prose, passages, findings, and lines of glossary and cast; fixed values.
+PROSE_CHARS, PASSAGES, RESERVED, SHOWN_FINDINGS, BOOK_LINES, HOLLOW_CANDIDATES = 12_000, 8, 2, 40, 80, 80
+#: The questions of which a sure choice, or a high probability, is a finding: answer, rule, category, severity, source of the passage.
+CHOICES = [("error", "copy.grammar_ambiguity", "grammar", "error", None), ("warning", "copy.grammar_ambiguity", "grammar", "warning", None), ("concern", "copy.style_consistency", "style", "warning", None)]
+PROBABILITIES = [("copy.echo_context", "echo"), ("copy.wordiness_context", "wordiness")]
+
+
+def survives_truncation(start: Column, end: Column, length: Column, limit: int = PROSE_CHARS) -> Column:
+    """Whether a span meets the head or the tail that is left when the middle of a text is cut out."""
+    left = (limit - 3) // 2
+    right = limit - 3 - left
+    return (length <= limit) | (start < left) | (end > length - right)
+
+
+def copy_findings(answers: DataFrame, candidates: DataFrame, floor: float = CONFIDENCE_FLOOR, positive: float = POSITIVE) -> DataFrame:
+    """The copy.* findings of a judge's answers, none of which is ever pasted.
+
+    answers: chapter_number, question, choice, confidence, probability; candidates:
+    chapter_number, nth, start, end, source, text.  A finding stands at the first
+    passage, if there is one of the question's own source at the first such; a
+    concern about style is about the whole chapter and stands nowhere."""
+    label = F.lower("choice")
+    wanted, severity = F.lit(False), F.lit("suggestion")
+    for choice, rule, _, level, _ in CHOICES:
+        hit = (F.col("question") == rule) & (label == choice) & (F.col("confidence") >= floor)
+        wanted, severity = wanted | hit, F.when(hit, level).otherwise(severity)
+    source = F.lit(None).cast("string")
+    for rule, name in PROBABILITIES:
+        wanted = wanted | ((F.col("question") == rule) & (F.col("probability") >= positive))
+        source = F.when(F.col("question") == rule, name).otherwise(source)
+    category = F.coalesce(source, *(F.when(F.col("question") == rule, c) for _, rule, c, _, _ in CHOICES))
+    rows = answers.withColumns({"severity": severity, "source": source, "category": category}).filter(F.coalesce(wanted, F.lit(False)))
+    passages = candidates.groupBy("chapter_number").agg(F.array_sort(F.collect_list(F.struct("nth", "start", "end", "source", "text"))).alias("passages"))
+    met = rows.join(passages, "chapter_number", "left")
+    own = F.filter("passages", lambda p: p["source"] == F.col("source"))
+    first = F.when(F.col("question") != "copy.style_consistency", F.coalesce(F.get(own, F.lit(0)), F.get("passages", F.lit(0))))
+    return met.withColumn("p", first).select(
+        "chapter_number", F.col("question").alias("rule_id"), "category", "severity", F.lit("typesafe").alias("engine"), F.col("p.start").alias("start"), F.col("p.end").alias("end"),
+        F.coalesce("p.text", F.lit("")).alias("excerpt"), F.lit(False).alias("applyable"), F.coalesce("probability", "confidence").alias("confidence"),
+    )
+
+
+def review_missing_predicates(findings: DataFrame, verdicts: DataFrame, floor: float = CONFIDENCE_FLOOR) -> DataFrame:
+    """verdicts: id, choice, confidence.  A sentence that is surely meant so is information only; all else, unread ones too, stays as it is."""
+    joined = findings.join(verdicts, "id", "left")
+    meant = (F.col("rule_id") == "mech.missing_predicate") & (F.col("choice") == "intentional") & (F.col("confidence") >= floor)
+    return joined.withColumn("severity", F.when(F.coalesce(meant, F.lit(False)), "info").otherwise(F.col("severity"))).select(*findings.columns)
+
+
+CONTINUITY = "struct<facts:array<struct<fact:string,status:string,literal:boolean,note:string>>,added:array<string>,after_ok:boolean,after_note:string>"
+
+
+def continuity_problems(reply: Column) -> Column:
+    """Why a checker's report speaks against an edit: an array, empty if nothing does.
+
+    Literal facts must be listed and all kept, none added, and what follows must not break."""
+    told = F.from_json(F.nullif(F.regexp_extract(reply, r"(?s)\{.*\}", 0), F.lit("")), CONTINUITY)
+    none = F.array().cast("array<string>")
+    status = lambda f: F.lower(F.trim(F.coalesce(f["status"], F.lit(""))))
+    literal = F.filter(F.coalesce(told["facts"], F.array().cast("array<struct<fact:string,status:string,literal:boolean,note:string>>")), lambda f: F.coalesce(f["literal"], F.lit(True)))
+    lost = F.transform(F.filter(literal, lambda f: status(f) != "kept"), lambda f: F.concat(F.lit("fact "), F.coalesce(F.nullif(status(f), F.lit("")), F.lit("unclear")), F.lit(": "), F.trim(F.coalesce(f["fact"], F.lit("")))))
+    added = F.transform(F.filter(F.coalesce(told["added"], none), lambda a: F.coalesce(F.trim(a), F.lit("")) != ""), lambda a: F.concat(F.lit("fact added: "), F.trim(a)))
+    breaks = F.when(F.coalesce(told["after_ok"], F.lit(True)), none).otherwise(F.array(F.concat(F.lit("after text breaks: "), F.trim(F.coalesce(told["after_note"], F.lit(""))))))
+    bare = F.when(F.size(literal) == 0, F.array(F.lit("checker listed no facts"))).otherwise(none)
+    return F.when(told.isNull(), F.array(F.lit("checker_unreadable"))).otherwise(F.concat(lost, added, breaks, bare))
+
+
+def new_rules(before: Column, after: Column) -> Column:
+    """The rules that an edit's text breaks and the text before didn't."""
+    return F.array_except(after, before)
+
+
+def hollow_candidates(shapes: DataFrame, limit: int = HOLLOW_CANDIDATES) -> DataFrame:
+    """shapes with n: the first of each chapter in the order of the text, as one call of a judge is shown them."""
+    n = F.row_number().over(Window.partitionBy("chapter_number").orderBy("start", "end"))
+    return shapes.withColumn("n", n).filter(F.col("n") <= limit)
+
+
+def around_units(paragraphs: DataFrame, units: DataFrame, reach: int = 3) -> DataFrame:
+    """units (chapter_number, first, last) with before and after: the texts of up to reach paragraphs (chapter_number, para, text) on each side."""
+    near = (F.col("p.para") >= F.col("u.first") - reach) & (F.col("p.para") <= F.col("u.last") + reach)
+    met = units.alias("u").join(paragraphs.alias("p"), (F.col("u.chapter_number") == F.col("p.chapter_number")) & near)
+    piece = F.struct(F.col("p.para"), F.col("p.text"))
+    texts = met.groupBy(*(F.col(f"u.{c}") for c in units.columns)).agg(
+        *(F.array_sort(F.collect_list(F.when(where, piece))).alias(name) for name, where in (("before", F.col("p.para") < F.col("u.first")), ("after", F.col("p.para") > F.col("u.last"))))
+    )
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x["text"]), "\n\n").alias(c)
+    return texts.select(*units.columns, joined("before"), joined("after"))
+
+
+def judge_state(chapters: DataFrame, findings: DataFrame, candidates: DataFrame, glossary: list[str] | None = None, people: list[str] | None = None) -> DataFrame:
+    """What a judge is told of each chapter: chapter_number, title, prose (its middle cut out), the first findings, the passages that survive the cut (two or more, or none), and lines of the book."""
+    shown = findings.groupBy("chapter_number").agg(F.slice(F.array_sort(F.collect_list(F.struct("rule_ord", "start", "rule_id", "category", "excerpt"))), 1, SHOWN_FINDINGS).alias("findings"))
+    lengths = chapters.select("chapter_number", F.length("content").alias("__length"))
+    kept = candidates.join(lengths, "chapter_number").filter(survives_truncation(F.col("start"), F.col("end"), F.col("__length")))
+    passages = kept.groupBy("chapter_number").agg(F.array_sort(F.collect_list(F.struct("nth", "text", "source"))).alias("passages"))
+    rows = chapters.select("chapter_number", "title", truncate_middle(F.col("content"), PROSE_CHARS).alias("prose")).join(shown, "chapter_number", "left").join(passages, "chapter_number", "left")
+    lines = lambda given: F.array(*map(F.lit, (given or [])[:BOOK_LINES])).cast("array<string>")
+    return rows.withColumns({"passages": F.when(F.size("passages") >= 2, F.col("passages")), "glossary": lines(glossary), "cast": lines(people)})

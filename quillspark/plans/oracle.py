@@ -297,19 +297,6 @@ SELECT 'severity' AS facet, severity AS value, count(*) AS n FROM fg GROUP BY se
 UNION ALL SELECT 'engine', engine, count(*) FROM fg GROUP BY engine UNION ALL SELECT 'total', '', count(*) FROM fg""",
     "chapter_rollup": f"WITH {FINDINGS} SELECT n AS chapter_number, count(*) AS n, string_agg(id, ',' ORDER BY seq) AS finding_ids FROM fi WHERE category NOT IN ('echo', 'rhythm', 'weakener', 'hollow') GROUP BY fi.n",
     "terminal_topk": f"WITH {FINDINGS} SELECT id, severity, category, n AS chapter_number, s AS start FROM fi ORDER BY {RANK}, category, n, s, id LIMIT 50",
-    "judge_candidates": f"""WITH {C}, {SKIP}, {QUOTES}, {WORDY}, {PARAS},
-j0 AS (SELECT n, s, e, 'heuristic' AS source, 0 AS phase FROM para y WHERE ((length({STRIPPED}) > 40 AND NOT regexp_matches({STRIPPED}, {q(findings.TERMINAL)})) OR regexp_matches(p, {AGREE})) AND {not_in("y")}
-  UNION ALL SELECT n, s, e, 'wordiness', 1 FROM wordy),
-j1 AS (SELECT * FROM j0 QUALIFY row_number() OVER (PARTITION BY n, s, e ORDER BY phase) = 1),
-j2 AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY phase, s, e) AS nth FROM j1),
-j3 AS (SELECT j2.*, regexp_replace(t[s + 1:e], '^\\s+|\\s+$', '', 'g') AS x FROM j2 JOIN c USING (n) WHERE nth <= 8)
-SELECT {HEAD}, nth, source, CASE WHEN length(x) > 600 THEN regexp_replace(x[:599], '\\s+$', '') || '…' ELSE x END AS text FROM j3""",
-    "rewrite_units": f"""WITH {C}, {SKIP}, {RUNS}, {m("bl", "[^\\n]+(?:\\n[^\\n]+)*")},
-u0 AS (SELECT r.n, bl.k AS para, bl.s, bl.e, count(*) AS hits FROM runs r JOIN bl ON bl.n = r.n AND bl.s <= r.s AND r.s < bl.e WHERE regexp_matches(bl.m, '[A-Za-z0-9'']') AND NOT starts_with(regexp_replace(bl.m, '^\\s+', ''), '#') GROUP BY r.n, bl.k, bl.s, bl.e),
-u1 AS (SELECT *, para - row_number() OVER (PARTITION BY n ORDER BY para) AS isl FROM u0),
-u2 AS (SELECT *, (row_number() OVER (PARTITION BY n, isl ORDER BY para) - 1) // 2 AS unit FROM u1),
-u3 AS (SELECT n, min(para) AS first, max(para) AS last, min(s) AS s, max(e) AS e, sum(hits)::BIGINT AS hits FROM u2 GROUP BY n, isl, unit)
-SELECT {HEAD}, first, last, hits FROM u3 QUALIFY row_number() OVER (PARTITION BY n ORDER BY hits DESC, s) <= 8""",
     # These edits never overlap, so that nothing has to be resolved here.
     "apply_edits": f"""WITH {FINDINGS}, ed AS (SELECT n, s, e, t[coalesce(lag(e) OVER (PARTITION BY n ORDER BY s), 0) + 1:s] || rep AS piece, t FROM fi JOIN c USING (n) WHERE rep IS NOT NULL),
 ea AS (SELECT n, string_agg(piece, '' ORDER BY s) || any_value(t)[max(e) + 1:] AS content, count(*) AS applied FROM ed GROUP BY n)
@@ -368,6 +355,26 @@ FROM l6 LEFT JOIN wf USING (n, k)"""
 
 
 SQL |= {
+    "judge_candidates": f"""WITH {C}, {SKIP}, {PARAS}, lo AS ({_locations()}),
+j0 AS (SELECT n, s, e, 'heuristic' AS source, 1 AS phase, 0 AS o FROM para y WHERE ((length({STRIPPED}) > 40 AND NOT regexp_matches({STRIPPED}, {q(findings.TERMINAL)})) OR regexp_matches(p, {AGREE})) AND {not_in("y")}
+  UNION ALL SELECT chapter_number, start, "end", CASE WHEN rule_id LIKE 'word.%' THEN 'wordiness' ELSE 'echo' END, 3, CASE rule_id WHEN 'echo.local_repeat' THEN 7 WHEN 'echo.phrase_dup' THEN 8 ELSE 6 END
+  FROM (SELECT chapter_number, start, "end", rule_id, chapter_number AS n, start AS s, "end" AS e FROM lo) y WHERE (rule_id LIKE 'word.%' OR rule_id LIKE 'echo.%') AND {not_in("y")}),
+j1 AS (SELECT * FROM j0 QUALIFY row_number() OVER (PARTITION BY n, s, e ORDER BY phase, o) = 1),
+j2 AS (SELECT *, row_number() OVER (PARTITION BY n ORDER BY phase, o, s, e) AS nth FROM j1),
+j3 AS (SELECT j2.*, regexp_replace(t[s + 1:e], '^\\s+|\\s+$', '', 'g') AS x FROM j2 JOIN c USING (n) WHERE nth <= 8)
+SELECT {HEAD}, nth, source, CASE WHEN length(x) > 600 THEN regexp_replace(x[:599], '\\s+$', '') || '…' ELSE x END AS text FROM j3""",
+    "rewrite_units": f"""WITH {C}, {m("bl", "[^\\n]+(?:\\n[^\\n]+)*")}, lo AS ({_locations()}),
+no AS (SELECT chapter_number AS n, start AS s FROM lo WHERE rule_id LIKE 'echo.%' OR rule_id LIKE 'rhythm.%' OR rule_id LIKE 'weak.%'),
+u0 AS (SELECT r.n, bl.k AS para, bl.s, bl.e, count(*) AS hits FROM no r JOIN bl ON bl.n = r.n AND bl.s <= r.s AND r.s < bl.e WHERE regexp_matches(bl.m, '[A-Za-z0-9'']') AND NOT starts_with(regexp_replace(bl.m, '^\\s+', ''), '#') GROUP BY r.n, bl.k, bl.s, bl.e),
+u1 AS (SELECT *, para - row_number() OVER (PARTITION BY n ORDER BY para) AS isl FROM u0),
+u2 AS (SELECT *, (row_number() OVER (PARTITION BY n, isl ORDER BY para) - 1) // 2 AS unit FROM u1),
+u3 AS (SELECT n, min(para) AS first, max(para) AS last, min(s) AS s, max(e) AS e, sum(hits)::BIGINT AS hits FROM u2 GROUP BY n, isl, unit)
+SELECT {HEAD}, first, last, hits FROM u3 QUALIFY row_number() OVER (PARTITION BY n ORDER BY hits DESC, s) <= 8""",
+    "anchor_cursor": f"""WITH {RAW}, {m("ag", "[.!?]\\s+")},
+a0 AS (SELECT n, s + 1 AS b, e AS nx FROM ag UNION ALL SELECT n, length(t), length(t) FROM c),
+a1 AS (SELECT a0.n, coalesce(lag(nx) OVER (PARTITION BY a0.n ORDER BY nx, b), 0) AS a, b, t FROM a0 JOIN c USING (n)),
+a2 AS (SELECT n, a, b, t[a + 1:b] AS x FROM a1 WHERE t[a + 1:b] <> '')
+SELECT n AS chapter_number, (row_number() OVER (PARTITION BY n ORDER BY a))::INT AS n, x AS excerpt, a::INT AS start, b::INT AS "end" FROM a2""",
     "all_rules": f"SELECT * EXCLUDE (text) FROM ({_all_rules()})",
     "locations": _locations(),
     "line_numbers": f"WITH {C}, {SKIP}, {DOUBLE} SELECT d.n AS chapter_number, s AS start, len(string_split(t[:s], {NL}))::BIGINT AS line FROM double_space d JOIN c USING (n)",

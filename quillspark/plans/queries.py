@@ -77,20 +77,29 @@ def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.positions(lexical.hits(c, lexical.em_dash), regions.sentences(c), regions.scenes(c)).select("chapter_number", "start", "end", "scene", "sentence_start", "sentence_end")
 
 
+def _placed(c: DataFrame, *prefixes: str) -> DataFrame:
+    """The findings, in their places, of the rules that start with one of the prefixes."""
+    wanted = F.lit(False)
+    for prefix in prefixes:
+        wanted = wanted | F.col("rule_id").startswith(prefix)
+    return findings.of_hits(checks.placed(checks.all_hits(c, CONFIG).filter(wanted), c))
+
+
 def judge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = laid(spark, sf_dir)
-    return findings.judge_candidates(c, findings.of_hits(lexical.hits(c, lexical.wordiness)))
+    return findings.judge_candidates(c, _placed(c, "word.", "echo."))
 
 
 def rewrite_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = laid(spark, sf_dir)
-    return findings.rewrite_units(c, prose.opener_runs(regions.sentences(c)))
+    return findings.rewrite_units(c, _placed(c, "echo.", "rhythm.", "weak."))
 
 
 def anchor_cursor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence of every text, searched in order."""
     c = raw_chapters(spark, sf_dir)
-    words = F.filter(F.split("content", " ", -1), lambda w: w != "")
-    return findings.anchored(c.select("chapter_number", "content", F.slice(words, 1, 5).alias("excerpts")))
+    told = F.filter(F.split("content", r"(?<=[.!?])\s+", -1), lambda x: x != "")
+    return findings.anchored(c.select("chapter_number", "content", told.alias("excerpts")))
 
 
 def scene_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

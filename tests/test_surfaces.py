@@ -90,3 +90,40 @@ def test_report_is_written_whole(spark, tmp_path):
     except Exception as error:  # noqa: BLE001
         assert "no text" in str(error)
     assert spark.read.json(f"{path}/findings").count() == 2 and [p.name for p in tmp_path.iterdir()] == ["report"]
+
+
+def test_copy_findings_and_reviews(spark):
+    passages = spark.createDataFrame([(1, 1, 0, 5, "heuristic", "first"), (1, 2, 9, 14, "echo", "other"), (2, 1, 3, 4, "heuristic", "x")], "chapter_number long, nth long, start long, end long, source string, text string")
+    answers = [
+        (1, "copy.grammar_ambiguity", "Error", 0.9, None), (1, "copy.echo_context", None, None, 0.7), (1, "copy.wordiness_context", None, None, 0.5), (1, "copy.style_consistency", "concern", 0.6, None),
+        (2, "copy.grammar_ambiguity", "warning", 0.5, None), (3, "copy.wordiness_context", None, None, 0.9),
+    ]
+    got = judges.copy_findings(spark.createDataFrame(answers, "chapter_number long, question string, choice string, confidence double, probability double"), passages)
+    assert sorted(((r.chapter_number, r.rule_id, r.severity, r.start, r.excerpt) for r in got.collect()), key=str) == [
+        (1, "copy.echo_context", "suggestion", 9, "other"), (1, "copy.grammar_ambiguity", "error", 0, "first"), (1, "copy.style_consistency", "warning", None, ""), (3, "copy.wordiness_context", "suggestion", None, ""),
+    ]
+    f = spark.createDataFrame([("a", "mech.missing_predicate", "warning"), ("b", "mech.missing_predicate", "warning"), ("c", "word.x", "suggestion")], "id string, rule_id string, severity string")
+    v = spark.createDataFrame([("a", "intentional", 0.9), ("b", "intentional", 0.2), ("c", "intentional", 0.9)], "id string, choice string, confidence double")
+    assert {r.id: r.severity for r in judges.review_missing_predicates(f, v).collect()} == {"a": "info", "b": "warning", "c": "suggestion"}
+
+
+def test_continuity(spark):
+    replies = [
+        'So: {"facts": [{"fact": "a key", "status": "Kept"}, {"fact": "mood", "status": "lost", "literal": false}]}', '{"facts": [{"fact": "a key", "status": "lost"}, {"fact": "x"}], "added": ["a dog", " "], "after_ok": false, "after_note": "n"}',
+        '{"facts": []}', "nothing", None,
+    ]
+    got = spark.createDataFrame(list(enumerate(replies)), "i int, r string").orderBy("i").select(judges.continuity_problems(F.col("r")).alias("p")).collect()
+    assert [r.p for r in got] == [[], ["fact lost: a key", "fact unclear: x", "fact added: a dog", "after text breaks: n"], ["checker listed no facts"], ["checker_unreadable"], ["checker_unreadable"]]
+
+
+def test_what_a_judge_is_shown(spark):
+    c = from_table(spark.createDataFrame([(1, "a" * 13_000), (2, "# T\nshort")], "doc_id long, text string"))
+    passages = spark.createDataFrame([(1, 1, 0, 5, "s", "x"), (1, 2, 6500, 6600, "s", "gone"), (1, 3, 12_990, 13_000, "s", "z"), (2, 1, 0, 2, "s", "alone")], "chapter_number long, nth long, start long, end long, source string, text string")
+    rows = {r.chapter_number: r for r in judges.judge_state(c, some_findings(c), passages, ["line"] * 90).collect()}
+    assert [p.text for p in rows[1].passages] == ["x", "z"] and len(rows[1].prose) == 12_000 and rows[2].passages is None and rows[2].title == "T" and len(rows[1].glossary) == 80
+    shapes = spark.createDataFrame([(1, i, i + 1) for i in range(90)], "chapter_number long, start long, end long")
+    assert judges.hollow_candidates(shapes).count() == 80
+    paras = spark.createDataFrame([(1, i, f"p{i}") for i in range(9)], "chapter_number long, para long, text string")
+    units = spark.createDataFrame([(1, 4, 5), (1, 0, 0)], "chapter_number long, first long, last long")
+    assert sorted((r.first, r.before, r.after) for r in judges.around_units(paras, units).collect()) == [(0, "", "p1\n\np2\n\np3"), (4, "p1\n\np2\n\np3", "p6\n\np7\n\np8")]
+    assert spark.range(1).select(judges.new_rules(F.array(F.lit("a")), F.array(F.lit("b"), F.lit("a"))).alias("r")).first()["r"] == ["b"]
