@@ -9,7 +9,7 @@ score 0 and no spans.  Words of a script that no learned language uses make
 spans of ``und``; a text of such words alone gets the language whose scores
 are best all the same, with score 0.  Ties go to the language whose name sorts
 first.  Repeated rows and rows with a null id are each labelled like any other
-row.  With no rows to learn from every text gets ``und``.  Columns other than
+row; the latter are never learned from and not held out.  With no rows to learn from every text gets ``und``.  Columns other than
 those to keep and the text are not read; added columns whose names are taken
 get an underscore before them.
 """

@@ -9,7 +9,8 @@ which gives the same result as averaging the vectors.
 
 Defined results: a null or empty text has no features and gets the bias
 alone.  Without labelled rows every score is 0.5.  Repeated rows are each
-scored.  Columns other than id and text are neither read nor returned.
+scored.  A row with a null id is scored, never learned from and not held out.
+Columns other than id and text are neither read nor returned.
 """
 
 from __future__ import annotations

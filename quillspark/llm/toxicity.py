@@ -8,8 +8,9 @@ learned from a part of their own of a bounded sample of labelled rows.
 
 Defined results: a null or empty text has zeros for features and gets their
 score.  Without labelled rows of both kinds the score is the density of the
-seed list, at most 1.  Repeated rows are each scored.  Columns other than id
-and text are neither read nor returned.
+seed list, at most 1.  Repeated rows are each scored.  A row with a null id is
+scored, never learned from and not held out.  Columns other than id and text
+are neither read nor returned.
 """
 
 from __future__ import annotations
