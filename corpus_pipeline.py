@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages, each over all that the one before it kept."""
+"""The corpus pipeline: five stages, each over all that the one before it kept.
+
+All stages take tables without rows, rows with nulls in any column, repeated
+rows and extra columns of any name: extra columns pass unread through all but
+the last stage, which doesn't return them, and what becomes of null and empty
+texts and of repeated rows each stage's function states.
+"""
 
 from __future__ import annotations
 
