@@ -216,17 +216,22 @@ def test_links_of_sets():
             assert components(20, zip(a, b)) == components(20, want) and len(a) < 20
 
 
-def test_pipeline(spark, tmp_path):
+@pytest.mark.parametrize("case", ["plain", "clashing", "empty"])
+def test_pipeline(spark, tmp_path, case):
     import corpus_pipeline
 
     rng = np.random.default_rng(6)
     item = " ".join(rng.choice(VOCABULARY, 40)) + ". answer words follow here."
     body = [" ".join(rng.choice(VOCABULARY, 80)) for _ in range(20)]
     rows = [(i, t, "en", "s", 1) for i, t in enumerate(body)] + [(20, body[0], "en", "t", 1), (21, body[1] + " " + item, "en", "s", 1), (22, "12 34", "en", "s", 5), (23, None, "en", "s", 0)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.createDataFrame(rows if case != "empty" else [], "doc_id long, text string, lang string, source string, n_chars long")
+    if case == "clashing":
+        for name in ("score", "lang_pred", "n_lines", "node", "__host", "ids", "row", "item_id"):
+            docs = docs.withColumn(name, F.lit(None).cast("int"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert sorted(r.doc_id for r in out) == list(range(20)) and all(r.round_trip for r in out)
+    assert sorted(r.doc_id for r in out) == (list(range(20)) if case != "empty" else []) and all(r.round_trip for r in out)
 
 
 SF = "/root/testdata/sf0.001"
