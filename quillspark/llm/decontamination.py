@@ -40,6 +40,8 @@ ITEMS_PER_INDEX = 50_000
 #: Words of a passage, and of the step to the next: any item of up to half a passage lies within one passage as a whole.
 PASSAGE, STEP = 128, 64
 BLOCK = 8
+#: Cells of a table of bounds that are held at most; a larger index has lists alone.
+SMALL_TABLE = 8_000_000
 K1, B = 1.2, 0.75
 #: Share of the item's own score that a passage must reach.
 MIN_SCORE = 0.6
@@ -117,6 +119,11 @@ class Index:
         self.top = np.maximum.reduceat(self.bounds, self.begin) if len(df) else self.bounds
         self.few = np.zeros(1 << 16, dtype=bool)
         self.few[self.terms >> np.uint64(48)] = True
+        #: Of a small index the largest impacts by term and block as a table, which is quicker to add up than lists.
+        self.table = None
+        if len(self.terms) * self.blocks <= SMALL_TABLE:
+            self.table = np.zeros((len(self.terms), self.blocks), dtype=np.float32)
+            self.table[self.met // self.blocks, self.met % self.blocks] = self.bounds
 
     def term_of(self, h: np.ndarray) -> np.ndarray:
         """The term of each word, or -1."""
@@ -145,9 +152,27 @@ def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _candidates(index: Index, who: np.ndarray, t: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """The passages and blocks whose bound reaches the threshold: who and t are the distinct (passage, term) pairs, sorted."""
+    # A passage whose terms' largest impacts don't reach the threshold together is passed over.
+    starts = np.flatnonzero(np.diff(who, prepend=-1))
+    size = np.diff(np.append(starts, len(who)))
+    may = np.add.reduceat(index.top[t], starts, dtype=np.float64) >= threshold - 1e-6
+    pairs = np.repeat(may, size)
+    who, t, size = who[pairs], t[pairs], size[may]
+    if not len(who):
+        return who, who
+    if index.table is not None:
+        rows, blocks_of = [], []
+        at = np.cumsum(size) - size
+        for a, b in _even(size, max(SMALL_TABLE // index.blocks, 1)):
+            low, high = at[a], at[b - 1] + size[b - 1]
+            bound = np.add.reduceat(index.table[t[low:high]], at[a:b] - low, axis=0)
+            row, block = np.nonzero(bound >= threshold - 1e-6)
+            rows.append(who[at[a:b]][row])
+            blocks_of.append(block)
+        return np.concatenate(rows), np.concatenate(blocks_of)
     order = np.lexsort((-index.length[t], who))
     who, t = who[order], t[order]
-    starts = np.flatnonzero(np.diff(who, prepend=-1))
+    starts = np.cumsum(size) - size
     total = np.cumsum(index.top[t], dtype=np.float64)
     before = np.repeat((total - index.top[t])[starts], np.diff(np.append(starts, len(who))))
     # The pivot: up to it, terms with long lists can't reach the threshold together.
