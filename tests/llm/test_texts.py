@@ -233,8 +233,10 @@ def test_decontamination(spark):
     assert decontamination.search(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
 
-def test_retrieval_equals_exhaustive_bm25():
-    """All items whose BM25 score, recomputed item by item, reaches the threshold in some passage: pruning loses none and adds none."""
+@pytest.mark.parametrize("table", [8_000_000, 0])
+def test_retrieval_equals_exhaustive_bm25(monkeypatch, table):
+    """By a table of bounds and by lists: all items whose BM25 score, recomputed item by item, reaches the threshold in some passage: pruning loses none and adds none."""
+    monkeypatch.setattr(decontamination, "SMALL_TABLE", table)
     rng = np.random.default_rng(10)
     for size in (5, 60, 400):
         common, rare = [f"c{i}" for i in range(30)], [f"r{i}" for i in range(size * 4)]
