@@ -29,20 +29,25 @@ from .textvec import Words, as_bytes, blocks, windows
 #: At most so many labelled documents are learned from.
 TRAINING_ROWS = 3000
 BUCKET_BITS = 16
+AGAIN = 1 << BUCKET_BITS
+BUCKETS = AGAIN + 1
 DIMENSIONS = 8
 EPOCHS = 6
 RATE = 0.3
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the hashed words, word bigrams and character trigrams and pentagrams (over bytes), one after another, and which text each is of."""
+    """Buckets of the hashed words, word bigrams and character trigrams and pentagrams (over bytes), one after another, and which text each is of.
+
+    Bigrams of a word and the same word again share the bucket AGAIN, which nothing else has, whichever word it is."""
     words = Words(texts, lower=False)
     n, shift = len(texts), np.uint64(64 - BUCKET_BITS)
     doc = words.doc.astype(np.int32)
     owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(words.offset))
     hashes = words.hashes()
     near = doc[1:] == doc[:-1]
-    out, docs = [(hashes >> shift).astype(np.int32), (windows(hashes, 2) >> shift).astype(np.int32)[near]], [doc, doc[1:][near]]
+    pairs = np.where(hashes[1:] == hashes[:-1], AGAIN, (windows(hashes, 2) >> shift).astype(np.int32)).astype(np.int32)
+    out, docs = [(hashes >> shift).astype(np.int32), pairs[near]], [doc, doc[1:][near]]
     buf = words.buf.astype(np.uint32)
     for size, seed in ((3, 0x9E3779B1), (5, 0x85EBCA77)):
         if len(buf) < size:
@@ -75,10 +80,10 @@ class Model:
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> Model:
     """Plain SGD, a document a step, with a step size of each vector that shrinks as its gradients add up."""
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIMENSIONS)).astype(np.float32)
+    vectors = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weights = rng.normal(0, 0.1, (DIMENSIONS, 2)).astype(np.float32)
     bias = np.zeros(2, dtype=np.float32)
-    seen = np.full(1 << BUCKET_BITS, 1e-8, dtype=np.float32)
+    seen = np.full(BUCKETS, 1e-8, dtype=np.float32)
     seen_w = np.full(weights.shape, 1e-8, dtype=np.float32)
     bags = []
     for text in texts:
@@ -135,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, key: str = "doc_id", text: s
 def classify(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The id, and score: the probability of good quality."""
     small_batches(docs.sparkSession)
-    logit = model.logit.astype(np.float64) if model else np.zeros(1 << BUCKET_BITS)
+    logit = model.logit.astype(np.float64) if model else np.zeros(BUCKETS)
     bias = float(model.bias[1] - model.bias[0]) if model else 0.0
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(partial(_score, logit=logit, bias=bias), f"`{key}` {kind}, score double")
