@@ -7,6 +7,7 @@ from .jaccard_join import op2_ngram_jaccard
 from .language_id import op6_language_id
 from .line_dedup import SQL as LINE_SQL
 from .line_dedup import op8_line_dedup
+from .packing import op13_best_fit_packing
 from .passages import op7_substring_dedup
 from .pieces import op4_sentencepiece
 from .pii import op3_pii
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
+    "op13_best_fit_packing": op13_best_fit_packing,
 }
 
 SQL: dict[str, str] = {"op8_line_dedup": LINE_SQL}
