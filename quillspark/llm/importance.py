@@ -186,7 +186,7 @@ def resample(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str
     discard(wanted)
     rows = settled(scored(own, gain, key, settings.seed))
     discard(own)
-    return drawn(rows, key, settings.percent, settings.least_words)
+    return drawn(rows, key, settings.percent, settings.least_words).select(key, "n_words", "n_features", "weight", "score", "rank")
 
 
 def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
