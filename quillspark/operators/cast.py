@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.repair import families, family, is_pronoun_guess, is_safe_to_paste, occurs_once
 from ..functions.text import between, strip
+from .messages import filled
 
 #: The families that files are held to, what contradicts each, and first names that are ordinary words.
 HE, SHE = 3, 4
@@ -45,30 +46,69 @@ def _quoted(token: Column) -> Column:
 
 
 def patterns(cast_members: DataFrame) -> DataFrame:
-    """name, pronouns, family, named (a pattern of the member's tokens) and tied: a pattern of the nouns that contradict the member, tied to a token by apposition or a link verb."""
-    rows = cast_members.withColumn("any", F.concat(F.lit("(?:"), F.array_join(F.transform("tokens", _quoted), "|"), F.lit(")")))
-    noun = F.lit(None).cast("string")
-    for number, nouns in NOUNS_AGAINST.items():
-        noun = F.when(F.col("family") == number, F.lit(f"(?:{'|'.join(nouns)})")).otherwise(noun)
-    said = F.concat(F.lit(DETERMINER + r"\s+" + ADJECTIVES + r"\b"), noun)
-    tied = F.concat(
-        F.lit(r"(?i)\b"), F.col("any"), F.lit(r"(?:'s)?\s*,\s*"), said, F.lit(r"\b|\b"), F.col("any"), F.lit(rf"\s+{LINKS}\s+"), said, F.lit(r"\b|"), said, F.lit(r"\s*,?\s+"), F.col("any"), F.lit(r"\b"),
-    )
-    return rows.select("name", "pronouns", "family", F.concat(F.lit(r"(?i)(?<!\w)"), F.col("any"), F.lit(r"(?!\w)")).alias("named"), tied.alias("tied"))
+    """name, pronouns, family, named (a pattern of the member's tokens)."""
+    any_token = F.concat(F.lit("(?:"), F.array_join(F.transform("tokens", _quoted), "|"), F.lit(")"))
+    return cast_members.select("name", "pronouns", "family", F.concat(F.lit(r"(?iU)(?<!\w)"), any_token, F.lit(r"(?!\w)")).alias("named"))
 
 
 def plain_sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(strip(text), r"(?<=[.!?])\s+", -1), strip), lambda s: s != "")
 
 
-def pronoun_clashes(chapters: DataFrame, cast: DataFrame) -> DataFrame:
-    """Sentences that tie a gendered noun to someone of the other family: chapter_number, name, sentence; each once a chapter.
+def _tied_to(token: Column, noun: Column) -> list[Column]:
+    """The patterns of nouns (their first group) that describe the bearer of a token: two kinds of apposition and a link verb."""
+    said = F.concat(F.lit(DETERMINER + r"\s+" + ADJECTIVES + r"\b("), noun, F.lit(")"))
+    name, head = _quoted(token), F.lit("(?iU)")
+    return [
+        F.concat(head, F.lit(r"\b"), name, F.lit(r"(?:'s)?\s*,\s*"), said, F.lit(r"\b")),
+        F.concat(head, F.lit(r"\b"), name, F.lit(rf"\s+{LINKS}\s+"), said, F.lit(r"\b")),
+        F.concat(head, said, F.lit(r"\s*,?\s+"), name, F.lit(r"\b")),
+    ]
+
+
+def _keys(text: Column) -> Column:
+    """The words of a text in lower case, each once, by which names are looked up."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.lower))
 
-    The pattern table of a cast is small: sentences with such a noun at all meet it as it is, without a branch of the plan for each member."""
+
+def tied_sentences(chapters: DataFrame, cast: DataFrame) -> DataFrame:
+    """Sentences that tie a gendered noun to someone of the other family, each once a chapter: chapter_number, k (the sentence's number), name, pronouns, sentence, nouns (that do so, in lower case, each once).
+
+    A sentence with such a noun at all is looked up by its words among the first words of the members' tokens, an
+    equal join whatever the size of the cast; only then patterns are tried.  Tokens without a word are met by every sentence."""
     nouns = "|".join(re.escape(n) for nouns in NOUNS_AGAINST.values() for n in nouns)
-    sentences = chapters.select("chapter_number", F.explode(F.array_distinct(plain_sentences(F.col("content")))).alias("sentence")).filter(F.col("sentence").rlike(rf"(?i)\b(?:{nouns})\b"))
-    table = patterns(members(cast)).filter("tied is not null").select("name", "tied")
-    return sentences.join(table, F.regexp_like("sentence", F.col("tied"))).select("chapter_number", "name", "sentence").distinct()
+    told = chapters.select("chapter_number", F.posexplode(plain_sentences(F.col("content"))).alias("k", "sentence")).filter(F.col("sentence").rlike(rf"(?iU)\b(?:{nouns})\b"))
+    once = told.groupBy("chapter_number", "sentence").agg(F.min("k").alias("k"))
+    words = once.withColumn("key", F.explode(F.concat(_keys(F.col("sentence")), F.array(F.lit("")))))
+    noun = F.coalesce(*(F.when(F.col("family") == number, "|".join(nouns)) for number, nouns in NOUNS_AGAINST.items()))
+    people = members(cast).withColumn("noun", noun).filter("noun is not null")
+    first = lambda token: F.coalesce(F.get(_keys(token), F.lit(0)), F.lit(""))
+    known = people.withColumn("key", F.explode(F.array_distinct(F.transform("tokens", first))))
+    met = words.join(known, "key").select("chapter_number", "k", "sentence", "name", "pronouns", "tokens", "noun").distinct()
+    found = F.flatten(F.transform("tokens", lambda t: F.flatten(F.array(*(F.regexp_extract_all("sentence", p, F.lit(1)) for p in _tied_to(t, F.col("noun")))))))
+    rows = met.withColumn("nouns", F.array_distinct(F.transform(found, F.lower)))
+    return rows.filter(F.size("nouns") > 0).select("chapter_number", "k", "name", "pronouns", "sentence", "nouns")
+
+
+def pronoun_clashes(chapters: DataFrame, cast: DataFrame) -> DataFrame:
+    """chapter_number, name, sentence of the sentences that contradict someone's pronouns; each once a chapter."""
+    return tied_sentences(chapters, cast).select("chapter_number", "name", "sentence")
+
+
+#: What a finding of the cast says, fixed value.
+CLASH = "{name} is {pronouns} in the character file, but this sentence also says {nouns}."
+
+
+def pronoun_hits(chapters: DataFrame, cast: DataFrame, order: int) -> DataFrame:
+    """pronoun_clashes as hits without a place: sentence by sentence, then in the order of the names."""
+    rows = tied_sentences(chapters, cast)
+    note = filled(CLASH, name=F.col("name"), pronouns=F.col("pronouns"), nouns=F.array_join("nouns", ", "))
+    shown = F.when(F.length("sentence") > 280, F.concat(F.substring("sentence", 1, 279), F.lit("…"))).otherwise(F.col("sentence"))
+    none = F.lit(None)
+    return rows.select(
+        "chapter_number", F.lit(order).alias("rule_ord"), F.lit("canon.pronoun_prose").alias("rule_id"), none.cast("long").alias("start"), none.cast("long").alias("end"), shown.alias("text"),
+        none.cast("string").alias("replacement"), F.col("k").cast("int").alias("turn"), note.alias("note"),
+    )
 
 
 def file_clashes(cast: DataFrame) -> DataFrame:

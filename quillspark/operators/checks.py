@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import between, enclosing, flat_excerpt, line_at, let, strip
 from . import echoes, findings, lexical, prose, regions
+from .cast import pronoun_hits
+from .messages import WEAK, filled, rounded
 
 
 @dataclass(frozen=True)
@@ -33,8 +35,8 @@ class Config:
 
 
 MECHANICS = [lexical.double_space, lexical.trailing_space, lexical.space_before_punctuation, lexical.repeated_punctuation]
-#: The order in which rules give their findings: lexical ones up to 6, then echoes, rhythm, weak words and the guide's.
-ORDER = {"echo.local_repeat": 7, "echo.phrase_dup": 8, "rhythm.same_opener_run": 9, "rhythm.flat_scene": 10, "weak": 11, "guide": 12}
+#: The order in which rules give their findings: lexical ones up to 6, then echoes, rhythm, weak words, the guide's and, at the end, the cast's.
+ORDER = {"echo.local_repeat": 7, "echo.phrase_dup": 8, "rhythm.same_opener_run": 9, "rhythm.flat_scene": 10, "weak": 11, "guide": 12, "canon": 20}
 
 
 def rules(config: Config) -> list[lexical.Rule]:
@@ -43,32 +45,55 @@ def rules(config: Config) -> list[lexical.Rule]:
     return [*MECHANICS, lexical.em_dash, lexical.earth_timeline, lexical.wordiness if config.wordiness else off]
 
 
-def _as_hits(rows: DataFrame, order: int, rule: str | None = None, **texts: Column | str) -> DataFrame:
-    """rows with start and end as hits of one rule; text and word where they are given."""
-    given = {name: F.lit(None).cast("string") for name in ("text", "replacement", "word")} | texts
-    return rows.select("chapter_number", F.lit(order).alias("rule_ord"), F.lit(rule).alias("rule_id") if rule else F.col("rule_id"), "start", "end", *(F.col(v).alias(k) if isinstance(v, str) else v.alias(k) for k, v in given.items()))
+def _as_hits(rows: DataFrame, order: int, rule: str | None = None, **given: Column | str) -> DataFrame:
+    """rows with start and end as hits of one rule; text, word, turn and note where they are given."""
+    none = F.lit(None).cast("string")
+    values = {"text": none, "replacement": none, "turn": F.lit(0), "note": none, "word": none} | given
+    return rows.select("chapter_number", F.lit(order).alias("rule_ord"), F.lit(rule).alias("rule_id") if rule else F.col("rule_id"), "start", "end", *(F.col(v).alias(k) if isinstance(v, str) else v.alias(k) for k, v in values.items()))
 
 
 def all_hits(laid: DataFrame, config: Config | None = None) -> DataFrame:
-    """The hits of every rule: chapter_number, rule_ord, rule_id, start, end, text, replacement, word (of an echo)."""
+    """The hits of every rule: chapter_number, rule_ord, rule_id, start, end, text, replacement, turn, note, word (of an echo)."""
     config = config or Config()
     word = F.lit(None).cast("string").alias("word")
     out = lexical.hits(laid, *rules(config)).withColumn("word", word)
     near = echoes.local_repeats(echoes.content_words(laid), config.echo_window, config.echo_at_least)
-    out = out.unionByName(_as_hits(near, ORDER["echo.local_repeat"], "echo.local_repeat", word="word"))
-    out = out.unionByName(_as_hits(echoes.phrase_repeats(laid, config.phrase_sizes, config.phrase_gap), ORDER["echo.phrase_dup"], "echo.phrase_dup", text="excerpt"))
+    note = filled("Word '{word}' repeats {n} times within {window} content words.", word=F.col("word"), n=F.col("n"), window=F.lit(config.echo_window))
+    out = out.unionByName(_as_hits(near, ORDER["echo.local_repeat"], "echo.local_repeat", word="word", note=note))
+    note = filled("Phrase '{phrase}' appears twice in close proximity within the same paragraph — likely a polish-pass stutter.", phrase=F.col("phrase"))
+    out = out.unionByName(_as_hits(echoes.phrase_repeats(laid, config.phrase_sizes, config.phrase_gap), ORDER["echo.phrase_dup"], "echo.phrase_dup", text="excerpt", note=note))
     told = regions.sentences(laid)
     if config.rhythm:
-        out = out.unionByName(_as_hits(prose.opener_runs(told, config.opener_run), ORDER["rhythm.same_opener_run"], "rhythm.same_opener_run"))
-        out = out.unionByName(_as_hits(prose.flat_scenes(told, config.flat_variety, config.flat_sentences), ORDER["rhythm.flat_scene"], "rhythm.flat_scene"))
+        note = filled("{n} sentences in a row start with “{opener}”.", n=F.col("sentences"), opener=F.col("opener"))
+        out = out.unionByName(_as_hits(prose.opener_runs(told, config.opener_run), ORDER["rhythm.same_opener_run"], "rhythm.same_opener_run", note=note))
+        note = filled(
+            "Scene {scene} reads flat: variety {variety}/100 (limit {limit}). Average {mean} words; n/a of sentences open subject-then-verb.",
+            scene=F.col("scene"), variety=F.col("variety"), limit=F.lit(config.flat_variety), mean=rounded(F.col("mean_words")),
+        )
+        out = out.unionByName(_as_hits(prose.flat_scenes(told, config.flat_variety, config.flat_sentences), ORDER["rhythm.flat_scene"], "rhythm.flat_scene", turn=F.col("scene").cast("int"), note=note))
     if config.weakeners:
-        out = out.unionByName(_as_hits(prose.dense_weak_words(told, config.weak_limits, config.weak_words), ORDER["weak"]))
+        dense = prose.dense_weak_words(told, config.weak_limits, config.weak_words)
+        out = out.unionByName(_as_hits(dense, ORDER["weak"], text="own", turn=_weak_turn(config), note=_weak_note(config)))
     guide = [rule(setting) for rule, setting in ((lexical.banned, list(config.banned)), (lexical.pet_words, config.pet_words), (lexical.house_spelling, config.spellings)) if setting]
     if guide:
         out = out.unionByName(lexical.hits(laid, *guide).withColumn("rule_ord", F.lit(ORDER["guide"]) + F.col("rule_ord")).withColumn("word", word))
     return out
 
 
+def _weak_turn(config: Config) -> Column:
+    """Weak words are told scene by scene, then rule by rule."""
+    of = F.array(*map(F.lit, sorted(config.weak_limits)))
+    return (F.col("scene") * len(config.weak_limits) + F.array_position(of, F.col("rule_id"))).cast("int")
+
+
+def _weak_note(config: Config) -> Column:
+    out = F.lit(None).cast("string")
+    for rule, limit in config.weak_limits.items():
+        text = WEAK[rule] + f" Scene {{scene}}: {{rate}} per 1,000 words (limit {limit:g})."
+        out = F.when(F.col("rule_id") == rule, filled(text, word=F.col("own"), scene=F.col("scene"), rate=rounded(F.col("rate")))).otherwise(out)
+    return out
+
+
 def placed(hits: DataFrame, laid: DataFrame) -> DataFrame:
     """hits (chapter_number, start, end, rule_id, text and more) with line_start, line_end, scene, sentence_start, sentence_end and their text.
 
@@ -102,16 +127,28 @@ def placed(hits: DataFrame, laid: DataFrame) -> DataFrame:
 PLACE = ["line_start", "line_end", "scene", "sentence_start", "sentence_end"]
 
 
-def check(chapters: DataFrame, config: Config | None = None, skip_rules: list[str] | None = None, forms: DataFrame | None = None) -> DataFrame:
-    """The findings of every rule on chapters, with ids and places: those of rules that start with skip_rules and those against the glossary's forms are left out, and of duplicates one stays.
+def check(chapters: DataFrame, config: Config | None = None, skip_rules: list[str] | None = None, forms: DataFrame | None = None, cast: DataFrame | None = None) -> DataFrame:
+    """The findings of every rule on chapters, with ids, messages and places: those of rules that start with skip_rules and those against the glossary's forms (form) are left out, and of duplicates one stays.
 
-    Close repeats of a word only serve what judges are asked: they aren't reported."""
+    Close repeats of a word only serve what judges are asked: they go first, before they can stand in for others.
+    What contradicts the cast (name, pronouns) comes last.  Findings are numbered before duplicates go, so that numbers have gaps."""
     laid = regions.laid_out(chapters)
-    hits = placed(all_hits(laid, config), laid)
+    return finished(placed(all_hits(laid, config), laid), chapters, skip_rules, forms, cast)
+
+
+def as_findings(hits: DataFrame) -> DataFrame:
+    """Placed hits as findings with word and places."""
     rows = hits.select("*", *(F.col(c).alias(f"__{c}") for c in PLACE)).drop(*PLACE)
-    out = findings.of_hits(rows, keep=["word", *(f"__{c}" for c in PLACE)])
+    return findings.of_hits(rows, keep=["word", *(f"__{c}" for c in PLACE)]).withColumnsRenamed({f"__{c}": c for c in PLACE})
+
+
+def finished(hits: DataFrame, chapters: DataFrame, skip_rules: list[str] | None = None, forms: DataFrame | None = None, cast: DataFrame | None = None) -> DataFrame:
+    """Placed hits as a chapter's findings: filtered, with what contradicts the cast, numbered, without duplicates."""
+    out = as_findings(hits).filter(F.col("rule_id") != "echo.local_repeat").drop("word")
     out = findings.skipping(out, skip_rules or [])
+    if cast is not None:
+        clashes = findings.of_hits(pronoun_hits(chapters, cast, ORDER["canon"]))
+        out = out.unionByName(findings.skipping(clashes, skip_rules or []), allowMissingColumns=True)
     if forms is not None:
         out = findings.without_protected(out, forms)
-    out = findings.dedupe(out).filter(F.col("rule_id") != "echo.local_repeat").drop("word")
-    return findings.with_ids(out).withColumnsRenamed({f"__{c}": c for c in PLACE})
+    return findings.dedupe(findings.with_ids(out))

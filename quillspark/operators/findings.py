@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.intervals import Kept
 from ..functions.text import between, clip, gaps_between, let, matches, none_of, outside, within
+from . import messages
 from .regions import BLOCK, non_prose, paragraphs
 
 SEVERITIES = ["critical", "error", "warning", "suggestion", "info"]
@@ -23,7 +25,6 @@ RULES = [
     ("guide.banned", "style", "warning"), ("guide.", "style", "suggestion"), ("canon.", "style", "warning"), ("hollow.", "hollow", "suggestion"),
 ]
 NOTES = ["echo", "rhythm", "weakener", "hollow"]
-COLUMNS = ["chapter_number", "rule_ord", "rule_id", "category", "severity", "engine", "start", "end", "excerpt", "replacement", "applyable"]
 
 
 def _of_rule(rule: Column, at: int) -> Column:
@@ -36,20 +37,25 @@ def _of_rule(rule: Column, at: int) -> Column:
 def of_hits(hits: DataFrame, engine: str = "deterministic", keep: Iterable[str] = ()) -> DataFrame:
     """Hits of rules as findings, with the columns keep.
 
-    Emit order within a chapter: rule, then start, end and rule id."""
+    What a hit says is its note, else its rule's message. Order within a chapter: rule_ord, turn (0 where hits have none), then start, end and rule id."""
     rule = F.col("rule_id")
-    optional = {"excerpt": "text", "replacement": "replacement", "message": "message"}
-    texts = {name: F.col(c) if c in hits.columns else F.lit(None).cast("string") for name, c in optional.items()}
+    given = lambda c, kind="string": F.col(c) if c in hits.columns else F.lit(None).cast(kind)
+    old, new = given("text"), given("replacement")
     return hits.select(
-        "chapter_number", "rule_ord", "rule_id", _of_rule(rule, 1).alias("category"), _of_rule(rule, 2).alias("severity"),
-        F.lit(engine).alias("engine"), "start", "end", texts["excerpt"].alias("excerpt"), texts["replacement"].alias("replacement"),
-        texts["replacement"].isNotNull().alias("applyable"), texts["message"].alias("message"), *keep,
+        "chapter_number", "rule_ord", F.coalesce(given("turn", "int"), F.lit(0)).alias("turn"), "rule_id", _of_rule(rule, 1).alias("category"), _of_rule(rule, 2).alias("severity"),
+        F.lit(engine).alias("engine"), "start", "end", old.alias("excerpt"), new.alias("replacement"), new.isNotNull().alias("applyable"),
+        F.coalesce(given("note"), given("message"), messages.message(rule, old, new)).alias("message"), messages.suggestion(rule, old, new).alias("suggestion"), *keep,
     )
 
 
+def _order(findings: DataFrame) -> list[str]:
+    """The order in which a chapter's findings are told."""
+    return [c for c in ("rule_ord", "turn", "start", "end", "rule_id", "excerpt", "message") if c in findings.columns]
+
+
 def with_ids(findings: DataFrame) -> DataFrame:
-    """id: engine, chapter and a sequence that starts at 1 for each engine of each chapter."""
-    seq = F.row_number().over(Window.partitionBy("chapter_number", "engine").orderBy("rule_ord", "start", "end", "rule_id", "excerpt"))
+    """id: engine, chapter and a sequence that starts at 1 for each engine of each chapter, in the order of the findings."""
+    seq = F.row_number().over(Window.partitionBy("chapter_number", "engine").orderBy(*_order(findings)))
     prefix = F.lit(None).cast("string")
     for engine, short in ENGINES.items():
         prefix = F.when(F.col("engine") == engine, short).otherwise(prefix)
@@ -98,36 +104,40 @@ def same_message(message: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(message, F.lit("")), r"(?U)\s+", " ")))
 
 
+def _fold(rows: pd.DataFrame) -> list[int]:
+    """The places of the rows that stay, of one chapter and category in order."""
+    kept, index, said = [], Kept(), {}
+    for place, row in enumerate(rows.itertuples(index=False)):
+        span = None if pd.isna(row.start) or pd.isna(row.end) else (int(row.start), int(row.end))
+        i = said.get(row.said) if span is None else index.first(span)
+        if i is None:
+            i = len(kept)
+            kept.append((place, row, span))
+        elif ENGINE_RANK.get(row.engine, 0) > ENGINE_RANK.get(kept[i][1].engine, 0):
+            if kept[i][2] is not None:
+                index.remove(i, kept[i][2])
+            kept[i] = (place, row, span)
+        else:
+            continue
+        if span is None:
+            said[row.said] = i
+        else:
+            index.add(i, span)
+    return [place for place, _, _ in kept]
+
+
 def dedupe(findings: DataFrame) -> DataFrame:
     """Of findings of one chapter and category that overlap by half or contain each other, the first; a later one of a higher engine takes its place.
 
     Two without a place are the same if their messages are; one with a place and
     one without are never.  Each step depends on what was kept before, so that a
-    group is folded in order.  A group is the findings of one category of one chapter."""
-
-    def same(a, b) -> bool:
-        placed = [x.start == x.start and x.start is not None and x.end == x.end and x.end is not None for x in (a, b)]
-        if not any(placed):
-            return a.said == b.said
-        if not all(placed):
-            return False
-        shared = max(0, min(a.end, b.end) - max(a.start, b.start))
-        whole = max(a.end, b.end) - min(a.start, b.start)
-        inside = (a.start >= b.start and a.end <= b.end) or (b.start >= a.start and b.end <= a.end)
-        return whole > 0 and (shared / whole >= 0.5 or inside)
+    group, the findings of one category of one chapter, is folded in order; what
+    was kept is looked up by its place, so that a fold is about linear."""
+    order = _order(findings)
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["rule_ord", "start", "end", "rule_id"], kind="stable")
-        kept: list = []
-        for place, row in enumerate(rows.itertuples(index=False)):
-            for i, (_, prior) in enumerate(kept):
-                if same(row, prior):
-                    if ENGINE_RANK.get(row.engine, 0) > ENGINE_RANK.get(prior.engine, 0):
-                        kept[i] = (place, row)
-                    break
-            else:
-                kept.append((place, row))
-        return rows.iloc[[place for place, _ in kept]].drop(columns="said")
+        rows = rows.sort_values(order, kind="stable")
+        return rows.iloc[_fold(rows)].drop(columns="said")
 
     said = findings.withColumn("said", same_message(F.col("message")) if "message" in findings.columns else F.lit(""))
     return said.groupBy("chapter_number", "category").applyInPandas(fold, findings.schema)

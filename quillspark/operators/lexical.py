@@ -2,7 +2,9 @@
 
 A rule is a function of a chapter's content and, where they are known, its
 spans that aren't prose and its quotes; it gives an array of hits (start, end,
-rule_id, text, replacement; a null replacement where nothing may be pasted).
+rule_id, text, replacement; a null replacement where nothing may be pasted;
+turn, by which a rule's hits are told before their start; a note where the
+hit's message has more in it than its text).
 Any number of rules are laid on a chapter in one projection.
 """
 
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import keep_initial, let, match_case, meets_any, none_of, spans, starts_in_any
 
-HIT = "struct<start:bigint,end:bigint,rule_id:string,text:string,replacement:string>"
+HIT = "struct<start:bigint,end:bigint,rule_id:string,text:string,replacement:string,turn:int,note:string>"
 Rule = Callable[[Column, Column | None, Column | None], Column]
 
 #: Terms of Earth's history, and words that show that a text is set on Earth.
@@ -57,11 +59,14 @@ def _free(found: Column, skip: Column | None, quotes: Column | None = None) -> C
     return out if quotes is None else F.filter(out, lambda x: ~starts_in_any(x, quotes))
 
 
-def _hits(found: Column, rule: str | Callable[[Column], Column], replacement: Callable[[Column], Column] | None = None, text: Callable[[Column], Column] = lambda x: x["text"]) -> Column:
+def _hits(found: Column, rule: str | Callable[[Column], Column], replacement: Callable[[Column], Column] | None = None, turn: Callable[[Column], Column] = lambda x: F.lit(0), note: Column | None = None) -> Column:
     def hit(x: Column) -> Column:
         name = F.lit(rule) if isinstance(rule, str) else rule(x)
         value = F.lit(None).cast("string") if replacement is None else replacement(x)
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), name.alias("rule_id"), text(x).alias("text"), value.alias("replacement"))
+        said = F.lit(None).cast("string") if note is None else note
+        return F.struct(
+            x["start"].alias("start"), x["end"].alias("end"), name.alias("rule_id"), x["text"].alias("text"), value.alias("replacement"), turn(x).cast("int").alias("turn"), said.alias("note"),
+        )
 
     return F.transform(found, hit).cast(f"array<{HIT}>")
 
@@ -76,24 +81,28 @@ def trailing_space(c: Column, skip: Column | None, quotes: Column | None = None)
 
 
 def space_before_punctuation(c: Column, skip: Column | None, quotes: Column | None = None) -> Column:
-    found = spans(c, r"(?<=[A-Za-z0-9_À-ɏ]) [,:;]")
+    found = spans(c, r"(?<=[\p{L}\p{N}_]) [,:;]")
     return _hits(_free(found, skip, quotes), "mech.space_before_punct", lambda x: F.substr(x["text"], F.lit(2)))
 
 
 def repeated_punctuation(c: Column, skip: Column | None, quotes: Column | None = None) -> Column:
-    return _hits(_free(F.concat(spans(c, r"!{2,}"), spans(c, r"\?{2,}")), skip), "mech.repeated_punct")
+    return _hits(_free(F.concat(spans(c, r"!{2,}"), spans(c, r"\?{2,}")), skip), "mech.repeated_punct", turn=lambda x: x["text"].startswith("?"))
 
 
 def em_dash(c: Column, skip: Column | None, quotes: Column | None = None) -> Column:
     return _hits(_free(spans(c, "—|(?<!-)-{2}(?!-)"), skip), "style.em_dash")
 
 
+def _place_in(words: list[str]) -> Callable[[Column], Column]:
+    return lambda x: F.array_position(F.array(*map(F.lit, words)), F.lower(x["text"]))
+
+
 def earth_timeline(c: Column, skip: Column | None, quotes: Column | None = None) -> Column:
     """No hits at all in a chapter that is set on Earth."""
     # One term matches within another: the second pass is for it.
     longer = "|".join(re.escape(t) for t in EARTH_TERMS if t != "cambrian")
     found = F.concat(*(spans(c, rf"(?i)(?<![A-Za-z])(?:{terms})(?![A-Za-z])") for terms in (longer, "cambrian")))
-    return F.when(c.rlike(EARTH_CUES), none_of(HIT)).otherwise(_hits(_free(found, skip), "anachronism.earth_timeline"))
+    return F.when(c.rlike(EARTH_CUES), none_of(HIT)).otherwise(_hits(_free(found, skip), "anachronism.earth_timeline", turn=_place_in(EARTH_TERMS)))
 
 
 def wordiness(c: Column, skip: Column | None, quotes: Column | None = None) -> Column:
@@ -101,7 +110,7 @@ def wordiness(c: Column, skip: Column | None, quotes: Column | None = None) -> C
     found = _free(spans(c, rf"(?i)\b(?:{'|'.join(p for p, _, _ in WORDY)})\b"), skip, quotes)
     known = F.create_map(*(F.lit(x) for p, new, rule in WORDY for x in (p, f"{rule}|{new}")))
     entry = lambda x, i: F.get(F.split(F.element_at(known, F.lower(x["text"])), r"\|", -1), F.lit(i))
-    return _hits(found, lambda x: entry(x, 0), lambda x: F.when(entry(x, 1) == "", "").otherwise(keep_initial(x["text"], entry(x, 1))))
+    return _hits(found, lambda x: entry(x, 0), lambda x: F.when(entry(x, 1) == "", "").otherwise(keep_initial(x["text"], entry(x, 1))), turn=_place_in([p for p, _, _ in WORDY]))
 
 
 def phrase_regex(phrase: str) -> str:
@@ -113,24 +122,28 @@ def _all(arrays: list[Column]) -> Column:
 
 
 def banned(phrases: list[str]) -> Rule:
-    return lambda c, skip, quotes=None: _all([_hits(_free(spans(c, phrase_regex(p)), skip), "guide.banned") for p in phrases if p.strip()])
+    return lambda c, skip, quotes=None: _all([_hits(_free(spans(c, phrase_regex(p)), skip), "guide.banned", turn=lambda x, i=i: F.lit(i)) for i, p in enumerate(phrases) if p.strip()])
 
 
 def pet_words(limits: dict[str, int]) -> Rule:
     """All uses of a phrase in a chapter that uses it more often than its limit."""
 
-    def many(c: Column, skip: Column | None, phrase: str, limit: int) -> Column:
-        return let(_hits(_free(spans(c, phrase_regex(phrase)), skip), "guide.pet_word"), lambda h: F.when(F.size(h) > limit, h).otherwise(none_of(HIT)))
+    def many(c: Column, skip: Column | None, phrase: str, limit: int, turn: int) -> Column:
+        def told(h: Column) -> Column:
+            note = F.concat(F.lit(f"“{phrase}” appears "), F.size(h).cast("string"), F.lit(f" times in this chapter (limit {limit})."))
+            return F.when(F.size(h) > limit, _hits(h, "guide.pet_word", turn=lambda x: F.lit(turn), note=note)).otherwise(none_of(HIT))
+
+        return let(_free(spans(c, phrase_regex(phrase)), skip), told)
 
-    return lambda c, skip, quotes=None: _all([many(c, skip, p, n) for p, n in limits.items()])
+    return lambda c, skip, quotes=None: _all([many(c, skip, p, n, i) for i, (p, n) in enumerate(limits.items()) if p.strip()])
 
 
 def house_spelling(spellings: dict[str, str]) -> Rule:
-    def wrong(c: Column, skip: Column | None, word: str, right: str) -> Column:
-        hits = _hits(_free(spans(c, phrase_regex(word)), skip), "guide.spelling", lambda x: match_case(x["text"], F.lit(right)))
+    def wrong(c: Column, skip: Column | None, word: str, right: str, turn: int) -> Column:
+        hits = _hits(_free(spans(c, phrase_regex(word)), skip), "guide.spelling", lambda x: match_case(x["text"], F.lit(right)), lambda x: F.lit(turn))
         return F.filter(hits, lambda h: h["text"] != h["replacement"])
 
-    return lambda c, skip, quotes=None: _all([wrong(c, skip, w, r) for w, r in spellings.items()])
+    return lambda c, skip, quotes=None: _all([wrong(c, skip, w, r, i) for i, (w, r) in enumerate(spellings.items()) if w.strip()])
 
 
 def hits(chapters: DataFrame, *rules: Rule) -> DataFrame:
@@ -138,7 +151,7 @@ def hits(chapters: DataFrame, *rules: Rule) -> DataFrame:
     skip, quotes = (F.col(c) if c in chapters.columns else None for c in ("skip", "quotes"))
 
     def numbered(i: int) -> Callable[[Column], Column]:
-        return lambda h: F.struct(F.lit(i).alias("rule_ord"), *(h[x].alias(x) for x in ("start", "end", "rule_id", "text", "replacement")))
+        return lambda h: F.struct(F.lit(i).alias("rule_ord"), *(h[x].alias(x) for x in ("start", "end", "rule_id", "text", "replacement", "turn", "note")))
 
     placed = [F.transform(rule(F.col("content"), skip, quotes), numbered(i)) for i, rule in enumerate(rules)]
     return chapters.select("chapter_number", F.inline(F.flatten(F.array(*placed))))

@@ -101,12 +101,12 @@ def flat_scenes(sentences: DataFrame, limit: int = FLAT_VARIETY, at_least: int =
     return scene_metrics(sentences).filter((F.col("narration") >= at_least) & (F.col("variety") < limit))
 
 
-WEAK = "struct<rule_id:string,start:bigint,end:bigint,word:string>"
+WEAK = "struct<rule_id:string,start:bigint,end:bigint,word:string,own:string>"
 
 
 def _weak_of(sentence: Column, base: Column, dialogue: Column) -> Column:
-    """The weak words of a sentence: an array of rule_id, start, end, word."""
-    hit = lambda rule, start, end, word: F.struct(F.lit(rule).alias("rule_id"), start.cast("long").alias("start"), end.cast("long").alias("end"), F.lower(word).alias("word"))
+    """The weak words of a sentence: an array of rule_id, start, end, word (in lower case), own (as it stands)."""
+    hit = lambda rule, start, end, word: F.struct(F.lit(rule).alias("rule_id"), start.cast("long").alias("start"), end.cast("long").alias("end"), F.lower(word).alias("word"), word.alias("own"))
     soft = F.transform(spans(sentence, QUALIFIER, base=base), lambda x: hit("weak.qualifier", x["start"], x["end"], x["text"]))
     who = lambda x: F.regexp_extract(x["text"], FILTER, 1)
     verb = lambda x: F.regexp_extract(x["text"], FILTER, 2)
@@ -148,7 +148,7 @@ def dense_weak_words(sentences: DataFrame, limits: dict[str, float] | None = Non
     rate = lambda i: 1000 * F.col(f"n{i}") / F.col("scene_words")
     many = F.transform(F.filter(F.array(*(F.struct(F.lit(rule).alias("rule_id"), rate(i).alias("rate"), F.lit(float(limit)).alias("limit")) for i, (rule, limit) in enumerate(limits.items()))), lambda r: r["rate"] > r["limit"]), lambda r: F.struct(r["rule_id"], r["rate"]))
     rates = rows.withColumn("rates", F.map_from_entries(many)).select("chapter_number", "scene", "rates", F.inline("weak"))
-    return rates.withColumn("rate", F.element_at("rates", F.col("rule_id"))).filter("rate is not null").select("chapter_number", "scene", "rule_id", "start", "end", "word", "rate")
+    return rates.withColumn("rate", F.element_at("rates", F.col("rule_id"))).filter("rate is not null").select("chapter_number", "scene", "rule_id", "start", "end", "word", "own", "rate")
 
 
 def hollow_shapes(sentences: DataFrame) -> DataFrame:

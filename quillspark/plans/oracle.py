@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from ..functions import repair
-from ..operators import cast, echoes, findings, lexical, prose
+from ..operators import cast, echoes, findings, lexical, messages, prose
 from . import report
 from .corpus import CONTENT
 from .queries import BANNED, CAST, FORMS, PET_WORDS, REPAIRS, SPELLINGS
@@ -59,7 +59,7 @@ double_space AS (SELECT ds.n, s, e, m FROM ds JOIN c USING (n) WHERE {not_in("ds
 TRAIL = f"""{m("tr0", "[ \\t]+(?:\\r?\\n|\\z)")},
 tr1 AS (SELECT n, s, s + length(regexp_extract(m, '^[ \\t]+')) AS e, regexp_extract(m, '^[ \\t]+') AS m FROM tr0),
 trail AS (SELECT * FROM tr1 WHERE {not_in("tr1")})"""
-PUNCT = f"""{m("pu0", "[A-Za-z0-9_À-ɏ] [,:;]")},
+PUNCT = f"""{m("pu0", "[\\p{L}\\p{N}_] [,:;]")},
 pu1 AS (SELECT n, s + 1 AS s, e, m[2:] AS m FROM pu0),
 punct AS (SELECT * FROM pu1 WHERE {not_in("pu1")} AND {not_at("pu1")})"""
 REPEATED = f"""{m("re0", "!{2,}")}, {m("re1", "[?]{2,}")},
@@ -171,7 +171,7 @@ me3 AS (SELECT n, scene, narration, mean_words, CASE WHEN mean_words > 0 THEN de
 metrics AS (SELECT *, round_even(100 * (least(spread / {prose.TARGET_SPREAD}::DOUBLE, 1) + least(mean_words / {prose.TARGET_MEAN}::DOUBLE, 1) + (1 - least(greatest(top_share - 0.1::DOUBLE, 0) / 0.3::DOUBLE, 1))) / 3, 0)::BIGINT AS variety FROM me3)"""
 
 
-def _weak(min_words: int) -> str:
+def _weak(min_words: int, more: str = "") -> str:
     quoted = q('"[^"]*"|“[^”]*”')
     names = ", ".join(map(q, prose.NOT_NAMES))
     adverbs = ", ".join(map(q, prose.NOT_ADVERBS))
@@ -184,13 +184,14 @@ spoken AS (SELECT n, idx, scene, base, array_to_string(list_transform(range(len(
 {m("wb", prose.FILTER, "told", "n, idx, scene", "base")},
 {m("wc", prose.TAG_ADVERB, "spoken", "n, idx, scene", "base")},
 wd AS (SELECT *, regexp_extract(m, {q(prose.TAG_ADVERB)}, 1) AS one, regexp_extract(m, {q(prose.TAG_ADVERB)}, 2) AS two FROM wc),
-al AS (SELECT n, scene, 'weak.qualifier' AS r, s, e, lower(m) AS word FROM wa
-  UNION ALL SELECT n, scene, 'weak.filter_word', e - length(regexp_extract(m, {q(prose.FILTER)}, 2)), e, lower(regexp_extract(m, {q(prose.FILTER)}, 2)) FROM wb WHERE regexp_extract(m, {q(prose.FILTER)}, 1) NOT IN ({names})
-  UNION ALL SELECT n, scene, 'weak.tag_adverb', CASE WHEN one <> '' THEN e - length(one) ELSE s END, CASE WHEN one <> '' THEN e ELSE s + length(two) END, lower(CASE WHEN one <> '' THEN one ELSE two END) FROM wd
+al0 AS (SELECT n, scene, 'weak.qualifier' AS r, s, e, m AS own FROM wa
+  UNION ALL SELECT n, scene, 'weak.filter_word', e - length(regexp_extract(m, {q(prose.FILTER)}, 2)), e, regexp_extract(m, {q(prose.FILTER)}, 2) FROM wb WHERE regexp_extract(m, {q(prose.FILTER)}, 1) NOT IN ({names})
+  UNION ALL SELECT n, scene, 'weak.tag_adverb', CASE WHEN one <> '' THEN e - length(one) ELSE s END, CASE WHEN one <> '' THEN e ELSE s + length(two) END, CASE WHEN one <> '' THEN one ELSE two END FROM wd
     WHERE lower(CASE WHEN one <> '' THEN one ELSE two END) NOT IN ({adverbs})),
+al AS (SELECT *, lower(own) AS word FROM al0),
 tot AS (SELECT n, scene, sum(words) AS words FROM sh GROUP BY n, scene),
 rate AS (SELECT al.*, words, 1000.0 * count(*) OVER (PARTITION BY al.n, al.scene, r) / words AS rate FROM al JOIN tot USING (n, scene))
-SELECT n AS chapter_number, scene, r AS rule_id, s AS start, e AS "end", word FROM rate WHERE words >= {min_words} AND rate > CASE r {limits} END"""
+SELECT n AS chapter_number, scene, r AS rule_id, s AS start, e AS "end", word{more} FROM rate WHERE words >= {min_words} AND rate > CASE r {limits} END"""
 
 
 STOPS = ", ".join(map(q, echoes.STOP_WORDS))
@@ -221,10 +222,10 @@ def _case(column: str, at: int) -> str:
 
 
 FINDINGS = f"""{C}, {SKIP}, {QUOTES}, {DOUBLE}, {TRAIL}, {PUNCT}, {REPEATED}, {DASH}, {WORDY},
-fi0 AS (SELECT n, s, e, 0 AS o, 'mech.double_space' AS r, m, ' ' AS rep FROM double_space UNION ALL SELECT n, s, e, 1, 'mech.trailing_ws', m, '' FROM trail
-  UNION ALL SELECT n, s, e, 2, 'mech.space_before_punct', m, m[2:] FROM punct UNION ALL SELECT n, s, e, 3, 'mech.repeated_punct', m, NULL FROM repeated
-  UNION ALL SELECT n, s, e, 4, 'style.em_dash', m, NULL FROM dash UNION ALL SELECT n, s, e, 5, rule, m, rep FROM wordy),
-fi1 AS (SELECT *, {_case("r", 1)} AS category, {_case("r", 2)} AS severity, row_number() OVER (PARTITION BY n ORDER BY o, s, e, r, m) AS seq FROM fi0),
+fi0 AS (SELECT n, s, e, 0 AS o, 0 AS turn, 'mech.double_space' AS r, m, ' ' AS rep FROM double_space UNION ALL SELECT n, s, e, 1, 0, 'mech.trailing_ws', m, '' FROM trail
+  UNION ALL SELECT n, s, e, 2, 0, 'mech.space_before_punct', m, m[2:] FROM punct UNION ALL SELECT n, s, e, 3, starts_with(m, '?')::INT, 'mech.repeated_punct', m, NULL FROM repeated
+  UNION ALL SELECT n, s, e, 4, 0, 'style.em_dash', m, NULL FROM dash UNION ALL SELECT n, s, e, 5, o, rule, m, rep FROM wordy),
+fi1 AS (SELECT *, {_case("r", 1)} AS category, {_case("r", 2)} AS severity, row_number() OVER (PARTITION BY n ORDER BY o, turn, s, e, r, m) AS seq FROM fi0),
 fi AS (SELECT *, 'det-c' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END || '-' || CASE WHEN seq < 10000 THEN lpad(seq::VARCHAR, 4, '0') ELSE seq::VARCHAR END AS id FROM fi1)"""
 RANK = "CASE severity " + " ".join(f"WHEN {q(s)} THEN {i}" for i, s in enumerate(findings.SEVERITIES)) + " END"
 
@@ -233,25 +234,28 @@ RANK = "CASE severity " + " ".join(f"WHEN {q(s)} THEN {i}" for i, s in enumerate
 TOKENS = {"Garrick Vale": ("Garrick Vale", "Garrick"), "Mara": ("Mara",), "Of Stone": ("Of Stone", "Stone"), "Lee Vale": ("Lee Vale", "Lee")}
 
 
-def _canon() -> str:
+def _canon(more: str = "") -> str:
     parts = []
     for name, pronouns in CAST:
         nouns = cast.NOUNS_AGAINST.get({"he/him": cast.HE, "she/her": cast.SHE}.get(pronouns))
         if nouns is None:
             continue
-        n, noun = f"(?:{'|'.join(TOKENS[name])})", f"(?:{'|'.join(nouns)})"
-        said = rf"{cast.DETERMINER}\s+{cast.ADJECTIVES}\b{noun}"
-        tied = rf"\b{n}(?:'s)?\s*,\s*{said}\b|\b{n}\s+{cast.LINKS}\s+{said}\b|{said}\s*,?\s+{n}\b"
-        parts.append(f"SELECT n AS chapter_number, {q(name)} AS name, x AS sentence FROM cs WHERE regexp_matches(x, {q('(?i)' + tied)})")
+        said = rf"{cast.DETERMINER}\s+{cast.ADJECTIVES}\b({'|'.join(nouns)})"
+        found = []
+        for token in TOKENS[name]:
+            tied = rf"\b{token}(?:'s)?\s*,\s*{said}\b", rf"\b{token}\s+{cast.LINKS}\s+{said}\b", rf"{said}\s*,?\s+{token}\b"
+            found += [f"regexp_extract_all(x, {q('(?i)' + p)}, 1)" for p in tied]
+        parts.append(f"SELECT n, k, {q(name)} AS name, {q(pronouns)} AS pronouns, x, list_transform(flatten([{', '.join(found)}]), lambda w: lower(w)) AS nouns FROM cs")
     return f"""WITH {C}, {m("cg", "[.!?]\\s+", "(SELECT n, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS t FROM c)")},
 ct AS (SELECT n, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS t FROM c),
 c0 AS (SELECT n, s + 1 AS b, e AS nx FROM cg UNION ALL SELECT n, length(t), length(t) FROM ct),
 c1 AS (SELECT c0.n, coalesce(lag(nx) OVER (PARTITION BY c0.n ORDER BY nx, b), 0) AS a, b, t FROM c0 JOIN ct USING (n)),
-cs AS (SELECT DISTINCT n, t[a + 1:b] AS x FROM c1 WHERE t[a + 1:b] <> '')
-{" UNION ALL ".join(parts)}"""
+cs AS (SELECT n, t[a + 1:b] AS x, min(a) AS k FROM c1 WHERE t[a + 1:b] <> '' GROUP BY n, t[a + 1:b]),
+tied AS ({" UNION ALL ".join(parts)})
+SELECT n AS chapter_number, name, x AS sentence{more} FROM tied WHERE len(nouns) > 0"""
 
 
-FORMS_SQL = ", ".join(f"({q(f.lower())})" for f in FORMS)
+FORMS_SQL = ", ".join(f"({q(re.sub(' +', ' ', f.strip().lower()))}, {q(re.escape(f.strip().lower()))})" for f in FORMS)
 MARK = f"{NL} || '…' || {NL}"
 AGREE = q(findings.AGREEMENT)
 STRIPPED = r"regexp_replace(p, '^\s+|\s+$', '', 'g')"
@@ -284,8 +288,10 @@ SQL: dict[str, str] = {
     "hollow_shapes": f"""WITH {C}, {SKIP}, {SENTENCES}, ho AS (SELECT *, trim(regexp_replace(x, '\\s+', ' ', 'g')) AS f FROM sent WHERE NOT dialogue),
 hp AS (SELECT *, CASE WHEN regexp_matches(f, {q(prose.NARROW)}) THEN 'narrow' WHEN regexp_matches(f, {q(prose.TAIL)}) THEN 'tail' END AS pattern FROM ho)
 SELECT {HEAD}, pattern FROM hp WHERE pattern IS NOT NULL""",
-    "lexicon_filter": f"""WITH {FINDINGS}, fo(f) AS (VALUES {FORMS_SQL})
-SELECT r AS rule_id, count(*) AS n FROM fi WHERE NOT EXISTS (SELECT 1 FROM fo WHERE lower(m) = f OR (rep IS NOT NULL AND contains(lower(m), f) AND NOT contains(lower(rep), f))) GROUP BY r""",
+    # Whole words: what stands round a form is looked at, in the text with a space at both ends.
+    "lexicon_filter": f"""WITH {FINDINGS}, fo(f, rx) AS (VALUES {FORMS_SQL})
+SELECT {HEAD}, r AS rule_id FROM fi WHERE NOT EXISTS (SELECT 1 FROM fo WHERE lower(trim(regexp_replace(m, '\\s+', ' ', 'g'))) = f OR (coalesce(rep, '') <> ''
+  AND regexp_matches(' ' || m || ' ', '(?i)[^\\p{{L}}\\p{{N}}_]' || rx || '[^\\p{{L}}\\p{{N}}_]') AND NOT regexp_matches(' ' || rep || ' ', '(?i)[^\\p{{L}}\\p{{N}}_]' || rx || '[^\\p{{L}}\\p{{N}}_]')))""",
     "canon_pronoun_prose": _canon(),
     "finding_ids": f"WITH {FINDINGS} SELECT id, n AS chapter_number, r AS rule_id, s AS start, e AS \"end\" FROM fi",
     "positions": f"""WITH {C}, {SKIP}, {DASH}, {SENTENCES}
@@ -305,36 +311,87 @@ SELECT c.n AS chapter_number, coalesce(content, t) AS content, coalesce(applied,
 }
 
 
+def _place(words: list[str], text: str = "text") -> str:
+    """The place of a hit's text among words, in lower case and with single spaces."""
+    return f"list_position([{', '.join(q(w.lower()) for w in words)}], regexp_replace(lower({text}), '\\s+', ' ', 'g'))"
+
+
 def _all_rules() -> str:
-    """Every rule's hits, as chapter_number, rule_ord, rule_id, start, end, replacement, word, text."""
+    """Every rule's hits, as chapter_number, rule_ord, rule_id, start, end, replacement, word, text, turn, note."""
     phrases = SQL["echo_phrase_dup"].replace(RAW, C)
+    turns = {"mech_repeated_punct": "starts_with(text, '?')::INT", "anachronism": _place(lexical.EARTH_TERMS), "wordiness": _place([p for p, _, _ in lexical.WORDY])}
+    guide = {"guide_banned": _place(BANNED), "guide_pet_word": _place(list(PET_WORDS)), "guide_spelling": _place(list(SPELLINGS))}
+    pet = f"'“' || [{', '.join(map(q, PET_WORDS))}][{guide['guide_pet_word']}] || '” appears ' || count(*) OVER (PARTITION BY chapter_number, {guide['guide_pet_word']}) || ' times in this chapter (limit ' || [{', '.join(map(str, PET_WORDS.values()))}][{guide['guide_pet_word']}] || ').'"
+    weak = "CASE rule_id " + " ".join(f"WHEN {q(r)} THEN replace({q(messages.WEAK[r])}, '{{word}}', own) || ' Scene ' || scene || ': ' || printf('%.1f', rate) || ' per 1,000 words (limit {limit:g}).'" for r, limit in prose.WEAK_LIMITS.items()) + " END"
+    flat = f"'Scene ' || scene || ' reads flat: variety ' || variety || '/100 (limit {prose.FLAT_VARIETY}). Average ' || printf('%.1f', mean_words) || ' words; n/a of sentences open subject-then-verb.'"
     parts = [
-        *(f"SELECT chapter_number, {i} AS rule_ord, rule_id, start, \"end\", replacement, NULL::VARCHAR AS word, text FROM ({SQL[name]})" for i, name in enumerate(
+        *(f"SELECT chapter_number, {i} AS rule_ord, rule_id, start, \"end\", replacement, NULL::VARCHAR AS word, text, {turns.get(name, 0)} AS turn, NULL::VARCHAR AS note FROM ({SQL[name]})" for i, name in enumerate(
             ["mech_double_space", "mech_trailing_ws", "mech_space_before_punct", "mech_repeated_punct", "style_em_dash", "anachronism", "wordiness"])),
-        f"SELECT chapter_number, 7, 'echo.local_repeat', start, \"end\", NULL, word, NULL FROM ({SQL['echo_local_repeat'].replace(RAW, C)})",
-        f"SELECT p.chapter_number, 8, 'echo.phrase_dup', p.start, p.\"end\", NULL, NULL, regexp_replace(x.p, '^\\s+|\\s+$', '', 'g') FROM ({phrases}) p JOIN (WITH {C}, {PARAS} SELECT * FROM para) x ON x.n = p.chapter_number AND x.s = p.para",
-        f"SELECT chapter_number, 9, 'rhythm.same_opener_run', start, \"end\", NULL, NULL, NULL FROM ({SQL['rhythm_opener_run']})",
-        f"SELECT chapter_number, 10, 'rhythm.flat_scene', start, \"end\", NULL, NULL, NULL FROM ({SQL['rhythm_flat_scene']})",
-        f"SELECT chapter_number, 11, rule_id, start, \"end\", NULL, NULL, NULL FROM ({SQL['weakeners']})",
-        *(f"SELECT chapter_number, {12 + i}, rule_id, start, \"end\", replacement, NULL, text FROM ({SQL[name]})" for i, name in enumerate(["guide_banned", "guide_pet_word", "guide_spelling"])),
+        f"SELECT chapter_number, 7, 'echo.local_repeat', start, \"end\", NULL, word, NULL, 0, 'Word ' || chr(39) || word || chr(39) || ' repeats ' || n || ' times within 40 content words.' FROM ({SQL['echo_local_repeat'].replace(RAW, C)})",
+        f"SELECT p.chapter_number, 8, 'echo.phrase_dup', p.start, p.\"end\", NULL, NULL, regexp_replace(x.p, '^\\s+|\\s+$', '', 'g'), 0, 'Phrase ' || chr(39) || phrase || chr(39) || ' appears twice in close proximity within the same paragraph — likely a polish-pass stutter.' FROM ({phrases}) p JOIN (WITH {C}, {PARAS} SELECT * FROM para) x ON x.n = p.chapter_number AND x.s = p.para",
+        f"SELECT chapter_number, 9, 'rhythm.same_opener_run', start, \"end\", NULL, NULL, NULL, 0, sentences || ' sentences in a row start with “' || opener || '”.' FROM ({SQL['rhythm_opener_run']})",
+        f"SELECT n, 10, 'rhythm.flat_scene', s, e, NULL, NULL, NULL, scene, {flat} FROM (WITH {C}, {SKIP}, {METRICS} SELECT * FROM metrics WHERE narration >= {prose.MIN_SENTENCES} AND variety < {prose.FLAT_VARIETY})",
+        f"SELECT chapter_number, 11, rule_id, start, \"end\", NULL, NULL, own, scene * 3 + list_position([{', '.join(map(q, sorted(prose.WEAK_LIMITS)))}], rule_id), {weak} FROM ({_weak(prose.MIN_SCENE_WORDS, ', own, rate')})",
+        *(f"SELECT chapter_number, {12 + i}, rule_id, start, \"end\", replacement, NULL, text, {guide[name]}, {pet if name == 'guide_pet_word' else 'NULL'} FROM ({SQL[name]})" for i, name in enumerate(guide)),
     ]
     return " UNION ALL ".join(parts)
 
 
-def _locations() -> str:
+def _placed() -> str:
+    """Every rule's hits in their places, as CTEs up to placed."""
     flat = "trim(regexp_replace(own, '\\s+', ' ', 'g'))"
     line = lambda at: f"len(string_split(t[:{at}], {NL}))::BIGINT"
     return f"""WITH {C}, {SKIP}, {SENTENCES}, every AS ({_all_rules()}),
-lo0 AS (SELECT v.chapter_number AS n, rule_id, text, start AS s, "end" AS e, t, rule_id = 'echo.local_repeat' AS wide FROM every v JOIN c ON c.n = v.chapter_number),
+lo0 AS (SELECT v.* EXCLUDE (chapter_number, start, "end"), v.chapter_number AS n, start AS s, "end" AS e, t, rule_id = 'echo.local_repeat' AS wide FROM every v JOIN c ON c.n = v.chapter_number),
 lo1 AS (SELECT * EXCLUDE (s, e), CASE WHEN wide THEN s - length(regexp_extract(t[:s], '[^.!?\n]*$')) ELSE s END AS s, CASE WHEN wide THEN e + length(regexp_extract(t[e + 1:], '^[^.!?\n]*[.!?]?')) ELSE e END AS e FROM lo0),
 lo2 AS (SELECT * EXCLUDE (s), CASE WHEN wide THEN s + length(regexp_extract(t[s + 1:e], '^[ \t]*')) ELSE s END AS s FROM lo1),
-lo3 AS (SELECT *, t[s + 1:e] AS own, greatest(e - 1, s) AS z FROM lo2)
-SELECT d.n AS chapter_number, d.rule_id, d.s::BIGINT AS start, d.e::BIGINT AS "end",
+lo3 AS (SELECT *, t[s + 1:e] AS own, greatest(e - 1, s) AS z FROM lo2),
+placed AS (SELECT d.n, d.rule_ord, d.turn, d.rule_id, d.s::BIGINT AS s, d.e::BIGINT AS e, d.replacement, d.note, d.word,
   CASE WHEN rule_id LIKE 'rhythm.%' THEN CASE WHEN length({flat}) > 160 THEN {flat}[:159] || '…' ELSE {flat} END
        WHEN wide THEN regexp_replace(own, '^\\s+|\\s+$', '', 'g') ELSE coalesce(text, own) END AS excerpt,
   {line("d.s")} AS line_start, {line("d.z")} AS line_end, coalesce(scene.scene, -1) AS scene, coalesce(a.s, -1) AS sentence_start, coalesce(b.e, a.e, -1) AS sentence_end
 FROM lo3 d LEFT JOIN scene ON scene.n = d.n AND scene.s <= d.s AND d.s < scene.e
-LEFT JOIN sent a ON a.n = d.n AND a.s <= d.s AND d.s < a.e LEFT JOIN sent b ON b.n = d.n AND b.s <= d.z AND d.z < b.e"""
+LEFT JOIN sent a ON a.n = d.n AND a.s <= d.s AND d.s < a.e LEFT JOIN sent b ON b.n = d.n AND b.s <= d.z AND d.z < b.e)"""
+
+
+def _locations() -> str:
+    return f'{_placed()} SELECT n AS chapter_number, rule_id, s AS start, e AS "end", excerpt, line_start, line_end, scene, sentence_start, sentence_end FROM placed'
+
+
+def _said(texts: dict[str, str]) -> str:
+    def text(pattern: str) -> str:
+        return f"replace(replace(replace({q(pattern)}, '{{old}}', coalesce(excerpt, '')), '{{new}}', coalesce(replacement, '')), '{{mark}}', excerpt[1])"
+
+    return "CASE " + " ".join(f"WHEN rule_id = {q(rule)} THEN {text(pattern)}" for rule, pattern in texts.items()) + " END"
+
+
+def _message() -> str:
+    wordy = f"CASE WHEN coalesce(replacement, '') = '' THEN replace({q(messages.DROP)}, '{{old}}', excerpt) ELSE replace(replace({q(messages.PREFER)}, '{{new}}', replacement), '{{old}}', excerpt) END"
+    return f"coalesce(note, CASE WHEN rule_id LIKE 'word.%' THEN {wordy} ELSE {_said(messages.MESSAGES)} END)"
+
+
+ID = "'det-c' || CASE WHEN n < 1000 THEN lpad(n::VARCHAR, 3, '0') ELSE n::VARCHAR END || '-' || CASE WHEN seq < 10000 THEN lpad(seq::VARCHAR, 4, '0') ELSE seq::VARCHAR END"
+NUMBERED = "row_number() OVER (PARTITION BY n ORDER BY rule_ord, turn, s NULLS FIRST, e NULLS FIRST, rule_id, excerpt, message) AS seq"
+
+
+def deduped(rows: str, keys: str = "id") -> str:
+    """CTEs from rows (n, category, seq, s, e, message) to kept: the fold over each category of a chapter; those without a place by their messages."""
+    same = "2 * greatest(0, least(x[1].e, k.e) - greatest(x[1].s, k.s)) >= greatest(x[1].e, k.e) - least(x[1].s, k.s) OR (x[1].s >= k.s AND x[1].e <= k.e) OR (k.s >= x[1].s AND k.e <= x[1].e)"
+    return f"""fold AS (SELECT n, category, list_reduce(list([{{'s': s, 'e': e, 'seq': seq}}] ORDER BY seq),
+  lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: greatest(x[1].e, k.e) > least(x[1].s, k.s) AND ({same}))) = 0 THEN list_concat(acc, x) ELSE acc END) AS stays FROM {rows} WHERE s IS NOT NULL GROUP BY n, category),
+stay AS (SELECT n, category, unnest(list_transform(stays, lambda k: k.seq)) AS seq FROM fold),
+kept AS (SELECT r.* FROM {rows} r JOIN stay USING (n, category, seq) UNION ALL
+  SELECT * FROM {rows} WHERE s IS NULL QUALIFY row_number() OVER (PARTITION BY n, category, lower(trim(regexp_replace(message, '\\s+', ' ', 'g'))) ORDER BY seq) = 1)"""
+
+
+def _check() -> str:
+    canon = _canon(", k, list_filter(nouns, lambda w, i: list_position(nouns, w) = i) AS nouns, pronouns")
+    return f"""{_placed()}, clash AS ({canon}),
+ch0 AS (SELECT * EXCLUDE (word), {_message()} AS message FROM placed WHERE rule_id <> 'echo.local_repeat' AND rule_id NOT LIKE 'guide.%'
+  UNION ALL SELECT chapter_number, 20, k, 'canon.pronoun_prose', NULL, NULL, NULL, NULL, CASE WHEN length(sentence) > 280 THEN sentence[:279] || '…' ELSE sentence END, -1, -1, -1, -1, -1,
+    name || ' is ' || pronouns || ' in the character file, but this sentence also says ' || array_to_string(nouns, ', ') || '.' FROM clash),
+ch1 AS (SELECT *, {_case("rule_id", 1)} AS category, {NUMBERED} FROM ch0), {deduped("ch1")}
+SELECT {ID} AS id, n AS chapter_number, rule_id, coalesce(s, -1) AS start, coalesce(e, -1) AS "end", line_start, line_end, scene, sentence_start, sentence_end FROM kept"""
 
 
 def _repairs() -> str:
@@ -375,7 +432,11 @@ a0 AS (SELECT n, s + 1 AS b, e AS nx FROM ag UNION ALL SELECT n, length(t), leng
 a1 AS (SELECT a0.n, coalesce(lag(nx) OVER (PARTITION BY a0.n ORDER BY nx, b), 0) AS a, b, t FROM a0 JOIN c USING (n)),
 a2 AS (SELECT n, a, b, t[a + 1:b] AS x FROM a1 WHERE t[a + 1:b] <> '')
 SELECT n AS chapter_number, (row_number() OVER (PARTITION BY n ORDER BY a))::INT AS n, x AS excerpt, a::INT AS start, b::INT AS "end" FROM a2""",
-    "all_rules": f"SELECT * EXCLUDE (text) FROM ({_all_rules()})",
+    "all_rules": f"SELECT * EXCLUDE (text, turn, note) FROM ({_all_rules()})",
+    "check": _check(),
+    "dedupe": f"""WITH {FINDINGS}, df AS (SELECT *, '' AS message FROM fi), {deduped("df")} SELECT id, n AS chapter_number, r AS rule_id, s AS start, e AS "end" FROM kept""",
+    "findings_said": f"""{_placed()}, sa0 AS (SELECT *, {_message()} AS message FROM placed), sa1 AS (SELECT *, {NUMBERED} FROM sa0)
+SELECT {ID} AS id, n AS chapter_number, rule_id, message, coalesce(replacement, {_said(messages.SUGGESTIONS)}, '') AS suggestion FROM sa1""",
     "locations": _locations(),
     "line_numbers": f"WITH {C}, {SKIP}, {DOUBLE} SELECT d.n AS chapter_number, s AS start, len(string_split(t[:s], {NL}))::BIGINT AS line FROM double_space d JOIN c USING (n)",
     "report_summary": f"""WITH {FINDINGS}, fg AS (SELECT *, 'deterministic' AS engine FROM fi WHERE category NOT IN ('echo', 'rhythm', 'weakener', 'hollow')),

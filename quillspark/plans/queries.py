@@ -68,8 +68,7 @@ def chapter_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lexicon_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     forms = spark.createDataFrame([(f,) for f in FORMS], "form string")
-    rows = findings.without_protected(_findings(spark, sf_dir), forms)
-    return rows.groupBy("rule_id").agg(F.count("*").alias("n"))
+    return findings.without_protected(_findings(spark, sf_dir), forms).select("chapter_number", "rule_id", "start", "end")
 
 
 def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +127,19 @@ def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("chapter_number", "start", line_at(F.col("content"), F.col("start")).cast("long").alias("line"))
 
 
+def check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule with the cast, in one call."""
+    found = checks.check(chapters(spark, sf_dir), CONFIG, ["guide."], cast=_cast(spark))
+    return found.select("id", "chapter_number", "rule_id", *(F.coalesce(x, F.lit(-1)).cast("long").alias(x) for x in ("start", "end", *checks.PLACE)))
+
+
+def findings_said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule's findings with what they say, before any filter, in their order."""
+    c = laid(spark, sf_dir)
+    found = findings.with_ids(checks.as_findings(checks.placed(checks.all_hits(c, CONFIG), c)))
+    return found.select("id", "chapter_number", "rule_id", "message", F.coalesce("suggestion", F.lit("")).alias("suggestion"))
+
+
 def _cast(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CAST, "name string, pronouns string")
 
@@ -173,7 +185,7 @@ QUERIES: dict[str, Query] = {
     "rhythm_opener_run": lambda s, d: prose.opener_runs(_sentences(s, d)),
     "scene_metrics": scene_metrics,
     "rhythm_flat_scene": lambda s, d: prose.flat_scenes(_sentences(s, d)).select("chapter_number", "scene", "variety", "start", "end"),
-    "weakeners": lambda s, d: prose.dense_weak_words(_sentences(s, d)).drop("rate"),
+    "weakeners": lambda s, d: prose.dense_weak_words(_sentences(s, d)).drop("rate", "own"),
     "guide_banned": _lexical(lexical.banned(BANNED)),
     "guide_pet_word": _lexical(lexical.pet_words(PET_WORDS)),
     "guide_spelling": _lexical(lexical.house_spelling(SPELLINGS)),
@@ -198,5 +210,6 @@ QUERIES: dict[str, Query] = {
     "all_rules": all_rules,
     "locations": locations,
     "line_numbers": line_numbers,
-    "check": lambda s, d: checks.check(chapters(s, d), CONFIG, ["guide."]).select("id", "chapter_number", "rule_id", "start", "end", *checks.PLACE),
+    "check": check,
+    "findings_said": findings_said,
 }

@@ -1,7 +1,10 @@
 """The call that runs every rule, places, glossary, duplicates, repairs and the cast."""
 
 import itertools
+import random
+import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,3 +169,67 @@ def test_garbled_notes_and_the_cast(spark):
     people = spark.createDataFrame(CAST[:2], "name string, pronouns string")
     assert sorted((r.id, r.applyable) for r in cast.garbled_by_cast(df, people).collect()) == [(2, False), (4, True), (5, True)]
     assert sorted(r.id for r in cast.garbled_by_cast(df, None).collect()) == [1, 4, 5]
+
+
+def test_a_phrase_within_a_close_repeat_stays(spark):
+    """Close repeats go before duplicates do, so that they can't stand in for a phrase."""
+    c = from_text(spark, "The old silver lantern burned, the old silver lantern burned while silver rain fell.")
+    assert [(r.rule_id, r.id) for r in checks.check(c).collect()] == [("echo.phrase_dup", "det-c001-0001")]
+
+
+def test_findings_are_told_in_their_order(spark):
+    """All of one mark before those of the other; wordy phrases by the list; terms by the list; numbers have gaps where duplicates went."""
+    c = from_text(spark, "What?? No!! Really?? Due to the fact that, in order to. A telephone pole, a jurassic tree.")
+    rows = sorted(checks.check(c).collect(), key=lambda r: r.id)
+    got = [(r.rule_id, r.excerpt) for r in rows]
+    assert got == [
+        ("mech.repeated_punct", "!!"), ("mech.repeated_punct", "??"), ("mech.repeated_punct", "??"), ("anachronism.earth_timeline", "jurassic"), ("anachronism.earth_timeline", "telephone pole"),
+        ("word.in_order_to", "in order to"), ("word.due_to_the_fact", "Due to the fact that"),
+    ]
+    assert [r.message for r in rows if r.rule_id.startswith(("mech", "word"))] == [
+        "Repeated '!' punctuation may be intentional fiction intensity.", *["Repeated '?' punctuation may be intentional fiction intensity."] * 2, "Prefer 'to' over 'in order to'.", "Prefer 'Because' over 'Due to the fact that'.",
+    ]
+    assert [r.suggestion for r in rows][:3] == ["!", "?", "?"] and rows[-1].suggestion == "Because"
+
+
+def test_the_cast_has_the_last_word(spark):
+    people = spark.createDataFrame(CAST, "name string, pronouns string")
+    text = "Garrick, the woman, ran  on. Garrick, the lady, was a tall woman. Mara, a man,  sat."
+    rows = sorted(checks.check(from_text(spark, text), cast=people).collect(), key=lambda r: r.id)
+    assert [(r.id, r.rule_id, r.start) for r in rows] == [("det-c001-0001", "mech.double_space", 23), ("det-c001-0002", "mech.double_space", 78), *((f"det-c001-000{i}", "canon.pronoun_prose", None) for i in (3, 4, 5))]
+    assert [r.message for r in rows[2:]] == [
+        "Garrick Vale is he/him in the character file, but this sentence also says woman.", "Garrick Vale is he/him in the character file, but this sentence also says lady.", "Mara Quill is she/her in the character file, but this sentence also says man.",
+    ]
+
+
+def test_names_are_looked_up_by_their_words(spark):
+    """A cast of many: equal joins only, names of odd characters too."""
+    people = spark.createDataFrame([(f"N{i} O'Neil-{i}", "he/him") for i in range(300)] + [("***", "she/her"), ("Ärne Öl", "he/him")], "name string, pronouns string")
+    c = from_text(spark, "The girl, N7, sat. ÄRNE was a woman. N7x, the girl, ran. N123's, the small woman. Then O'Neil-5 was a girl. It was, the boy, N5.")
+    found = cast.tied_sentences(c, people)
+    assert sorted((r.name, r.nouns) for r in found.collect()) == [("N123 O'Neil-123", ["woman"]), ("N5 O'Neil-5", ["girl"]), ("N7 O'Neil-7", ["girl"]), ("Ärne Öl", ["woman"])]
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
+def test_dedupe_of_random_findings_by_brute_force(spark):
+    rng = random.Random(3)
+    engines = ["llm", "typesafe", "deterministic"]
+    for spread in (40, 400, 4000):
+        rows = []
+        for i in range(600):
+            start = rng.randrange(spread)
+            placed = rng.random() < 0.9
+            rows.append({
+                "chapter_number": 1, "category": "style", "rule_ord": i, "rule_id": "r", "start": start if placed else None, "end": start + rng.choice([0, 1, 2, 5, 9, 30, 200]) if placed else None,
+                "engine": rng.choice(engines), "message": rng.choice(["One", "one ", "two", "three"]),
+            })
+        df = spark.createDataFrame(rows, "chapter_number long, category string, rule_ord int, rule_id string, start long, end long, engine string, message string").repartition(3)
+        assert sorted(r.rule_ord for r in findings.dedupe(df).collect()) == sorted(r["rule_ord"] for r in brute_dedupe(rows))
+
+
+def test_a_long_chapter_is_folded_fast():
+    frame = pd.DataFrame({"start": range(0, 1_000_000, 10), "end": range(8, 1_000_008, 10), "engine": "llm", "said": ""})
+    frame.loc[::7, "end"] += 5
+    begun = time.process_time()
+    assert len(findings._fold(frame)) == 100_000
+    assert time.process_time() - begun < 30
