@@ -1,7 +1,11 @@
 """Substring deduplication by MinHash banding of short paragraphs.
 
-A paragraph here ends with a line or with a full stop before white space, so
-that a passage is cut alike wherever it is pasted.  Paragraphs that share a
+A paragraph here ends with a line or with a sentence mark of any script (and
+closing quotes or brackets after it) before white space, so that a passage is
+cut alike wherever it is pasted.  What is longer than LONG words is cut by its
+content: after the words whose hash, with that of their next two, is the least
+within REACH words, so that a cut moves with the passage and one that lies
+within a long line is found but for its edges.  Paragraphs that share a
 band collide; colliding paragraphs with different words are verified by the
 exact Jaccard similarity of their 5-word shingles; links make components, and
 each component that is not of one document alone keeps its first paragraph and
@@ -43,8 +47,58 @@ NEAR_WORDS = 8
 BANDS = 3
 PERCENT = 80
 MIN_WORDS = 20
+#: Paragraphs of more words are cut by content, where a hash is the least of so many words on both sides.
+LONG, REACH = 32, 5
 #: Words of a chunk of a large bucket.
 CHUNK_WORDS = 50_000
+#: What ends a sentence, and what may stand behind it.
+MARKS = [m.encode() for m in ".!?…。！？｡।॥؟۔።"]
+CLOSERS = [c.encode() for c in "\"')]}>*_”’»」』）"]
+
+
+def _ends_with(buf: np.ndarray, start: np.ndarray, stop: np.ndarray, what: bytes) -> np.ndarray:
+    """Whether the bytes from start to stop end with what."""
+    out = stop - start >= len(what)
+    for i, byte in enumerate(reversed(what)):
+        out &= buf[stop - 1 - i] == byte
+    return out
+
+
+def sentence_ends(words: Words) -> np.ndarray:
+    """Whether each word ends a sentence."""
+    stop = words.end.copy()
+    for _ in range(3):
+        before = stop.copy()
+        for closer in CLOSERS:
+            stop -= len(closer) * _ends_with(words.buf, words.start, before, closer)
+        if (before == stop).all():
+            break
+    out = np.zeros(len(stop), dtype=bool)
+    for mark in MARKS:
+        out |= _ends_with(words.buf, words.start, stop, mark)
+    return out
+
+
+def content_cuts(h: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Words after which a run of more than LONG words is cut. last: the words that end a run."""
+    m = len(h)
+    head = np.flatnonzero(np.concatenate(([True], last[:-1])))
+    size = np.diff(np.append(head, m))
+    cut = np.zeros(m, dtype=bool)
+    run = np.repeat(np.arange(len(head)), size)
+    at = np.flatnonzero(size[run] > LONG)
+    if not len(at):
+        return cut
+    value = np.full(m, np.iinfo(np.uint64).max, dtype=np.uint64)
+    value[: max(m - 2, 0)] = windows(h, 3)
+    at = at[~last[at]]
+    for step in range(1, REACH + 1):
+        before, after = np.maximum(at - step, 0), np.minimum(at + step, m - 1)
+        # Of equal ones the first counts.
+        ok = ((run[before] != run[at]) | (before == at) | (value[at] < value[before])) & ((run[after] != run[at]) | (after == at) | (value[at] <= value[after]))
+        at = at[ok]
+    cut[at] = True
+    return cut
 
 
 class Paragraphs:
@@ -58,8 +112,8 @@ class Paragraphs:
         last = np.zeros(m, dtype=bool)
         if m:
             last[-1] = True
-            stop = words.buf[words.end - 1] == ord(".")
-            last[:-1] = stop[:-1] | (lines[words.start[1:]] > lines[words.end[:-1] - 1])
+            last[:-1] = sentence_ends(words)[:-1] | (lines[words.start[1:]] > lines[words.end[:-1] - 1])
+            last |= content_cuts(h, last)
         head = np.flatnonzero(np.concatenate(([True], last[:-1]))) if m else np.zeros(0, np.int64)
         size = np.diff(np.append(head, m))
         keep = size >= SHINGLE
