@@ -132,7 +132,8 @@ def garbled_by_cast(findings: DataFrame, cast: DataFrame | None) -> DataFrame:
     Without a cast a guess of person or gender goes.  With one, a note goes that
     erases a name, and a guess stays only if the text names one member and the
     new pronoun is of that member's family, which the old text had none of."""
-    old, new = F.coalesce("excerpt", F.lit("")), strip(F.coalesce("replacement", F.lit("")))
+    said = [F.nullif(F.col(c), F.lit("")) for c in ("suggestion", "replacement") if c in findings.columns]
+    old, new = F.coalesce("excerpt", F.lit("")), strip(F.coalesce(*said, F.lit("")))
     rows = findings.withColumn("__row", F.monotonically_increasing_id()) if cast is not None else findings
     guess = is_pronoun_guess(old, new, F.col("message"))
     if cast is None:

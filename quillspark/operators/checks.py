@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import between, enclosing, flat_excerpt, line_at, let, strip
-from . import echoes, findings, lexical, prose, regions
+from . import echoes, findings, lexical, parses, prose, regions
 from .cast import pronoun_hits
 from .messages import WEAK, filled, rounded
 
+if TYPE_CHECKING:
+    from .editors import Judges
+    from .parses import Parser
+
 
 @dataclass(frozen=True)
 class Config:
-    """What is checked, and the limits. Rules that need a parser or a judge have no part in this."""
+    """What is checked, and the limits; and how a parser is loaded (parses.Parser), without which some rules find nothing."""
+
+    parser: Callable[[], Parser] | None = None
+    missing_predicates: bool = True
+    min_tokens: int = 5
+    shape_run: int = prose.SHAPE_RUN
+    short_words: int = prose.SHORT_WORDS
 
     wordiness: bool = True
     rhythm: bool = True
@@ -62,13 +74,22 @@ def all_hits(laid: DataFrame, config: Config | None = None) -> DataFrame:
     out = out.unionByName(_as_hits(near, ORDER["echo.local_repeat"], "echo.local_repeat", word="word", note=note))
     note = filled("Phrase '{phrase}' appears twice in close proximity within the same paragraph — likely a polish-pass stutter.", phrase=F.col("phrase"))
     out = out.unionByName(_as_hits(echoes.phrase_repeats(laid, config.phrase_sizes, config.phrase_gap), ORDER["echo.phrase_dup"], "echo.phrase_dup", text="excerpt", note=note))
+    if config.missing_predicates and "whole" in laid.columns:
+        # They follow the mechanical rules.
+        bare = parses.missing_predicates(laid, config.min_tokens)
+        out = out.unionByName(_as_hits(bare, len(MECHANICS) - 1, "mech.missing_predicate", text="text", turn=F.lit(2)))
     told = regions.sentences(laid)
     if config.rhythm:
         note = filled("{n} sentences in a row start with “{opener}”.", n=F.col("sentences"), opener=F.col("opener"))
         out = out.unionByName(_as_hits(prose.opener_runs(told, config.opener_run), ORDER["rhythm.same_opener_run"], "rhythm.same_opener_run", note=note))
+        if "parsed" in laid.columns:
+            note = filled("{n} short sentences in a row, each opening subject-then-verb.", n=F.col("sentences"))
+            runs = prose.shape_runs(told, config.shape_run, config.short_words)
+            out = out.unionByName(_as_hits(runs, ORDER["rhythm.same_opener_run"], "rhythm.shape_run", turn=F.lit(1), note=note))
+        share = F.concat(F.bround(100 * F.bround(F.col("subject_share"), 2), 0).cast("int").cast("string"), F.lit("%")) if "parsed" in laid.columns else F.lit("n/a")
         note = filled(
-            "Scene {scene} reads flat: variety {variety}/100 (limit {limit}). Average {mean} words; n/a of sentences open subject-then-verb.",
-            scene=F.col("scene"), variety=F.col("variety"), limit=F.lit(config.flat_variety), mean=rounded(F.col("mean_words")),
+            "Scene {scene} reads flat: variety {variety}/100 (limit {limit}). Average {mean} words; {share} of sentences open subject-then-verb.",
+            scene=F.col("scene"), variety=F.col("variety"), limit=F.lit(config.flat_variety), mean=rounded(F.col("mean_words")), share=share,
         )
         out = out.unionByName(_as_hits(prose.flat_scenes(told, config.flat_variety, config.flat_sentences), ORDER["rhythm.flat_scene"], "rhythm.flat_scene", turn=F.col("scene").cast("int"), note=note))
     if config.weakeners:
@@ -103,7 +124,8 @@ def placed(hits: DataFrame, laid: DataFrame) -> DataFrame:
     carried = [c for c in hits.columns if c != "chapter_number"]
     grouped = hits.groupBy("chapter_number").agg(F.collect_list(F.struct(*carried)).alias("hits"))
     c = F.col("content")
-    rows = grouped.join(laid.select("chapter_number", "content", "skip", "scenes"), "chapter_number").withColumn("told", regions.sentence_spans(c, F.col("skip")))
+    rows = grouped.join(laid.select("chapter_number", "content", "scenes", *(c for c in ("skip", "parsed") if c in laid.columns)), "chapter_number")
+    rows = rows.withColumn("told", F.transform(regions.told(laid), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
     scene = lambda at: F.get(F.filter(F.transform("scenes", lambda s, i: F.when((s["start"] <= at) & (at < s["end"]), (i + 1).cast("long"))), lambda n: n.isNotNull()), F.lit(0))
     sentence = lambda at: F.get(F.filter("told", lambda s: (s["start"] <= at) & (at < s["end"])), F.lit(0))
 
@@ -117,7 +139,7 @@ def placed(hits: DataFrame, laid: DataFrame) -> DataFrame:
         text = F.when(h["rule_id"].startswith("rhythm."), flat_excerpt(own)).when(h["rule_id"] == "echo.local_repeat", strip(own)).otherwise(F.coalesce(h["text"], own))
         return F.struct(
             *(h[x].alias(x) for x in carried if x != "text"), text.alias("text"),
-            line_at(c, h["start"]).cast("long").alias("line_start"), line_at(c, last).cast("long").alias("line_end"), scene(h["start"]).alias("scene"),
+            F.when(h["start"].isNotNull(), line_at(c, h["start"]).cast("long")).alias("line_start"), F.when(h["start"].isNotNull(), line_at(c, last).cast("long")).alias("line_end"), scene(h["start"]).alias("scene"),
             sentence(h["start"])["start"].alias("sentence_start"), F.coalesce(sentence(last)["end"], sentence(h["start"])["end"]).alias("sentence_end"),
         )
 
@@ -127,28 +149,37 @@ def placed(hits: DataFrame, laid: DataFrame) -> DataFrame:
 PLACE = ["line_start", "line_end", "scene", "sentence_start", "sentence_end"]
 
 
-def check(chapters: DataFrame, config: Config | None = None, skip_rules: list[str] | None = None, forms: DataFrame | None = None, cast: DataFrame | None = None) -> DataFrame:
+def check(
+    chapters: DataFrame, config: Config | None = None, skip_rules: list[str] | None = None, forms: DataFrame | None = None, cast: DataFrame | None = None, judges: Judges | None = None,
+) -> DataFrame:
     """The findings of every rule on chapters, with ids, messages and places: those of rules that start with skip_rules and those against the glossary's forms (form) are left out, and of duplicates one stays.
 
     Close repeats of a word only serve what judges are asked: they go first, before they can stand in for others.
+    With judges, models add and review findings (see editors), and findings have confidence and metadata (JSON).
     What contradicts the cast (name, pronouns) comes last.  Findings are numbered before duplicates go, so that numbers have gaps."""
+    config, skip = config or Config(), skip_rules or []
     laid = regions.laid_out(chapters)
-    return finished(placed(all_hits(laid, config), laid), chapters, skip_rules, forms, cast)
+    if config.parser:
+        laid = parses.with_parses(laid, config.parser)
+    out = as_findings(placed(all_hits(laid, config), laid))
+    if forms is not None:
+        out = findings.without_protected(out, forms)
+    if judges is None:
+        out = findings.skipping(out.filter(F.col("rule_id") != "echo.local_repeat"), skip)
+    else:
+        from .editors import judged
+
+        out = judged(laid, chapters, out, config, judges, skip, forms, cast)
+        out = out.withColumn("metadata", F.to_json("metadata"))
+    out = out.drop("word")
+    if cast is not None:
+        out = out.unionByName(findings.of_hits(pronoun_hits(chapters, cast, ORDER["canon"])), allowMissingColumns=True)
+    if forms is not None:
+        out = findings.without_protected(out, forms)
+    return findings.dedupe(findings.with_ids(findings.skipping(out, skip)))
 
 
 def as_findings(hits: DataFrame) -> DataFrame:
     """Placed hits as findings with word and places."""
     rows = hits.select("*", *(F.col(c).alias(f"__{c}") for c in PLACE)).drop(*PLACE)
     return findings.of_hits(rows, keep=["word", *(f"__{c}" for c in PLACE)]).withColumnsRenamed({f"__{c}": c for c in PLACE})
-
-
-def finished(hits: DataFrame, chapters: DataFrame, skip_rules: list[str] | None = None, forms: DataFrame | None = None, cast: DataFrame | None = None) -> DataFrame:
-    """Placed hits as a chapter's findings: filtered, with what contradicts the cast, numbered, without duplicates."""
-    out = as_findings(hits).filter(F.col("rule_id") != "echo.local_repeat").drop("word")
-    out = findings.skipping(out, skip_rules or [])
-    if cast is not None:
-        clashes = findings.of_hits(pronoun_hits(chapters, cast, ORDER["canon"]))
-        out = out.unionByName(findings.skipping(clashes, skip_rules or []), allowMissingColumns=True)
-    if forms is not None:
-        out = findings.without_protected(out, forms)
-    return findings.dedupe(findings.with_ids(out))

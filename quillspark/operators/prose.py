@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import pieces, spans, within
+from . import parses
 from .regions import WORD
 
 
@@ -40,27 +41,45 @@ NARROW = (
 )
 
 #: What a scene of full variety reaches, and the limits below which it is flat.
-TARGET_SPREAD, TARGET_MEAN = 0.55, 16.0
+TARGET_SPREAD, TARGET_MEAN, TARGET_MULTI = 0.55, 16.0, 0.45
 FLAT_VARIETY, MIN_SENTENCES = 62, 20
 WEAK_LIMITS = {"weak.qualifier": 3.0, "weak.filter_word": 3.0, "weak.tag_adverb": 1.0}
 MIN_SCENE_WORDS = 300
 
 
 def shapes(sentences: DataFrame) -> DataFrame:
-    """The sentences with words (count) and opener (the first word, in lower case, or empty)."""
-    return sentences.withColumns({"words": F.regexp_count("text", F.lit(WORD)).cast("long"), "opener": F.lower(F.regexp_extract("text", WORD, 0))})
+    """The sentences with words (count) and opener (the first word, in lower case, or empty); where a parser gave their tokens also with subject_first and clauses, for these."""
+    rows = sentences.withColumns({"words": F.regexp_count("text", F.lit(WORD)).cast("long"), "opener": F.lower(F.regexp_extract("text", WORD, 0))})
+    if "tokens" not in sentences.columns:
+        return rows
+    return rows.withColumns({"subject_first": parses.subject_first(F.col("tokens")), "clauses": parses.clauses(F.col("tokens"))}).drop("tokens")
 
 
 def opener_runs(sentences: DataFrame, at_least: int = 3) -> DataFrame:
     """Runs of sentences of a scene that open alike; dialogue breaks a run, as does a sentence without a word."""
-    order = _of_chapter().orderBy("idx")
     key = F.when(~F.col("dialogue") & (F.col("opener") != ""), F.col("opener"))
-    rows = shapes(sentences).withColumn("key", key)
+    return _runs(shapes(sentences).withColumn("key", key), at_least).withColumnRenamed("key", "opener")
+
+
+#: Words that a sentence of a run of one shape has at most, and how many such sentences are a run.
+SHORT_WORDS, SHAPE_RUN = 14, 4
+
+
+def shape_runs(sentences: DataFrame, at_least: int = SHAPE_RUN, short: int = SHORT_WORDS) -> DataFrame:
+    """Runs of short sentences that open with subject and verb; none without a parser."""
+    rows = shapes(sentences)
+    plain = F.col("subject_first") & (F.col("words") <= short) if "subject_first" in rows.columns else F.lit(False)
+    return _runs(rows.withColumn("key", F.when(~F.col("dialogue") & plain, "plain")), at_least)
+
+
+def _runs(rows: DataFrame, at_least: int) -> DataFrame:
+    """Runs of sentences of a scene with one key, which a null breaks: chapter_number, start, end, key, sentences."""
+    order = _of_chapter().orderBy("idx")
     same = (F.col("key") == F.lag("key").over(order)) & (F.col("scene") == F.lag("scene").over(order))
     rows = rows.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1))
     rows = rows.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).filter("key is not null")
     return (
-        rows.groupBy("chapter_number", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("key").alias("opener"), F.count("*").alias("sentences"))
+        rows.groupBy("chapter_number", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("key").alias("key"), F.count("*").alias("sentences"))
         .filter(F.col("sentences") >= at_least).drop("run")
     )
 
@@ -68,7 +87,8 @@ def opener_runs(sentences: DataFrame, at_least: int = 3) -> DataFrame:
 def scene_metrics(sentences: DataFrame) -> DataFrame:
     """Per scene with narration: sentences, mean length, spread (population deviation by mean), the commonest opener with its share, variety.
 
-    Numbers are not rounded, but for variety, which is half to even."""
+    Numbers are not rounded, but for variety, which is half to even.  Where a parser gave tokens there are also subject_share
+    and multi_share (sentences of several clauses), and variety has five parts; else three."""
     told = shapes(sentences).filter(~F.col("dialogue")).drop("text")
     # The sentences are dealt out by scene once; the counts of openers and all that follows stay there.
     of_opener = Window.partitionBy("chapter_number", "scene", "opener")
@@ -76,6 +96,7 @@ def scene_metrics(sentences: DataFrame) -> DataFrame:
     top = F.max(F.when(F.col("opener") != "", F.struct("uses", (-F.col("met")).alias("earliest"), "opener")))
     base = counted.groupBy("chapter_number", "scene").agg(
         F.count("*").alias("narration"), F.avg("words").alias("mean_words"), F.stddev_pop("words").alias("deviation"), F.min("start").alias("start"), F.max("end").alias("end"), top.alias("top"),
+        *((F.avg(F.col("subject_first").cast("double")).alias("subject_share"), F.avg((F.col("clauses") > 1).cast("double")).alias("multi_share")) if (parsed := "clauses" in told.columns) else ()),
     )
     rows = base.withColumns({
         "spread": F.when(F.col("mean_words") > 0, F.col("deviation") / F.col("mean_words")).otherwise(0.0),
@@ -86,7 +107,11 @@ def scene_metrics(sentences: DataFrame) -> DataFrame:
         F.least(F.col("spread") / TARGET_SPREAD, F.lit(1.0)) + F.least(F.col("mean_words") / TARGET_MEAN, F.lit(1.0))
         + (1.0 - F.least(F.greatest(F.col("top_share") - 0.1, F.lit(0.0)) / 0.3, F.lit(1.0)))
     )
-    return rows.select("chapter_number", "scene", "narration", "mean_words", "spread", "top_opener", "top_share", F.bround(100 * parts / 3, 0).cast("long").alias("variety"), "start", "end")
+    count, shares = 3, []
+    if parsed:
+        count, shares = 5, ["subject_share", "multi_share"]
+        parts = parts + (1.0 - F.least(F.greatest(F.col("subject_share") - 0.4, F.lit(0.0)) / 0.4, F.lit(1.0))) + F.least(F.col("multi_share") / TARGET_MULTI, F.lit(1.0))
+    return rows.select("chapter_number", "scene", "narration", "mean_words", "spread", "top_opener", "top_share", F.bround(100 * parts / count, 0).cast("long").alias("variety"), "start", "end", *shares)
 
 
 def scene_profiles(sentences: DataFrame, scenes: DataFrame) -> DataFrame:
@@ -152,9 +177,11 @@ def dense_weak_words(sentences: DataFrame, limits: dict[str, float] | None = Non
 
 
 def hollow_shapes(sentences: DataFrame) -> DataFrame:
-    """Narration that has a hollow shape: narrow before tail."""
+    """Narration that has a hollow shape: narrow before tail, and before mind, which a parser's tokens tell."""
     flat = F.trim(F.regexp_replace("text", r"\s+", " "))
     pattern = F.when(flat.rlike(NARROW), "narrow").when(flat.rlike(TAIL), "tail")
+    if "tokens" in sentences.columns:
+        pattern = pattern.when(parses.mind_subject(F.col("tokens")), "mind")
     return sentences.filter(~F.col("dialogue")).withColumn("pattern", pattern).filter("pattern is not null").select("chapter_number", "start", "end", "pattern")
 
 

@@ -105,16 +105,27 @@ def _sentences_of(paragraph: Column) -> Column:
     return F.transform(full, lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["text"])).alias("end"), s["text"].alias("text")))
 
 
+def paragraph_spans(content: Column, skip: Column) -> Column:
+    """The paragraphs of a chapter's prose in order: an array of start, end, text."""
+    of_segment = lambda x: F.filter(spans(between(content, x), PARAGRAPH, base=x["start"]), lambda p: p["text"].rlike(r"\S"))
+    return F.flatten(F.transform(prose_segments(content, skip), of_segment))
+
+
 def sentence_spans(content: Column, skip: Column) -> Column:
     """The prose sentences of a chapter in order: an array of start, end, text."""
-    of_segment = lambda x: F.filter(spans(between(content, x), PARAGRAPH, base=x["start"]), lambda p: p["text"].rlike(r"\S"))
-    return F.flatten(F.transform(F.flatten(F.transform(prose_segments(content, skip), of_segment)), _sentences_of))
+    return F.flatten(F.transform(paragraph_spans(content, skip), _sentences_of))
+
+
+def told(chapters: DataFrame) -> Column:
+    """The sentences of chapters that are laid out: those of a parser if they have them (parses.with_parses), else by rule."""
+    return F.col("parsed") if "parsed" in chapters.columns else sentence_spans(F.col("content"), F.col("skip"))
 
 
 def sentences(chapters: DataFrame) -> DataFrame:
-    """chapter_number, idx (from 0), start, end, scene, dialogue, text of each prose sentence.
+    """chapter_number, idx (from 0), start, end, scene, dialogue, text of each prose sentence, and its tokens where a parser gave them.
 
     A sentence with a double quote counts as dialogue."""
-    found = sentence_spans(F.col("content"), F.col("skip"))
-    rows = _laid(chapters).select("chapter_number", "scenes", F.posexplode(found).alias("idx", "s")).select("chapter_number", F.col("idx").cast("long"), "s.*", "scenes")
-    return rows.select("chapter_number", "idx", "start", "end", _scene_at(F.col("start"), F.col("scenes")).alias("scene"), F.col("text").rlike('["“”]').alias("dialogue"), "text")
+    laid = _laid(chapters)
+    rows = laid.select("chapter_number", "scenes", F.posexplode(told(laid)).alias("idx", "s")).select("chapter_number", F.col("idx").cast("long"), "s.*", "scenes")
+    more = [c for c in ("tokens",) if c in rows.columns]
+    return rows.select("chapter_number", "idx", "start", "end", _scene_at(F.col("start"), F.col("scenes")).alias("scene"), F.col("text").rlike('["“”]').alias("dialogue"), "text", *more)

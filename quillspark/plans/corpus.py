@@ -45,7 +45,8 @@ CONTENT = (
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return from_table(docs.select("doc_id", F.expr(CONTENT).alias("text")))
+    # A generator of one row: what stands above it reads the text that it made, and doesn't make it again for each use.
+    return from_table(docs.select("doc_id", F.explode(F.array(F.expr(CONTENT))).alias("text")))
 
 
 def raw_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -171,11 +171,11 @@ me3 AS (SELECT n, scene, narration, mean_words, CASE WHEN mean_words > 0 THEN de
 metrics AS (SELECT *, round_even(100 * (least(spread / {prose.TARGET_SPREAD}::DOUBLE, 1) + least(mean_words / {prose.TARGET_MEAN}::DOUBLE, 1) + (1 - least(greatest(top_share - 0.1::DOUBLE, 0) / 0.3::DOUBLE, 1))) / 3, 0)::BIGINT AS variety FROM me3)"""
 
 
-def _weak(min_words: int, more: str = "") -> str:
+def _weak(min_words: int, more: str = "", every: bool = False) -> str:
     quoted = q('"[^"]*"|“[^”]*”')
     names = ", ".join(map(q, prose.NOT_NAMES))
     adverbs = ", ".join(map(q, prose.NOT_ADVERBS))
-    limits = " ".join(f"WHEN {q(k)} THEN {v}" for k, v in prose.WEAK_LIMITS.items())
+    limits = " ".join(f"WHEN {q(k)} THEN {-1 if every else v}" for k, v in prose.WEAK_LIMITS.items())
     return f"""WITH {C}, {SKIP}, {SHAPES},
 told AS (SELECT n, idx, scene, s AS base, x AS t FROM sent WHERE NOT dialogue),
 sp_a AS (SELECT n, idx, scene, s AS base, regexp_extract_all(x, {quoted}) AS qs, string_split_regex(x, {quoted}) AS gs FROM sent WHERE dialogue),
@@ -316,8 +316,8 @@ def _place(words: list[str], text: str = "text") -> str:
     return f"list_position([{', '.join(q(w.lower()) for w in words)}], regexp_replace(lower({text}), '\\s+', ' ', 'g'))"
 
 
-def _all_rules() -> str:
-    """Every rule's hits, as chapter_number, rule_ord, rule_id, start, end, replacement, word, text, turn, note."""
+def _all_rules(every: bool = False) -> str:
+    """Every rule's hits, as chapter_number, rule_ord, rule_id, start, end, replacement, word, text, turn, note; with every, all weak words count and no scene is flat."""
     phrases = SQL["echo_phrase_dup"].replace(RAW, C)
     turns = {"mech_repeated_punct": "starts_with(text, '?')::INT", "anachronism": _place(lexical.EARTH_TERMS), "wordiness": _place([p for p, _, _ in lexical.WORDY])}
     guide = {"guide_banned": _place(BANNED), "guide_pet_word": _place(list(PET_WORDS)), "guide_spelling": _place(list(SPELLINGS))}
@@ -330,18 +330,18 @@ def _all_rules() -> str:
         f"SELECT chapter_number, 7, 'echo.local_repeat', start, \"end\", NULL, word, NULL, 0, 'Word ' || chr(39) || word || chr(39) || ' repeats ' || n || ' times within 40 content words.' FROM ({SQL['echo_local_repeat'].replace(RAW, C)})",
         f"SELECT p.chapter_number, 8, 'echo.phrase_dup', p.start, p.\"end\", NULL, NULL, regexp_replace(x.p, '^\\s+|\\s+$', '', 'g'), 0, 'Phrase ' || chr(39) || phrase || chr(39) || ' appears twice in close proximity within the same paragraph — likely a polish-pass stutter.' FROM ({phrases}) p JOIN (WITH {C}, {PARAS} SELECT * FROM para) x ON x.n = p.chapter_number AND x.s = p.para",
         f"SELECT chapter_number, 9, 'rhythm.same_opener_run', start, \"end\", NULL, NULL, NULL, 0, sentences || ' sentences in a row start with “' || opener || '”.' FROM ({SQL['rhythm_opener_run']})",
-        f"SELECT n, 10, 'rhythm.flat_scene', s, e, NULL, NULL, NULL, scene, {flat} FROM (WITH {C}, {SKIP}, {METRICS} SELECT * FROM metrics WHERE narration >= {prose.MIN_SENTENCES} AND variety < {prose.FLAT_VARIETY})",
-        f"SELECT chapter_number, 11, rule_id, start, \"end\", NULL, NULL, own, scene * 3 + list_position([{', '.join(map(q, sorted(prose.WEAK_LIMITS)))}], rule_id), {weak} FROM ({_weak(prose.MIN_SCENE_WORDS, ', own, rate')})",
+        f"SELECT n, 10, 'rhythm.flat_scene', s, e, NULL, NULL, NULL, scene, {flat} FROM (WITH {C}, {SKIP}, {METRICS} SELECT * FROM metrics WHERE narration >= {1_000_000_000 if every else prose.MIN_SENTENCES} AND variety < {prose.FLAT_VARIETY})",
+        f"SELECT chapter_number, 11, rule_id, start, \"end\", NULL, NULL, own, scene * 3 + list_position([{', '.join(map(q, sorted(prose.WEAK_LIMITS)))}], rule_id), {weak} FROM ({_weak(0 if every else prose.MIN_SCENE_WORDS, ', own, rate', every)})",
         *(f"SELECT chapter_number, {12 + i}, rule_id, start, \"end\", replacement, NULL, text, {guide[name]}, {pet if name == 'guide_pet_word' else 'NULL'} FROM ({SQL[name]})" for i, name in enumerate(guide)),
     ]
     return " UNION ALL ".join(parts)
 
 
-def _placed() -> str:
+def _placed(every: bool = False) -> str:
     """Every rule's hits in their places, as CTEs up to placed."""
     flat = "trim(regexp_replace(own, '\\s+', ' ', 'g'))"
     line = lambda at: f"len(string_split(t[:{at}], {NL}))::BIGINT"
-    return f"""WITH {C}, {SKIP}, {SENTENCES}, every AS ({_all_rules()}),
+    return f"""WITH {C}, {SKIP}, {SENTENCES}, every AS ({_all_rules(every)}),
 lo0 AS (SELECT v.* EXCLUDE (chapter_number, start, "end"), v.chapter_number AS n, start AS s, "end" AS e, t, rule_id = 'echo.local_repeat' AS wide FROM every v JOIN c ON c.n = v.chapter_number),
 lo1 AS (SELECT * EXCLUDE (s, e), CASE WHEN wide THEN s - length(regexp_extract(t[:s], '[^.!?\n]*$')) ELSE s END AS s, CASE WHEN wide THEN e + length(regexp_extract(t[e + 1:], '^[^.!?\n]*[.!?]?')) ELSE e END AS e FROM lo0),
 lo2 AS (SELECT * EXCLUDE (s), CASE WHEN wide THEN s + length(regexp_extract(t[s + 1:e], '^[ \t]*')) ELSE s END AS s FROM lo1),
@@ -394,6 +394,33 @@ ch1 AS (SELECT *, {_case("rule_id", 1)} AS category, {NUMBERED} FROM ch0), {dedu
 SELECT {ID} AS id, n AS chapter_number, rule_id, coalesce(s, -1) AS start, coalesce(e, -1) AS "end", line_start, line_end, scene, sentence_start, sentence_end FROM kept"""
 
 
+def _rewrites() -> str:
+    """Units of flagged paragraphs, their edits, and the gates; the rules run over the chapters as they are and over each chapter with an edit in its place."""
+    words = lambda x: f"len(regexp_extract_all({x}, '[A-Za-z0-9'']+'))"
+    edged = lambda x, name: f"regexp_matches(' ' || {x} || ' ', '(?i)[^\\p{{L}}\\p{{N}}_]{name}[^\\p{{L}}\\p{{N}}_]')"
+    quoted = lambda x: f"regexp_extract_all({x}, {q(prose.QUOTED)})"
+    blocks = lambda x: f"len(regexp_extract_all({x}, '[^\\n]+(?:\\n[^\\n]+)*'))"
+    before, after = (f"{_placed(True).replace(C, of)} SELECT n, rule_id, s, e FROM placed" for of in (C, "c AS (SELECT key AS n, t FROM edited)"))
+    return f"""WITH {C}, {m("bl", "[^\\n]+(?:\\n[^\\n]+)*")}, hits AS ({_placed()} SELECT * FROM placed WHERE rule_id <> 'echo.local_repeat'),
+no AS (SELECT * FROM hits WHERE rule_id LIKE 'rhythm.s%_run' OR rule_id LIKE 'weak.%' OR rule_id LIKE 'hollow.%'),
+u0 AS (SELECT r.n, bl.k AS para, bl.s, bl.e, count(*) AS hits FROM no r JOIN bl ON bl.n = r.n AND bl.s <= r.s AND r.s < bl.e WHERE regexp_matches(bl.m, '[A-Za-z0-9'']') AND NOT starts_with(regexp_replace(bl.m, '^\\s+', ''), '#') GROUP BY r.n, bl.k, bl.s, bl.e),
+u1 AS (SELECT *, para - row_number() OVER (PARTITION BY n ORDER BY para) AS isl FROM u0),
+u2 AS (SELECT *, (row_number() OVER (PARTITION BY n, isl ORDER BY para) - 1) // 2 AS unit FROM u1),
+u3 AS (SELECT n, min(s) AS s, max(e) AS e, sum(hits) AS hits FROM u2 GROUP BY n, isl, unit),
+u4 AS (SELECT * FROM u3 QUALIFY row_number() OVER (PARTITION BY n ORDER BY hits DESC, s) <= 8),
+u5 AS (SELECT u4.*, u4.n * 1000000 + u4.s AS key, c.t, c.t[u4.s + 1:u4.e] AS old, regexp_replace(replace(c.t[u4.s + 1:u4.e], ' very ', ' '), '^\\s+|\\s+$', '', 'g') AS new FROM u4 JOIN c USING (n)),
+u6 AS (SELECT *, CASE WHEN new = '' THEN 'writer_unreadable' WHEN trim(regexp_replace(new, '\\s+', ' ', 'g')) = trim(regexp_replace(old, '\\s+', ' ', 'g')) THEN 'unchanged'
+  WHEN {words("new")} = 0 THEN 'empty' WHEN {words("new")} < 0.25 * {words("old")} OR {words("new")} > 1.4 * {words("old")} THEN 'length' WHEN {quoted("old")} <> {quoted("new")} THEN 'dialogue'
+  WHEN {blocks("old")} <> {blocks("new")} THEN 'paragraphs' WHEN {edged("old", "garrick")} <> {edged("new", "garrick")} OR {edged("old", "of")} <> {edged("new", "of")} THEN 'names' END AS problem FROM u5),
+edited AS MATERIALIZED (SELECT key, s, s + length(new) AS e, t[:s] || new || t[e + 1:] AS t FROM u6 WHERE problem IS NULL),
+r0 AS ({before}), r1 AS ({after}),
+fresh AS (SELECT DISTINCT d.key FROM edited d JOIN r1 ON r1.n = d.key AND r1.s < d.e AND d.s < r1.e JOIN u6 USING (key)
+  WHERE NOT EXISTS (SELECT 1 FROM r0 WHERE r0.n = u6.n AND r0.rule_id = r1.rule_id AND r0.s < u6.e AND u6.s < r0.e)),
+u7 AS (SELECT u6.*, coalesce(problem, CASE WHEN key IN (SELECT key FROM fresh) THEN 'new_problem' WHEN length(new) % 3 = 0 THEN 'fact lost: it' END) AS reason FROM u6)
+SELECT n AS chapter_number, 'rewrite.passage' AS rule_id, s AS start, e AS "end", new AS said FROM u7 WHERE reason IS NULL
+UNION ALL SELECT no.n, no.rule_id, no.s, no.e, '["' || reason || '"]' FROM no JOIN u7 ON u7.n = no.n AND u7.s <= no.s AND no.s < u7.e WHERE reason IS NOT NULL"""
+
+
 def _repairs() -> str:
     new = " ".join(f"WHEN n % {len(REPAIRS)} = {i} THEN replace(old, {q(a)}, {q(b)})" for i, (a, b) in enumerate(REPAIRS))
     known = ", ".join(f"({q(w)}, {i})" for i, words in enumerate(repair.FAMILIES) for w in words)
@@ -434,6 +461,7 @@ a2 AS (SELECT n, a, b, t[a + 1:b] AS x FROM a1 WHERE t[a + 1:b] <> '')
 SELECT n AS chapter_number, (row_number() OVER (PARTITION BY n ORDER BY a))::INT AS n, x AS excerpt, a::INT AS start, b::INT AS "end" FROM a2""",
     "all_rules": f"SELECT * EXCLUDE (text, turn, note) FROM ({_all_rules()})",
     "check": _check(),
+    "rewrites": _rewrites(),
     "dedupe": f"""WITH {FINDINGS}, df AS (SELECT *, '' AS message FROM fi), {deduped("df")} SELECT id, n AS chapter_number, r AS rule_id, s AS start, e AS "end" FROM kept""",
     "findings_said": f"""{_placed()}, sa0 AS (SELECT *, {_message()} AS message FROM placed), sa1 AS (SELECT *, {NUMBERED} FROM sa0)
 SELECT {ID} AS id, n AS chapter_number, rule_id, message, coalesce(replacement, {_said(messages.SUGGESTIONS)}, '') AS suggestion FROM sa1""",

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import repair
+from ..functions.tables import shared_dir, written
 from ..functions.text import line_at, matches, truncate_middle
-from ..operators import cast, checks, echoes, findings, lexical, prose, regions
+from ..operators import cast, checks, echoes, editors, findings, lexical, prose, regions
 from . import report
 from .corpus import chapters, raw_chapters
 
@@ -140,6 +143,29 @@ def findings_said(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "chapter_number", "rule_id", "message", F.coalesce("suggestion", F.lit("")).alias("suggestion"))
 
 
+def plain_writer(prompt: str) -> str:
+    """Edits a passage by leaving out "very"; a stand-in for a model."""
+    passage = prompt.partition("PASSAGE:\n")[2].partition("\n\nAFTER:\n")[0]
+    return json.dumps({"purpose": "plain", "edit": passage.replace(" very ", " ")})
+
+
+def plain_checker(prompt: str) -> str:
+    """Finds a fact lost in every third edit, by its length; a stand-in for a model."""
+    edited = prompt.partition("EDITED:\n")[2].partition("\n\nAFTER:\n")[0]
+    return json.dumps({"facts": [{"fact": "it", "status": "kept" if len(edited) % 3 else "lost"}]})
+
+
+def rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of flagged passages: those that stand with the new text, and the notes of the others with why."""
+    c = chapters(spark, sf_dir)
+    laid_ = regions.laid_out(c)
+    found = checks.as_findings(checks.placed(checks.all_hits(laid_, CONFIG).filter("rule_id <> 'echo.local_repeat'"), laid_)).withColumn("metadata", F.lit(None).cast(editors.META))
+    own = editors.Judges(writer=plain_writer, checker=plain_checker, store=f"{shared_dir(spark)}/replies-{uuid.uuid4().hex}")
+    out = editors.rewritten(written(found), c, CONFIG, own, spark.createDataFrame([("garrick",), ("of",)], "form string"), [], [])
+    said = F.when(F.col("rule_id") == "rewrite.passage", F.col("suggestion")).otherwise(F.try_element_at("metadata", F.lit("rewrite_rejected")))
+    return out.select("chapter_number", "rule_id", "start", "end", said.alias("said")).filter("said is not null")
+
+
 def _cast(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(CAST, "name string, pronouns string")
 
@@ -212,4 +238,5 @@ QUERIES: dict[str, Query] = {
     "line_numbers": line_numbers,
     "check": check,
     "findings_said": findings_said,
+    "rewrites": rewrites,
 }

@@ -58,8 +58,8 @@ def test_hollow_and_edits(spark):
     v = spark.createDataFrame([(1, 1, "hollow", "old", ""), (1, 2, "fine", "", "")], "chapter_number long, n int, label string, phrase string, why string")
     assert [(r.start, r.end) for r in judges.hollow_findings(c, v).collect()] == [(104, 107)]
     edits = [("Mara ran home now.", ""), ("Mara ran home.", "Mara ran home."), ("a b c d", "a"), ('He "hi" sat.', "He hi sat."), ("a\n\nb c", "a b c"), ("Mara ran home.", "She ran home."), ("Mara ran home.", "Mara walked home.")]
-    rows = spark.createDataFrame(edits, "a string, b string").select(judges.edit_problem(F.col("a"), F.col("b"), ["Mara"]).alias("p"))
-    assert [r.p for r in rows.collect()] == ["empty", "unchanged", None, "quotes", "paragraphs", "names", None]
+    rows = spark.createDataFrame(edits, "a string, b string").select(judges.edit_problem(F.col("a"), F.col("b")).alias("p"))
+    assert [r.p for r in rows.collect()] == ["empty", None, None, "dialogue", "paragraphs", None, None]
 
 
 def test_report(spark):
@@ -118,9 +118,9 @@ def test_continuity(spark):
 
 def test_what_a_judge_is_shown(spark):
     c = from_table(spark.createDataFrame([(1, "a" * 13_000), (2, "# T\nshort")], "doc_id long, text string"))
-    passages = spark.createDataFrame([(1, 1, 0, 5, "s", "x"), (1, 2, 6500, 6600, "s", "gone"), (1, 3, 12_990, 13_000, "s", "z"), (2, 1, 0, 2, "s", "alone")], "chapter_number long, nth long, start long, end long, source string, text string")
+    passages = spark.createDataFrame([(1, 1, 0, 5, "s", "x"), (1, 2, 6500, 6600, "s", "gone"), (1, 3, 12_990, 13_000, "s", "z"), (1, 4, 5, 9, "s", "y"), (2, 1, 0, 2, "s", "alone")], "chapter_number long, nth long, start long, end long, source string, text string")
     rows = {r.chapter_number: r for r in judges.judge_state(c, some_findings(c), passages, ["line"] * 90).collect()}
-    assert [p.text for p in rows[1].passages] == ["x", "z"] and len(rows[1].prose) == 12_000 and rows[2].passages is None and rows[2].title == "T" and len(rows[1].glossary) == 80
+    assert [p.text for p in rows[1].passages] == ["x", "z", "y"] and len(rows[1].prose) == 12_000 and rows[2].passages is None and rows[2].title == "T" and len(rows[1].glossary) == 80
     shapes = spark.createDataFrame([(1, i, i + 1) for i in range(90)], "chapter_number long, start long, end long")
     assert judges.hollow_candidates(shapes).count() == 80
     paras = spark.createDataFrame([(1, i, f"p{i}") for i in range(9)], "chapter_number long, para long, text string")
