@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -99,25 +100,35 @@ def matches(df: DataFrame, regex: str, keys: Sequence[str] = ("chapter_number",)
     return df.select(*keys, F.posexplode(found).alias("k", "m")).select(*keys, "k", "m.*")
 
 
-def outside(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """The rows whose span overlaps none of the spans of their chapter: a left-anti join on the chapter, then on the overlap."""
-    s = spans.select(F.col("chapter_number").alias("__c"), F.col("start").alias("__s"), F.col("end").alias("__e"))
-    meets = (F.col("chapter_number") == F.col("__c")) & (F.col("start") < F.col("__e")) & (F.col("__s") < F.col("end"))
-    return rows.join(s, meets, "left_anti")
+def as_of(rows: DataFrame, at: str, **spans: DataFrame) -> DataFrame:
+    """rows with a column for each of spans: the last of its chapter that starts at or before the point, as a struct; null if there is none.
+
+    rows and spans have chapter_number; spans have start and what else they carry.  Points and starts are sorted together,
+    chapter by chapter, and what was met last is carried along: the work grows with rows and spans, not with their product."""
+    kinds = {name: ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "chapter_number") for name, df in spans.items()}
+    empty = {name: F.lit(None).cast(f"struct<{kind}>").alias(name) for name, kind in kinds.items()}
+    every = rows.select("chapter_number", F.col(at).cast("long").alias("__at"), F.lit(1).alias("__asks"), F.struct(*rows.columns).alias("__row"), *empty.values())
+    row = F.lit(None).cast(every.schema["__row"].dataType).alias("__row")
+    for name, df in spans.items():
+        own = F.struct(*(c for c in df.columns if c != "chapter_number")).alias(name)
+        every = every.unionByName(df.select("chapter_number", F.col("start").cast("long").alias("__at"), F.lit(0).alias("__asks"), row, *(own if n == name else e for n, e in empty.items())))
+    before = Window.partitionBy("chapter_number").orderBy("__at", "__asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return every.withColumns({name: F.last(name, ignorenulls=True).over(before) for name in spans}).filter("__asks = 1").select("__row.*", *spans)
 
 
-def starting_outside(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """The rows whose first character lies in none of the spans of their chapter."""
-    s = spans.select(F.col("chapter_number").alias("__c"), F.col("start").alias("__s"), F.col("end").alias("__e"))
-    meets = (F.col("chapter_number") == F.col("__c")) & (F.col("__s") <= F.col("start")) & (F.col("start") < F.col("__e"))
-    return rows.join(s, meets, "left_anti")
+def outside(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """The rows whose span overlaps none of the spans of their chapter, which overlap none of each other."""
+    last = as_of(rows.withColumn("__last", F.col("end") - 1), "__last", __span=spans.select("chapter_number", "start", "end"))
+    return last.filter(~F.coalesce(F.col("__span.end") > F.col("start"), F.lit(False))).select(*rows.columns)
 
 
 def within(rows: DataFrame, spans: DataFrame, carry: Sequence[str], how: str = "left") -> DataFrame:
-    """rows with the columns ``carry`` of the span of their chapter that holds their first character."""
-    s = spans.select(F.col("chapter_number").alias("__c"), F.col("start").alias("__s"), F.col("end").alias("__e"), *carry)
-    meets = (F.col("chapter_number") == F.col("__c")) & (F.col("__s") <= F.col("start")) & (F.col("start") < F.col("__e"))
-    return rows.join(s, meets, how).drop("__c", "__s", "__e")
+    """rows with the columns ``carry`` of the span of their chapter that holds their first character; the spans overlap none of each other."""
+    found = as_of(rows, "start", __span=spans.select("chapter_number", "start", "end", *carry))
+    holds = F.col("start") < F.col("__span.end")
+    if how == "inner":
+        found = found.filter(holds)
+    return found.select(*rows.columns, *(F.when(holds, F.col(f"__span.{c}")).alias(c) for c in carry))
 
 
 def strip(text: Column) -> Column:

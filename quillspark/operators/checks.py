@@ -9,7 +9,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import between, enclosing, flat_excerpt, line_at, let, strip
+from ..functions.text import as_of, between, enclosing, flat_excerpt, let, running, strip
 from . import echoes, findings, lexical, parses, prose, regions
 from .cast import pronoun_hits
 from .messages import WEAK, filled, rounded
@@ -115,35 +115,42 @@ def _weak_note(config: Config) -> Column:
     return out
 
 
+def line_spans(laid: DataFrame) -> DataFrame:
+    """chapter_number, line (from 1), start of every line."""
+    sizes = F.transform(F.split("content", "\n", -1), lambda x: (F.length(x) + 1).cast("long"))
+    return laid.select("chapter_number", F.posexplode(running(sizes)).alias("k", "start")).select("chapter_number", (F.col("k") + 1).cast("long").alias("line"), "start")
+
+
 def placed(hits: DataFrame, laid: DataFrame) -> DataFrame:
     """hits (chapter_number, start, end, rule_id, text and more) with line_start, line_end, scene, sentence_start, sentence_end and their text.
 
-    The hits of a chapter are one array that meets its text, its scenes and its
-    sentences once.  An echo's place is its whole sentence; a run's or a scene's
-    text is flattened and cut; hits without a place keep none."""
+    The hits of a chapter are one array that meets its text once; lines, scenes and sentences are found by sorting them
+    together with the hits.  An echo's place is its whole sentence; a run's or a scene's text is flattened and cut; hits
+    without a place keep none."""
     carried = [c for c in hits.columns if c != "chapter_number"]
     grouped = hits.groupBy("chapter_number").agg(F.collect_list(F.struct(*carried)).alias("hits"))
     c = F.col("content")
-    rows = grouped.join(laid.select("chapter_number", "content", "scenes", *(c for c in ("skip", "parsed") if c in laid.columns)), "chapter_number")
-    rows = rows.withColumn("told", F.transform(regions.told(laid), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    scene = lambda at: F.get(F.filter(F.transform("scenes", lambda s, i: F.when((s["start"] <= at) & (at < s["end"]), (i + 1).cast("long"))), lambda n: n.isNotNull()), F.lit(0))
-    sentence = lambda at: F.get(F.filter("told", lambda s: (s["start"] <= at) & (at < s["end"])), F.lit(0))
+    rows = grouped.join(laid.select("chapter_number", "content"), "chapter_number")
 
-    def settled(h: Column) -> Column:
+    def widened(h: Column) -> Column:
         wide = F.when(h["rule_id"] == "echo.local_repeat", enclosing(c, h)).otherwise(F.struct(h["start"].alias("start"), h["end"].alias("end")))
         return let(wide, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"), *(h[x].alias(x) for x in carried if x not in ("start", "end"))))
 
-    def located(h: Column) -> Column:
-        last = F.greatest(h["end"] - 1, h["start"])
-        own = between(c, h)
-        text = F.when(h["rule_id"].startswith("rhythm."), flat_excerpt(own)).when(h["rule_id"] == "echo.local_repeat", strip(own)).otherwise(F.coalesce(h["text"], own))
-        return F.struct(
-            *(h[x].alias(x) for x in carried if x != "text"), text.alias("text"),
-            F.when(h["start"].isNotNull(), line_at(c, h["start"]).cast("long")).alias("line_start"), F.when(h["start"].isNotNull(), line_at(c, last).cast("long")).alias("line_end"), scene(h["start"]).alias("scene"),
-            sentence(h["start"])["start"].alias("sentence_start"), F.coalesce(sentence(last)["end"], sentence(h["start"])["end"]).alias("sentence_end"),
-        )
-
-    return rows.select("chapter_number", F.inline(F.transform(F.transform("hits", settled), located)))
+    def told(h: Column) -> Column:
+        text = F.when(h["rule_id"].startswith("rhythm."), flat_excerpt(between(c, h))).when(h["rule_id"] == "echo.local_repeat", strip(between(c, h))).otherwise(F.coalesce(h["text"], between(c, h)))
+        return F.struct(*(h[x].alias(x) for x in carried if x != "text"), text.alias("text"))
+
+    found = rows.select("chapter_number", F.inline(F.transform(F.transform("hits", widened), told))).withColumn("__last", F.greatest(F.col("end") - 1, F.col("start")))
+    lines, all_scenes = line_spans(laid), regions.scenes(laid)
+    sentences = laid.select("chapter_number", F.inline(F.transform(regions.told(laid), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))))
+    first = as_of(found, "start", __line=lines, __scene=all_scenes, __told=sentences)
+    both = as_of(first, "__last", __line_end=lines, __told_end=sentences)
+    start, last = F.col("start"), F.col("__last")
+    ends = F.coalesce(F.when(last < F.col("__told_end.end"), F.col("__told_end.end")), F.when(start < F.col("__told.end"), F.col("__told.end")))
+    return both.select(
+        "chapter_number", *(x for x in carried if x != "text"), "text", F.col("__line.line").alias("line_start"), F.col("__line_end.line").alias("line_end"),
+        F.when(start < F.col("__scene.end"), F.col("__scene.scene")).alias("scene"), F.when(start < F.col("__told.end"), F.col("__told.start")).alias("sentence_start"), ends.alias("sentence_end"),
+    )
 
 
 PLACE = ["line_start", "line_end", "scene", "sentence_start", "sentence_end"]

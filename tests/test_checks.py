@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import repair
-from quillspark.functions.text import context, counts_line, covered_by_any, enclosing, flat_excerpt, line_at, phrase_span, running, slug
+from quillspark.functions.text import context, counts_line, covered_by_any, enclosing, flat_excerpt, line_at, outside, phrase_span, running, slug, within
 from quillspark.operators import cast, checks, findings, lexical, prose, regions
 from quillspark.sources.chapters import from_table, from_text
 
@@ -233,3 +233,21 @@ def test_a_long_chapter_is_folded_fast():
     begun = time.process_time()
     assert len(findings._fold(frame)) == 100_000
     assert time.process_time() - begun < 30
+
+
+def test_a_chapter_with_very_many_hits(spark):
+    """A hundred thousand hits among as many sentences: places are found by sorting, not by trying all with all."""
+    n = 100_000
+    laid = regions.laid_out(spark.range(1).select(F.lit(1).cast("long").alias("chapter_number"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("One two.\n"))), "").alias("content")))
+    hits = spark.range(n).select(F.lit(1).cast("long").alias("chapter_number"), F.lit(0).alias("rule_ord"), F.lit("mech.x").alias("rule_id"), (F.col("id") * 9 + 3).alias("start"), (F.col("id") * 9 + 4).alias("end"), F.lit(" ").alias("text"))
+    begun = time.time()
+    row = checks.placed(hits, laid).agg(F.count("*").alias("n"), F.count_if((F.col("line_start") == F.floor((F.col("start") - 3) / 9) + 1) & (F.col("sentence_start") == F.col("start") - 3) & (F.col("sentence_end") == F.col("start") + 5) & (F.col("scene") == 1)).alias("right")).first()
+    assert (row["n"], row["right"]) == (n, n) and time.time() - begun < 240
+
+
+def test_points_in_spans(spark):
+    spans = spark.createDataFrame([(1, 0, 3, "a"), (1, 5, 9, "b"), (2, 2, 4, "c")], "chapter_number long, start long, end long, x string")
+    rows = spark.createDataFrame([(1, 0, 1), (1, 2, 6), (1, 3, 4), (1, 8, 8), (1, 9, 10), (2, 0, 2), (2, 3, 9), (3, 1, 2), (1, None, None)], "chapter_number long, start long, end long")
+    got = {(r.chapter_number, r.start): r.x for r in within(rows, spans, ["x"]).collect()}
+    assert got == {(1, 0): "a", (1, 2): "a", (1, 3): None, (1, 8): "b", (1, 9): None, (2, 0): None, (2, 3): "c", (3, 1): None, (1, None): None}
+    assert sorted((r.chapter_number, r.start) for r in outside(rows.filter("start is not null"), spans).collect()) == [(1, 3), (1, 9), (2, 0), (3, 1)]
