@@ -56,6 +56,11 @@ MARKS = [m.encode() for m in ".!?…。！？｡।॥؟۔።"]
 CLOSERS = [c.encode() for c in "\"')]}>*_”’»」』）"]
 
 
+#: Last bytes of these: most words end with none of them.
+_MAY_END = np.zeros(256, dtype=bool)
+_MAY_END[[x[-1] for x in (*MARKS, *CLOSERS)]] = True
+
+
 def _ends_with(buf: np.ndarray, start: np.ndarray, stop: np.ndarray, what: bytes) -> np.ndarray:
     """Whether the bytes from start to stop end with what."""
     out = stop - start >= len(what)
@@ -66,16 +71,17 @@ def _ends_with(buf: np.ndarray, start: np.ndarray, stop: np.ndarray, what: bytes
 
 def sentence_ends(words: Words) -> np.ndarray:
     """Whether each word ends a sentence."""
-    stop = words.end.copy()
+    out = np.zeros(len(words.end), dtype=bool)
+    at = np.flatnonzero(_MAY_END[words.buf[words.end - 1]])
+    start, stop = words.start[at], words.end[at]
     for _ in range(3):
         before = stop.copy()
         for closer in CLOSERS:
-            stop -= len(closer) * _ends_with(words.buf, words.start, before, closer)
+            stop = stop - len(closer) * _ends_with(words.buf, start, before, closer)
         if (before == stop).all():
             break
-    out = np.zeros(len(stop), dtype=bool)
     for mark in MARKS:
-        out |= _ends_with(words.buf, words.start, stop, mark)
+        out[at] |= _ends_with(words.buf, start, stop, mark)
     return out
 
 
@@ -90,7 +96,8 @@ def content_cuts(h: np.ndarray, last: np.ndarray) -> np.ndarray:
     if not len(at):
         return cut
     value = np.full(m, np.iinfo(np.uint64).max, dtype=np.uint64)
-    value[: max(m - 2, 0)] = windows(h, 3)
+    whole = at[at < m - 2]
+    value[whole] = mix(mix(h[whole]) + mix(h[whole + 1] + np.uint64(1)) * np.uint64(3) + h[whole + 2] * np.uint64(5))
     at = at[~last[at]]
     for step in range(1, REACH + 1):
         before, after = np.maximum(at - step, 0), np.minimum(at + step, m - 1)
