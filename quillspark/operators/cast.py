@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.repair import families, family, is_pronoun_guess, is_safe_to_paste, occurs_once
 from ..functions.text import between, strip
+from .findings import of_hits, with_ids
 from .messages import filled
 
 #: The families that files are held to, what contradicts each, and first names that are ordinary words.
@@ -126,6 +127,22 @@ def file_clashes(cast: DataFrame) -> DataFrame:
     return found.select("name", "pronouns", shown.alias("sentence"), F.slice(against(F.col("sentence")), 1, 4).alias("clashing"))
 
 
+#: What a finding of a character file says, fixed value.
+FILE_CLASH = "{name}'s character file says {pronouns}, but the file also uses {words}."
+
+
+def file_findings(cast: DataFrame) -> DataFrame:
+    """file_clashes as findings of chapter 0, numbered in the order of the files' names; they come before those of chapters."""
+    rows = file_clashes(cast)
+    note = filled(FILE_CLASH, name=F.col("name"), pronouns=F.col("pronouns"), words=F.array_join("clashing", ", "))
+    none = F.lit(None)
+    hits = rows.select(
+        F.lit(0).cast("long").alias("chapter_number"), F.lit(0).alias("rule_ord"), F.lit("canon.pronoun_file").alias("rule_id"), none.cast("long").alias("start"), none.cast("long").alias("end"),
+        F.col("sentence").alias("text"), none.cast("string").alias("replacement"), note.alias("note"),
+    )
+    return with_ids(of_hits(hits))
+
+
 def garbled_by_cast(findings: DataFrame, cast: DataFrame | None) -> DataFrame:
     """findings of garbled text (excerpt, replacement, message) that the cast lets pass; a pronoun note that does is never pasted.
 

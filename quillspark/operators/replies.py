@@ -23,20 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tables import files_of
+from ..sources.files import arrow_files
 
 #: Calls that a task makes at the same time.
 AT_ONCE = 4
 Model = Callable[[str], "str | None | Awaitable[str | None]"]
 
 
-def _opened(folder: str):
-    import pyarrow.fs
-
-    scheme, _, rest = folder.partition(":")
-    # Hadoop writes file:/x where others write file:///x.
-    return pyarrow.fs.FileSystem.from_uri(f"file://{'/' + rest.lstrip('/')}" if scheme == "file" else folder)
-
-
 def _stored(files, path: str) -> str | None:
     try:
         with files.open_input_stream(path) as f:
@@ -53,7 +46,7 @@ def _store(files, path: str, reply: str) -> None:
 
 
 async def _replies(prompts: list[tuple[str, str]], model: Model, pending: str, strict: bool) -> list[str | None]:
-    files, root = _opened(pending)
+    files, root = arrow_files(pending)
     gate = asyncio.Semaphore(AT_ONCE)
 
     async def one(name: str, prompt: str) -> str | None:
