@@ -364,15 +364,17 @@ class _Join:
 def _buckets(groups: DataFrame) -> DataFrame:
     """token, grp, size (classes, at least) of the prefix shingles that more than one class has.
 
-    The frequent ones, which Order marks by their highest bits, are counted by partial sums and a table of at most
-    FREQUENT rows, so that no task gets a whole such bucket."""
+    All are counted by partial sums, so that no task gets a whole bucket to count.  The frequent ones, which Order marks by
+    their highest bits, meet their counts by a table of at most FREQUENT rows; a bucket of others that is large all the same
+    is the large side of a join by one row, which Spark splits."""
     tokens = groups.select("grp", F.when(F.col("several"), 2).otherwise(1).alias("w"), F.explode("prefix").alias("token"))
     frequent = F.shiftrightunsigned("token", 62) > 0
-    often = tokens.filter(frequent)
-    counted = often.groupBy("token").agg(F.sum("w").alias("size"))
-    rare = tokens.filter(~frequent).withColumn("size", F.sum("w").over(Window.partitionBy("token")))
-    both = often.join(F.broadcast(counted), "token").select("token", "grp", "size").unionByName(rare.select("token", "grp", "size"))
-    return settled(both.filter("size > 1"))
+    counted = settled(tokens.groupBy("token").agg(F.sum("w").alias("size")).filter("size > 1"))
+    often = tokens.filter(frequent).join(F.broadcast(counted.filter(frequent)), "token")
+    rare = tokens.filter(~frequent).join(counted.filter(~frequent), "token")
+    out = settled(often.select("token", "grp", "size").unionByName(rare.select("token", "grp", "size")))
+    discard(counted)
+    return out
 
 
 def _units(classes: DataFrame, buckets: DataFrame, percent: int) -> DataFrame:
