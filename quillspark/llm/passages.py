@@ -100,10 +100,10 @@ def content_cuts(h: np.ndarray, last: np.ndarray) -> np.ndarray:
     value[whole] = mix(mix(h[whole]) + mix(h[whole + 1] + np.uint64(1)) * np.uint64(3) + h[whole + 2] * np.uint64(5))
     at = at[~last[at]]
     for step in range(1, REACH + 1):
-        before, after = np.maximum(at - step, 0), np.minimum(at + step, m - 1)
-        # Of equal ones the first counts.
-        ok = ((run[before] != run[at]) | (before == at) | (value[at] < value[before])) & ((run[after] != run[at]) | (after == at) | (value[at] <= value[after]))
-        at = at[ok]
+        at = at[(at >= step) & (at + step < m)]
+        # Of equal ones the first counts; near the ends of a run nothing is cut, so that no piece is shorter than REACH.
+        at = at[(run[at - step] == run[at]) & (run[at + step] == run[at])]
+        at = at[(value[at] < value[at - step]) & (value[at] <= value[at + step])]
     cut[at] = True
     return cut
 
