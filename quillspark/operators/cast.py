@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.repair import families, family, is_pronoun_guess, is_safe_to_paste, occurs_once
+from ..functions.tables import written
 from ..functions.text import between, strip
 from .findings import of_hits, with_ids
 from .messages import filled
@@ -47,9 +48,9 @@ def _quoted(token: Column) -> Column:
 
 
 def patterns(cast_members: DataFrame) -> DataFrame:
-    """name, pronouns, family, named (a pattern of the member's tokens)."""
+    """name, pronouns, family, tokens, named (a pattern of the tokens)."""
     any_token = F.concat(F.lit("(?:"), F.array_join(F.transform("tokens", _quoted), "|"), F.lit(")"))
-    return cast_members.select("name", "pronouns", "family", F.concat(F.lit(r"(?iU)(?<!\w)"), any_token, F.lit(r"(?!\w)")).alias("named"))
+    return cast_members.select("name", "pronouns", "family", "tokens", F.concat(F.lit(r"(?iU)(?<!\w)"), any_token, F.lit(r"(?!\w)")).alias("named"))
 
 
 def plain_sentences(text: Column) -> Column:
@@ -72,6 +73,16 @@ def _keys(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), F.lower))
 
 
+def asked_for(text: Column) -> Column:
+    """The keys by which a text is looked up among names; the empty one stands for names without a word."""
+    return F.concat(_keys(text), F.array(F.lit("")))
+
+
+def known_by(tokens: Column | str) -> Column:
+    """The keys under which someone's tokens are known: their first words."""
+    return F.array_distinct(F.transform(tokens, lambda t: F.coalesce(F.get(_keys(t), F.lit(0)), F.lit(""))))
+
+
 def tied_sentences(chapters: DataFrame, cast: DataFrame) -> DataFrame:
     """Sentences that tie a gendered noun to someone of the other family, each once a chapter: chapter_number, k (the sentence's number), name, pronouns, sentence, nouns (that do so, in lower case, each once).
 
@@ -80,11 +91,10 @@ def tied_sentences(chapters: DataFrame, cast: DataFrame) -> DataFrame:
     nouns = "|".join(re.escape(n) for nouns in NOUNS_AGAINST.values() for n in nouns)
     told = chapters.select("chapter_number", F.posexplode(plain_sentences(F.col("content"))).alias("k", "sentence")).filter(F.col("sentence").rlike(rf"(?iU)\b(?:{nouns})\b"))
     once = told.groupBy("chapter_number", "sentence").agg(F.min("k").alias("k"))
-    words = once.withColumn("key", F.explode(F.concat(_keys(F.col("sentence")), F.array(F.lit("")))))
+    words = once.withColumn("key", F.explode(asked_for(F.col("sentence"))))
     noun = F.coalesce(*(F.when(F.col("family") == number, "|".join(nouns)) for number, nouns in NOUNS_AGAINST.items()))
     people = members(cast).withColumn("noun", noun).filter("noun is not null")
-    first = lambda token: F.coalesce(F.get(_keys(token), F.lit(0)), F.lit(""))
-    known = people.withColumn("key", F.explode(F.array_distinct(F.transform("tokens", first))))
+    known = people.withColumn("key", F.explode(known_by("tokens")))
     met = words.join(known, "key").select("chapter_number", "k", "sentence", "name", "pronouns", "tokens", "noun").distinct()
     found = F.flatten(F.transform("tokens", lambda t: F.flatten(F.array(*(F.regexp_extract_all("sentence", p, F.lit(1)) for p in _tied_to(t, F.col("noun")))))))
     rows = met.withColumn("nouns", F.array_distinct(F.transform(found, F.lower)))
@@ -151,19 +161,20 @@ def garbled_by_cast(findings: DataFrame, cast: DataFrame | None) -> DataFrame:
     new pronoun is of that member's family, which the old text had none of."""
     said = [F.nullif(F.col(c), F.lit("")) for c in ("suggestion", "replacement") if c in findings.columns]
     old, new = F.coalesce("excerpt", F.lit("")), strip(F.coalesce(*said, F.lit("")))
-    rows = findings.withColumn("__row", F.monotonically_increasing_id()) if cast is not None else findings
     guess = is_pronoun_guess(old, new, F.col("message"))
     if cast is None:
-        return rows.filter((F.col("rule_id") != "llm.garbled") | ~guess)
-    # All members are one array, as small as a cast is, so that each finding meets them in its own row.
-    table = patterns(members(cast)).agg(F.collect_list(F.struct("family", "named")).alias("__cast"))
-    met = rows.crossJoin(F.broadcast(table))
-    named = F.filter("__cast", lambda m: F.regexp_like(old, m["named"]))
-    erased = (new != "") & F.exists(named, lambda m: ~F.regexp_like(new, m["named"]))
-    owner = F.get(named, F.lit(0))["family"]
-    owned = (F.size(named) == 1) & F.array_contains(families(new), owner) & ~F.array_contains(families(old), owner)
+        return findings.filter((F.col("rule_id") != "llm.garbled") | ~guess)
+    # Rows are numbered in a table, so that what is said of each finds it; texts meet names by their words, whatever the size of the cast.
+    rows = written(findings.withColumn("__row", F.monotonically_increasing_id()))
     garbled = F.col("rule_id") == "llm.garbled"
-    kept = met.withColumn("__guess", garbled & guess).filter(~garbled | (~F.coalesce(erased, F.lit(False)) & (~F.col("__guess") | F.coalesce(owned, F.lit(False)))))
+    asked = rows.filter(garbled).select("__row", old.alias("old"), new.alias("new")).withColumn("key", F.explode(asked_for(F.col("old"))))
+    known = patterns(members(cast)).withColumn("key", F.explode(known_by("tokens"))).select("key", "name", "family", "named")
+    named = asked.join(known, "key").filter(F.regexp_like("old", F.col("named"))).dropDuplicates(["__row", "name"])
+    erased = F.max((F.col("new") != "") & ~F.regexp_like("new", F.col("named")))
+    told = named.groupBy("__row").agg(F.count("*").alias("__n"), F.max("family").alias("__family"), erased.alias("__erased"))
+    met = rows.join(told, "__row", "left").withColumn("__guess", garbled & guess)
+    owned = (F.col("__n") == 1) & F.array_contains(families(new), F.col("__family")) & ~F.array_contains(families(old), F.col("__family"))
+    kept = met.filter(~garbled | (~F.coalesce("__erased", F.lit(False)) & (~F.col("__guess") | F.coalesce(owned, F.lit(False)))))
     armed = F.when(F.col("__guess"), F.lit(False)).otherwise(F.col("applyable"))
     pasted = F.when(F.col("__guess"), F.lit(None).cast("string")).otherwise(F.col("replacement"))
     return kept.withColumns({"applyable": armed, "replacement": pasted}).select(*findings.columns)

@@ -205,9 +205,8 @@ def _same_names(edits: DataFrame, forms: DataFrame | None) -> DataFrame:
     Texts meet forms by the first word of a form, whatever the number of forms."""
     if forms is None:
         return edits.select("unit").limit(0)
-    key = lambda x: F.coalesce(F.get(people._keys(x), F.lit(0)), F.lit(""))
-    known = forms.select(F.trim("form").alias("form")).filter("form <> ''").distinct().withColumn("key", key(F.col("form")))
-    words = edits.withColumn("key", F.explode(F.array_distinct(F.concat(people._keys(F.concat_ws(" ", "before", "edit")), F.array(F.lit(""))))))
+    known = forms.select(F.trim("form").alias("form")).filter("form <> ''").distinct().withColumn("key", F.explode(people.known_by(F.array("form"))))
+    words = edits.withColumn("key", F.explode(people.asked_for(F.concat_ws(" ", "before", "edit"))))
     met = words.join(known, "key")
     return met.filter(findings._edged(F.col("before"), F.col("form")) != findings._edged(F.col("edit"), F.col("form"))).select("unit").distinct()
 
