@@ -7,6 +7,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.__main__ import main
 from quillspark.functions.tables import written
 from quillspark.operators import cast, checks, findings, regions
 from quillspark.plans import report
@@ -132,3 +133,26 @@ def test_glossary_and_cast_above_a_chapter(spark, tmp_path):
 def test_findings_by_kind(spark, book):
     rows = report.by_kind(book[1]).collect()
     assert [(r.severity, r.category, r.n) for r in rows] == [("error", "grammar", 2), ("suggestion", "rhythm", 1), ("suggestion", "weakener", 1)] and rows[0].ids == ["det-c001-0001", "det-c001-0002"]
+
+
+def test_the_command_line(spark, tmp_path, capsys):
+    story = tmp_path / "stories" / "s"
+    (story / "chapters").mkdir(parents=True)
+    (story / "canon" / "style").mkdir(parents=True)
+    (story / "canon" / "characters").mkdir()
+    (story / "canon" / "style" / "worldbuilding-glossary.json").write_text('[{"term": "in order to"}]')
+    (story / "canon" / "characters" / "mara.json").write_text('{"name": "Mara", "pronouns": "she/her", "backstory": "He fled."}')
+    (story / "chapters" / "chapter-001.md").write_text("# T\n\nShe  ran in order to rest. Mara, a tall man, sat prior to noon.")
+    assert main(["init", str(story)]) == 0 and main(["init", str(story)]) == 0
+    config = json.loads((story / "quillspark.json").read_text())
+    assert config["echo_window"] == 40 and "parser" not in config
+    (story / "quillspark.json").write_text(json.dumps({"banned": ["prior to"], "wordiness": False}))
+    assert main(["analyze", str(story), "--reports", str(tmp_path / "r"), "--apply", str(tmp_path / "edited")]) == 0
+    path = capsys.readouterr().out.split("\n")[-2]
+    told = json.loads(open(path, encoding="utf-8").read())
+    assert [(f["id"], f["rule_id"]) for f in told["findings"]] == [("det-c000-0001", "canon.pronoun_file"), ("det-c001-0001", "mech.double_space"), ("det-c001-0002", "guide.banned"), ("det-c001-0003", "canon.pronoun_prose")]
+    assert told["warnings"][0] == "Book lexicon: 1 terms." and told["mode"] == "analyze" and told["apply"] is True and told["manuscript_name"] == "s"
+    assert (tmp_path / "edited" / "chapter-001.md").read_text().startswith("# T\n\nShe ran in")
+    assert main(["companion", str(story), "--reports", str(tmp_path / "r")]) == 1
+    (story / "quillspark.json").write_text('{"bannned": []}')
+    assert main(["companion", str(story / "chapters" / "chapter-001.md"), "--reports", str(tmp_path / "r")]) == 1 and "bannned" in capsys.readouterr().err
