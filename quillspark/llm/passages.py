@@ -48,7 +48,7 @@ BANDS = 3
 PERCENT = 80
 MIN_WORDS = 20
 #: Paragraphs of more words are cut by content, where a hash is the least of so many words on both sides.
-LONG, REACH = 32, 5
+LONG, REACH = 64, 5
 #: Words of a chunk of a large bucket.
 CHUNK_WORDS = 50_000
 #: What ends a sentence, and what may stand behind it.
